@@ -10,6 +10,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_removed, kept_sha256 of every document: see substring.digest."""
+    from tessella.llm.substring import digest
+
+    return digest(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint, component_id of every document: see simhash.near_duplicates."""
     from tessella.llm.simhash import near_duplicates
@@ -18,6 +25,6 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-QUERIES = {f.__name__: f for f in (op5_simhash_near_dedup,)}
+QUERIES = {f.__name__: f for f in (op3_substring_dedup, op5_simhash_near_dedup)}
 
 ORACLES: dict[str, str] = {}
