@@ -10,6 +10,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def tokenizer_path(name: str) -> str:
+    """Where a public tokenizer's file lies, on the driver and on every executor."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every document: see substring.digest."""
     from tessella.llm.substring import digest
@@ -17,6 +24,13 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
 
 
+def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of every document, from the files: see token_store."""
+    from tessella.llm.token_store import round_trip
+
+    return round_trip(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json")).select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint, component_id of every document: see simhash.near_duplicates."""
     from tessella.llm.simhash import near_duplicates
@@ -25,6 +39,13 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-QUERIES = {f.__name__: f for f in (op3_substring_dedup, op5_simhash_near_dedup)}
+def op6_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per piece of every document: see packing.pack."""
+    from tessella.llm.packing import pack
+
+    return pack(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json")).withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (op3_substring_dedup, op4_token_store, op5_simhash_near_dedup, op6_cost_balanced_packing)}
 
 ORACLES: dict[str, str] = {}
