@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.llm.mixing import ORACLE as MIXING_SQL
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -46,6 +48,21 @@ def op6_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json")).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op3_substring_dedup, op4_token_store, op5_simhash_near_dedup, op6_cost_balanced_packing)}
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures and verdict of every document: see quality_rules.judge."""
+    from tessella.llm.quality_rules import judge
+
+    out = judge(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return out.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, size, source_size, target, taken of every document: see mixing.mix."""
+    from tessella.llm.mixing import mix
+
+    return mix(documents(spark, sf_dir)).select("doc_id", "mix.size", "mix.source_size", "mix.target", (F.col("mix.copies") * F.col("mix.size")).alias("taken"))
+
+
+QUERIES = {f.__name__: f for f in (op3_substring_dedup, op4_token_store, op5_simhash_near_dedup, op6_cost_balanced_packing, op8_quality_rules, op9_source_mixing)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op9_source_mixing": MIXING_SQL}
