@@ -19,6 +19,17 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted of every document: see quality_classifier.classify."""
+    from tessella.llm.quality_classifier import classify
+
+    return classify(documents(spark, sf_dir), labels(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every document: see substring.digest."""
     from tessella.llm.substring import digest
@@ -52,7 +63,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Figures and verdict of every document: see quality_rules.judge."""
     from tessella.llm.quality_rules import judge
 
-    out = judge(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    out = judge(documents(spark, sf_dir), labels(spark, sf_dir))
     return out.select(F.col("id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
@@ -63,6 +74,13 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).select("doc_id", "mix.size", "mix.source_size", "mix.target", (F.col("mix.copies") * F.col("mix.size")).alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op3_substring_dedup, op4_token_store, op5_simhash_near_dedup, op6_cost_balanced_packing, op8_quality_rules, op9_source_mixing)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted, language_threshold, flagged of every document: see toxicity.classify."""
+    from tessella.llm.toxicity import classify
+
+    return classify(documents(spark, sf_dir), labels(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op3_substring_dedup, op4_token_store, op5_simhash_near_dedup, op6_cost_balanced_packing, op8_quality_rules, op9_source_mixing, op10_toxicity)}
 
 ORACLES: dict[str, str] = {"op9_source_mixing": MIXING_SQL}

@@ -109,16 +109,17 @@ class Text:
         """For each word the number of its document."""
         return np.repeat(np.arange(self.n), np.diff(self.first))
 
-    def word_hashes(self, data: np.ndarray | None = None) -> np.ndarray:
-        """A 64-bit hash of each word's bytes."""
+    def word_hashes(self, data: np.ndarray | None = None, longest: int | None = None) -> np.ndarray:
+        """A 64-bit hash of each word's bytes, or of its first ``longest`` ones."""
         data = self.data if data is None else data
         if not len(self.starts):
             return np.zeros(0, np.uint64)
+        ends = self.ends if longest is None else np.minimum(self.ends, self.starts + longest)
         with np.errstate(over="ignore"):
             sums = np.zeros(len(data) + 1, np.uint64)
             np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(MULTIPLIER, len(data)), out=sums[1:])
             back = powers(inverse(MULTIPLIER), len(data))
-            return mix((sums[self.ends] - sums[self.starts]) * back[self.starts])
+            return mix((sums[ends] - sums[self.starts]) * back[self.starts])
 
 
 def window_hashes(words: np.ndarray, k: int) -> np.ndarray:
