@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm.mixing import ORACLE as MIXING_SQL
+from tessella.llm.topk import ORACLE as TOPK_SQL
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +60,13 @@ def op6_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json")).withColumnRenamed("id", "doc_id")
 
 
+def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, rank, vec_id, score for every fiftieth vector: see topk.top_k."""
+    from tessella.llm.topk import top_k
+
+    return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0).withColumnRenamed("id", "vec_id")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Figures and verdict of every document: see quality_rules.judge."""
     from tessella.llm.quality_rules import judge
@@ -81,6 +89,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(documents(spark, sf_dir), labels(spark, sf_dir)).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op3_substring_dedup, op4_token_store, op5_simhash_near_dedup, op6_cost_balanced_packing, op8_quality_rules, op9_source_mixing, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op3_substring_dedup, op4_token_store, op5_simhash_near_dedup, op6_cost_balanced_packing, op7_exact_topk, op8_quality_rules, op9_source_mixing, op10_toxicity)}
 
-ORACLES: dict[str, str] = {"op9_source_mixing": MIXING_SQL}
+ORACLES: dict[str, str] = {"op7_exact_topk": TOPK_SQL, "op9_source_mixing": MIXING_SQL}
