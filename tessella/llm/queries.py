@@ -31,6 +31,13 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(documents(spark, sf_dir), labels(spark, sf_dir)).withColumnRenamed("id", "doc_id")
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base phrases and licences of every document: see license_scan.scan."""
+    from tessella.llm.license_scan import scan
+
+    return scan(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 of every document: see substring.digest."""
     from tessella.llm.substring import digest
@@ -89,6 +96,6 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(documents(spark, sf_dir), labels(spark, sf_dir)).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op3_substring_dedup, op4_token_store, op5_simhash_near_dedup, op6_cost_balanced_packing, op7_exact_topk, op8_quality_rules, op9_source_mixing, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_license_scan, op3_substring_dedup, op4_token_store, op5_simhash_near_dedup, op6_cost_balanced_packing, op7_exact_topk, op8_quality_rules, op9_source_mixing, op10_toxicity)}
 
 ORACLES: dict[str, str] = {"op7_exact_topk": TOPK_SQL, "op9_source_mixing": MIXING_SQL}
