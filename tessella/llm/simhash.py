@@ -206,3 +206,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     label = components(edges)
     named = nodes.join(label.withColumnRenamed("node", "first"), "first", "left").select("fp", F.coalesce("label", "first").alias("component"))
     return rows.join(stash(named, "components"), "fp").select("id", "fp", "component")
+
+
+def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = THRESHOLD, shingle: int = 3) -> DataFrame:
+    """The rows of docs that stay when each group of near duplicates keeps one: the row of the group's smallest
+    id. Of rows that repeat that id the smallest text stays, of equal ones any. Rows of null id stay."""
+    found = near_duplicates(docs, id_col, text_col, threshold, shingle).where("id = component")
+    keep = stash(found.groupBy(F.col("id").alias("kept id")).agg((F.count("*") > 1).alias("again")), "kept")
+    mine = docs[id_col].cast("long") == F.col("kept id")
+    out = docs.join(keep.where("not again"), mine, "left_semi").unionByName(docs.where(docs[id_col].isNull()))
+    again = keep.where("again")
+    if again.limit(1).count():
+        row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+        one = docs.join(again, mine, "left_semi").groupBy(F.col(id_col).cast("long").alias("kept id")).agg(F.min_by(row, F.coalesce(F.col(text_col), F.lit(""))).alias("row"))
+        out = out.unionByName(one.select("row.*"))
+    return out
