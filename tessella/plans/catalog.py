@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessella.plans import evaluation
+from tessella.plans import evaluation, imaging
 from tessella.plans.registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "evaluation"]
+__all__ = ["ORACLE", "QUERIES", "evaluation", "imaging"]
