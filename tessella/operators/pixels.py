@@ -158,7 +158,7 @@ def resize_bilinear(values: DataFrame, height: int, width: int, new_height: int,
     for along, n, m in (("y", height, new_height), ("x", width, new_width)):
         rest = "x" if along == "y" else "y"
         src = f"greatest(0D, least({n - 1}D, (t + 0.5D) * {n} / {m} - 0.5D))"
-        weights = F.expr(f"flatten(transform(sequence(0, {m - 1}), t -> array(struct(t as t, cast(floor({src}) as int) as s, 1 - ({src} - floor({src})) as w), struct(t as t, cast(least({n - 1}, floor({src}) + 1) as int) as s, {src} - floor({src}) as w))))")
+        weights = F.expr(f"flatten(transform(sequence(cast(greatest(0, floor(({along} - 1) * {m} / {n}) - 1) as int), cast(least({m - 1}, ceil(({along} + 2) * {m} / {n}) + 1) as int)), t -> array(struct(t as t, cast(floor({src}) as int) as s, 1 - ({src} - floor({src})) as w), struct(t as t, cast(least({n - 1}, floor({src}) + 1) as int) as s, {src} - floor({src}) as w))))")
         own = F.col(along)
         spread = values.withColumn("u", F.explode(F.filter(weights, lambda u: (u["s"] == own) & (u["w"] > 0))))
         values = spread.groupBy("image_id", rest, F.col("u.t").alias(along)).agg(F.sum(F.col("val") * F.col("u.w")).alias("val")).select("image_id", "y", "x", "val")

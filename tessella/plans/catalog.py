@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessella.plans import evaluation, imaging
+from tessella.plans import evaluation, graphs, imaging, sequences
 from tessella.plans.registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "evaluation", "imaging"]
+__all__ = ["ORACLE", "QUERIES", "evaluation", "graphs", "imaging", "sequences"]
