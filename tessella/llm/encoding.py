@@ -1,59 +1,129 @@
-"""Token ids of whole texts with the tokenizers library, each distinct piece encoded once per task."""
+"""Token ids of whole texts with the tokenizers library, where each word is encoded once and remembered."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+import sys
+import types
 
-#: Pieces a task remembers before it starts over; bounds its memory.
-REMEMBERED = 200_000
-#: Longer pieces are not remembered.
-LONGEST = 256
+import numpy as np
+
+#: Words that a worker remembers before it starts over; bounds its memory.
+REMEMBERED = 400_000
+#: Longer words are not remembered.
+LONGEST = 64
 
 SPACE = "\x09-\x0d\x20"
-#: White space beyond the seven ASCII characters, and the mark of special tokens: such texts are encoded in one go.
-UNUSUAL = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]|<\|")
 #: Where byte-level tokenizers split anyway: a word takes one space before it along; of longer white space
 #: all but the last character is a piece, and so is that last one unless it is a space.
 WITH_SPACE = re.compile(rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
-
-
-def piece_splitter(kind: str):
-    """words: the tokenizer drops white space and no token spans it; spaced: a token may start with a space."""
-    return re.compile(rf"[^{SPACE}]+").findall if kind == "words" else WITH_SPACE.findall
+#: White space beyond the seven ASCII characters, for tokenizers whose tokens may hold white space.
+OTHER_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -‏    ⁠　﻿]")
+#: Separators that str.split() knows and tokenizers do not, the start of special tokens, and the mark below.
+MARK = "␞"
+PLAIN_ODD = ("\x1c", "\x1d", "\x1e", "\x1f", "<|", MARK)
+#: White space in a spaced text that is more than one space or one line end between words.
+UNEVEN = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\x0b", "\x0c")
 
 
 class Encoder:
     """Encodes texts to little-endian unsigned 32-bit ids, as ``encode(text, add_special_tokens=False)`` does.
 
     Tokenizers split texts before they merge, so the ids of a text are those of its pieces side by side.
+    kind "words": white space separates tokens and is dropped, so pieces are words. kind "spaced": byte-level,
+    where a token may start with one space, so pieces are words with and without a space before them, and
+    white space. Texts with unusual white space or special tokens are encoded in one go.
     """
 
     def __init__(self, path: str, kind: str):
-        import numpy as np
         from tokenizers import Tokenizer
 
-        self.array = np.array
         self.tokenizer = Tokenizer.from_file(path)
-        self.pieces = piece_splitter(kind)
+        self.spaced = kind == "spaced"
         self.known: dict[str, bytes] = {}
+        self.after: dict[str, bytes] = {}  # words after a space
+        # what separates words that are encoded together: no word can hold these ids in a row
+        self.mark = self.numbers("\n" if self.spaced else MARK)
+
+    def numbers(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def learn(self, words: set[str], known: dict[str, bytes], before: str) -> None:
+        """Encodes new words in one text, each followed by the mark, and cuts the ids at the marks."""
+        words = list(words)
+        between = "\n" if self.spaced else f" {MARK} "
+        for i in range(0, len(words), 1000):
+            part = words[i : i + 1000]
+            ids = self.numbers("".join(f"{before}{w}{between}" for w in part) + ("x" if self.spaced else ""))
+            n = len(self.mark)
+            hit = ids[n - 1 :] == self.mark[-1]
+            for j in range(n - 1):
+                hit &= ids[j : len(ids) - n + 1 + j] == self.mark[j]
+            ends = np.flatnonzero(hit).tolist()
+            raw, start = ids.tobytes(), 0
+            for w, end in zip(part, ends, strict=True):
+                known[w] = raw[4 * start : 4 * end]
+                start = end + n
+
+    def look_up(self, words: list[str], known: dict[str, bytes], before: str) -> bytes:
+        new = [w for w in words if w not in known]
+        if not new:
+            return b"".join(map(known.__getitem__, words))
+        new = set(new)
+        self.learn(new, known, before)
+        out = b"".join(map(known.__getitem__, words))
+        for w in new:
+            if len(w) > LONGEST:
+                del known[w]
+        if len(known) > REMEMBERED:
+            known.clear()
+        return out
+
+    def encode_one(self, text: str) -> bytes:
+        if not text:
+            return b""
+        if any(x in text for x in PLAIN_ODD):
+            return self.numbers(text).tobytes()
+        if not self.spaced:
+            return self.look_up(text.split(), self.known, "")
+        if not text.isascii() and OTHER_SPACE.search(text):
+            return self.numbers(text).tobytes()
+        if text[0] in " \n" or text[-1] in " \n" or any(x in text for x in UNEVEN):
+            pieces = WITH_SPACE.findall(text)
+            return b"".join(self.look_up([p[1:]], self.after, " ") if len(p) > 1 and p[0] == " " and not p[1:].isspace() else self.numbers(p).tobytes() if p.isspace() else self.look_up([p], self.known, "") for p in pieces)
+        lines = text.split("\n")
+        heads, tails = [], []
+        for line in lines:
+            head, _, tail = line.partition(" ")
+            heads.append(head)
+            tails.append(tail)
+        # all words of the text after a space at once, then line by line
+        rest = [t.split(" ") if t else [] for t in tails]
+        new = {w for ws in rest for w in ws if w not in self.after}
+        fresh = {w for w in heads if w not in self.known}
+        if new:
+            self.learn(new, self.after, " ")
+        if fresh:
+            self.learn(fresh, self.known, "")
+        end, get = self.mark.tobytes(), self.after.__getitem__
+        out = end.join([self.known[head] + b"".join(map(get, ws)) for head, ws in zip(heads, rest, strict=True)])
+        for table, words in ((self.after, new), (self.known, fresh)):
+            for w in words:
+                if len(w) > LONGEST:
+                    del table[w]
+            if len(table) > REMEMBERED:
+                table.clear()
+        return out
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        return list(map(self.encode_one, texts))
+
 
-    def ids(self, texts: list[str]) -> list[bytes]:
-        return [self.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, texts: Iterable[str]) -> list[bytes]:
-        texts = list(texts)
-        odd = [bool(UNUSUAL.search(t)) for t in texts]
-        whole = iter(self.ids([t for t, o in zip(texts, odd, strict=True) if o]))
-        cut = [None if o else self.pieces(t) for t, o in zip(texts, odd, strict=True)]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = list({p for pieces in cut if pieces for p in pieces} - self.known.keys())
-        known = self.known
-        late: dict[str, bytes] = {}
-        for i in range(0, len(new), 8192):
-            for p, x in zip(new[i : i + 8192], self.ids(new[i : i + 8192]), strict=True):
-                (known if len(p) <= LONGEST else late)[p] = x
-        if late:
-            known = known | late
-        return [next(whole) if pieces is None else b"".join(map(known.__getitem__, pieces)) for pieces in cut]
+def encoder(path: str, kind: str) -> Encoder:
+    """This worker process's encoder. Workers outlive tasks but functions that travel by value do not, so
+    what a worker keeps is held by a module of its own."""
+    held = sys.modules.setdefault("tessella_worker", types.ModuleType("tessella_worker")).__dict__
+    key = (path, kind)
+    if key not in held:
+        held[key] = Encoder(path, kind)
+    return held[key]

@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.encoding import Encoder
+from tessella.llm.encoding import encoder as worker_encoder
 
 CAPACITY = 1024
 LINEAR = 1.0
@@ -65,7 +65,7 @@ def pack(docs: DataFrame, tokenizer: str, kind: str = "spaced", end_id: int = 0,
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns + [ids] * with_ids, schema, strict=True)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer, kind)
+        encoder = worker_encoder(tokenizer, kind)
         sequence = TaskContext.get().partitionId() << 33
         rests: list[tuple[int, int, bytes, int]] = []
         held = 0

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.encoding import Encoder
+from tessella.llm.encoding import encoder as worker_encoder
 from tessella.llm.storage import new_folder
 
 MAGIC = b"TSK1"
@@ -128,7 +128,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, kind: str = "words", end
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
                 if out is None:
-                    out, encoder = Writer(path), Encoder(tokenizer, kind)
+                    out, encoder = Writer(path), worker_encoder(tokenizer, kind)
                 for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist()), strict=True):
                     out.add(doc_id, ids + end)
                     n, tokens = n + 1, tokens + len(ids) // 4 + 1
