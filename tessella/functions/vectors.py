@@ -88,5 +88,31 @@ def ssim_distance(a: Column, b: Column, size: int, side: int = 7, span: float =
     return 1 - total(F.array(*spots)) / F.lit(float(len(spots)))
 
 
+def high_pass(a: Column, size: int) -> Column:
+    """A patch less its neighbours: 8 times each inner pixel minus the eight around it."""
+    return F.array(*[9 * F.element_at(a, y * size + x + 1) - total(window(a, size, y, x)) for y in range(1, size - 1) for x in range(1, size - 1)])
+
+
+def scc_distance(a: Column, b: Column, size: int) -> Column:
+    """1 less the correlation of the high-pass filtered patches, which is 0 if either is constant."""
+    return cc_distance(high_pass(a, size), high_pass(b, size))
+
+
+def halved(a: Column, size: int) -> Column:
+    """A patch of half the side, of means of 2 x 2 pixels."""
+    at = lambda y, x: F.element_at(a, y * size + x + 1)
+    return F.array(*[(at(y, x) + at(y, x + 1) + at(y + 1, x) + at(y + 1, x + 1)) / 4 for y in range(0, size - 1, 2) for x in range(0, size - 1, 2)])
+
+
+def ms_ssim_distance(a: Column, b: Column, size: int, scales: int = 2) -> Column:
+    """1 less the product of the structural similarities over halved scales, in equal powers."""
+    out = F.lit(1.0)
+    for _ in range(scales):
+        s = 1 - ssim_distance(a, b, size, min(7, size - 1 + size % 2))
+        out = out * F.pow(F.greatest(s, F.lit(0.0)), F.lit(1 / scales))
+        a, b, size = halved(a, size), halved(b, size), size // 2
+    return 1 - out
+
+
 def affinity(distance: Column, beta: float) -> Column:
     return F.exp(-F.lit(float(beta)) * distance)

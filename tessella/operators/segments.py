@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
@@ -63,10 +64,16 @@ def census(clusters: DataFrame) -> DataFrame:
 
 
 def clustered(features: DataFrame, k: int, seed: int = 1, iterations: int = 50) -> DataFrame:
-    """features (image_id, segment, features) with ``cluster``: k-means over the unit vectors of all segments."""
-    rows = features.withColumn("unit", array_to_vector(normalised(F.col("features"))))
-    model = KMeans(k=k, seed=seed, maxIter=iterations, featuresCol="unit", predictionCol="cluster").fit(rows)
-    return model.transform(rows).select("image_id", "segment", "features", "cluster")
+    """features (image_id, segment, features) with ``cluster``: k-means over the unit vectors of all segments,
+    with fewer clusters where there are fewer segments."""
+    rows = features.withColumn("unit", array_to_vector(normalised(F.col("features")))).persist(StorageLevel.MEMORY_AND_DISK)
+    k = min(k, rows.limit(k).count())
+    if k < 2:
+        out = rows.withColumn("cluster", F.lit(0))
+    else:
+        out = KMeans(k=k, seed=seed, maxIter=iterations, featuresCol="unit", predictionCol="cluster").fit(rows).transform(rows)
+    rows.unpersist()
+    return out.select("image_id", "segment", "features", "cluster")
 
 
 def semantic(labels: DataFrame, clusters: DataFrame, shift: int = 0) -> DataFrame:

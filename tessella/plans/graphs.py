@@ -219,6 +219,13 @@ def g17_laplacian(spark, sf_dir):
     return rounded(A.laplacian(fused(spark, sf_dir)))
 
 
+@query()
+def g18_scc_and_ms_ssim(spark, sf_dir):
+    few = grey(spark, sf_dir).where("p < 6")
+    scc = A.measured(few, lambda a, b: V.scc_distance(a, b, T.PATCH)).withColumnRenamed("w", "scc")
+    return rounded(scc.join(A.measured(few, lambda a, b: V.ms_ssim_distance(a, b, T.PATCH)).withColumnRenamed("w", "ms_ssim"), ["image_id", "i", "j"]))
+
+
 def eigen(spark, sf_dir, kind="laplacian_normalised") -> DataFrame:
     return S.eigenvectors(A.cosine_graph(patches(spark, sf_dir)), 5, kind)
 
