@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass, field, replace
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -80,13 +81,16 @@ def run(patches: DataFrame, s: Settings, until: str = STAGES[-1]) -> dict[str, D
     }
     for name in STAGES[n : STAGES.index(until) + 1]:
         out[name] = build[name]()
+        if name in ("eigs", "segments"):  # several later stages read these
+            out[name] = out[name].persist(StorageLevel.MEMORY_AND_DISK)
     return out
 
 
 def evaluate(pred: DataFrame, gt: DataFrame, n_classes: int) -> DataFrame:
     """Per-image macro metrics after matching labels image by image."""
     p, g = L.dense(pred), L.dense(gt)
-    found = M.named(M.match(M.iou(M.contingency(M.pairs(p, g)))), L.dense_names(gt), L.dense_names(pred))
+    counts = M.contingency(M.pairs(p, g)).persist(StorageLevel.MEMORY_AND_DISK)  # one row a label pair; every matching reads it
+    found = M.named(M.match(M.iou(counts)), L.dense_names(gt), L.dense_names(pred))
     final = L.remap(pred, M.mapping(found))
     return E.macro(E.scores(E.confusion(M.contingency(M.pairs(final, gt)), range(n_classes))), n_classes)
 

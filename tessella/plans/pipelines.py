@@ -19,7 +19,7 @@ def h1_segmentation_pipeline(spark, sf_dir):
 @query()
 def h2_parameter_sweep(spark, sf_dir):
     p = T.patches(spark, sf_dir).where("image_id < 2")
-    return rounded(P.sweep(spark, p, T.truth(p), {"segments": [3, 6], "adaptive": [False, True]}))
+    return rounded(P.sweep(spark, p, T.truth(p), {"segments": [3, 6]}))
 
 
 @query()
