@@ -46,18 +46,21 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     if "mix" in docs.columns:
         docs = docs.drop("mix")
     strata = max(LEAST_STRATA, -(-docs.count() // STRATUM_ROWS))
-    source, size = F.col(source_col).cast("string"), F.col("mix.size")
-    bits = F.length(F.bin(size))
-    place = F.struct(
-        words(F.col(text_col)).alias("size"),
-        F.coalesce(source, F.lit("")).alias("source"),
-        source.isNull().alias("none"),
-        (unit_hash(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % strata).alias("bucket"),
-    )
-    rows = docs.withColumn("mix", place).withColumn("mix", F.col("mix").withField("level", bits * 8 + F.expr("shiftright(mix.size, greatest(length(bin(mix.size)) - 3, 0))")))
+    own = "mix."
+    while any(c.startswith(own) for c in docs.columns):
+        own += "."
     keys = ["source", "none", "level", "bucket"]
-    at = [F.col(f"mix.{k}").alias(k) for k in keys]
-    counts = rows.groupBy(*at).agg(F.count("*").alias("n"), F.sum(size).alias("n_words"))
+    col = lambda name: F.col(f"`{own}{name}`")
+    source = F.col(source_col).cast("string")
+    rows = docs.withColumn(f"{own}size", words(F.col(text_col))).withColumns(
+        {
+            f"{own}source": F.coalesce(source, F.lit("")),
+            f"{own}none": source.isNull(),
+            f"{own}level": F.length(F.bin(col("size"))) * 8 + F.expr(f"shiftright(`{own}size`, greatest(length(bin(`{own}size`)) - 3, 0))"),
+            f"{own}bucket": unit_hash(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % strata,
+        }
+    )
+    counts = rows.groupBy(*[col(k).alias(k) for k in keys]).agg(F.count("*").alias("n"), F.sum(col("size")).alias("n_words"))
     wide = counts.groupBy("source", "none").agg(F.sum("n_words").alias("source_size"))
     order = W.orderBy("none", "source")
     wide = wide.withColumn("place", F.row_number().over(order)).withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), ((F.col("place") - 1) % len(weights) + 1).cast("int")))
@@ -70,14 +73,13 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     wide = wide.withColumn("rate", F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0)))
     offset = unit_hash(F.concat(F.lit(f"{seed}:"), F.col("none").cast("string"), F.lit(":"), F.col("source"))) / F.lit(4294967296.0)
     before = F.coalesce(F.sum("n").over(W.partitionBy("source", "none").orderBy("level", "bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    starts = counts.select(*keys, before.alias("before")).join(wide, ["source", "none"]).select(F.struct(*keys).alias("stratum"), "before", "source_size", "target", "rate", offset.alias("offset"))
-    within = W.partitionBy("mix.source", "mix.none", "mix.level", "mix.bucket").orderBy(size, F.col(id_col), F.xxhash64(F.col(text_col)))
-    ranked = rows.withColumn("mix", F.col("mix").withField("rank", F.row_number().over(within)))
-    s = starts.select(*[F.col(f"stratum.{k}").alias(f"{k}.stratum") for k in keys], F.struct("before", "source_size", "target", "rate", "offset").alias("stratum.of"))
-    joined = ranked.join(s, [F.col(f"mix.{k}") == F.col(f"`{k}.stratum`") for k in keys])
-    of, rank = F.col("`stratum.of`"), F.col("mix.rank")
+    starts = counts.select(*keys, before.alias("before")).join(wide, ["source", "none"]).select(*[F.col(k).alias(f"{own}{k}") for k in keys], F.struct("before", "source_size", "target", "rate", offset.alias("offset")).alias(f"{own}of"))
+    # rows are ranked and joined under one partitioning by stratum, so texts are shuffled once
+    within = W.partitionBy(*[col(k) for k in keys]).orderBy(col("size"), F.col(id_col), F.xxhash64(F.col(text_col)))
+    joined = rows.withColumn(f"{own}rank", F.row_number().over(within)).join(starts, [f"{own}{k}" for k in keys])
+    of, rank = col("of"), col("rank")
     upto = lambda r: F.floor(of["rate"] * (of["before"] + r) + of["offset"])
-    out = F.struct(size.alias("size"), of["source_size"].alias("source_size"), of["target"].alias("target"), (upto(rank) - upto(rank - 1)).alias("copies"))
+    out = F.struct(col("size").alias("size"), of["source_size"].alias("source_size"), of["target"].alias("target"), (upto(rank) - upto(rank - 1)).alias("copies"))
     return joined.select(*[F.col(f"`{c}`") for c in docs.columns], out.alias("mix"))
 
 
