@@ -48,12 +48,13 @@ def assign(lengths: list[int], capacity: int, linear: float = LINEAR, quadratic:
     return out
 
 
-def pack(docs: DataFrame, tokenizer: str, kind: str = "spaced", end_id: int = 0, capacity: int = CAPACITY, linear: float = LINEAR, quadratic: float = QUADRATIC, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, kind: str = "spaced", end_id: int = 0, capacity: int = CAPACITY, linear: float = LINEAR, quadratic: float = QUADRATIC, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, lasting: bool = True) -> DataFrame:
     """id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids): one row per piece.
 
     Every id of every row, the end id included, lies in exactly one piece; pieces of a sequence are gapless
     from offset 0 and hold at most ``capacity`` ids. Null and empty texts are the end id alone. Rows that
     repeat an id are packed one by one, each from start 0. A sequence's number tells its task and its place there.
+    ``lasting``: whether workers keep the words they have learned for their next tasks.
     """
     end = np.array([end_id], "<u4").tobytes()
     schema = pa.schema([("id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())] + [("ids", pa.binary())] * with_ids)
@@ -65,7 +66,7 @@ def pack(docs: DataFrame, tokenizer: str, kind: str = "spaced", end_id: int = 0,
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns + [ids] * with_ids, schema, strict=True)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = worker_encoder(tokenizer, kind)
+        encoder = worker_encoder(tokenizer, kind, lasting)
         sequence = TaskContext.get().partitionId() << 33
         rests: list[tuple[int, int, bytes, int]] = []
         held = 0
