@@ -198,3 +198,18 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wind
     found = spans(docs, id_col, text_col, window, anchor)
     rows = keyed(docs, id_col, text_col).join(found, ["id", "key"], "left").select("id", "text", "spans")
     return rows.mapInArrow(finish, "id long, n_words long, n_removed long, kept_sha256 string")
+
+
+#: DuckDB SQL for doc_id, n_words, n_removed, kept_sha256 over documents (of distinct ids).
+ORACLE = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM w),
+k AS (
+  SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS k
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM w WHERE len(w) >= 50)),
+f AS (SELECT k, min(doc_id) AS owner FROM k GROUP BY k),
+g AS (SELECT DISTINCT doc_id, unnest(range(k.i, k.i + 50)) AS i FROM k JOIN f USING (k) WHERE owner < doc_id),
+r AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept, count(*) AS n FROM (SELECT p.* FROM p ANTI JOIN g ON p.doc_id = g.doc_id AND p.i = g.i) GROUP BY doc_id)
+SELECT w.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM w LEFT JOIN r USING (doc_id)
+"""
