@@ -9,7 +9,7 @@ import types
 import numpy as np
 
 #: Words that a worker remembers, at most; bounds its memory. Of the older half those stay that are used again.
-REMEMBERED = 800_000
+REMEMBERED = 1_600_000
 #: Longer words are not remembered.
 LONGEST = 64
 
