@@ -18,8 +18,9 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+#: Characters of words, and what lies between them; the commonest ranges come first.
+WORD = r"[a-z\x{80}-\x{10FFFF}A-Z0-9]"
+SEPARATORS = r"[^a-z\x{80}-\x{10FFFF}A-Z0-9]+"
 #: Phrase and label of the base rules.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 #: Label, notice, key phrases.
@@ -80,9 +81,8 @@ def noticed(rows: DataFrame) -> DataFrame:
     """id, mark, labels (array), score of the rows in which templates are found."""
     vocabulary = sorted({w for _, text, _ in TEMPLATES for w in text.split()} - COMMON)
     known = F.array(*map(F.lit, vocabulary))
-    words = rows.select("id", "mark", F.split(lowered(F.col("text")), SEPARATORS).alias("words"))
-    some = words.where(F.arrays_overlap("words", known))
-    seen = some.select(F.explode(F.array_intersect("words", known)).alias("word")).groupBy("word").count()
+    words = F.split(lowered(F.col("text")), SEPARATORS)
+    seen = rows.select(F.explode(F.array_intersect(words, known)).alias("word")).groupBy("word").count()
     counts = {r["word"]: r["count"] for r in seen.collect()}  # at most one row a word of the templates
     n = rows.count()
     idf = {w: math.log((1 + n) / (1 + counts.get(w, 0))) + 1e-6 for w in vocabulary}
@@ -95,7 +95,10 @@ def noticed(rows: DataFrame) -> DataFrame:
     index = rows.sparkSession.createDataFrame(postings, "word string, template int, place int, weight double")
     spaced = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
     keys = sum((_all([F.contains(F.col("spaced"), F.lit(f" {k} ")) for k in ks]).cast("long") * (1 << t) for t, (_, _, ks) in enumerate(TEMPLATES)), F.lit(0).cast("long"))
-    some = some.withColumn("spaced", spaced).select("id", "mark", "words", keys.alias("keys")).where("keys <> 0")
+    # a text without the longest word of any template's key phrases has no template
+    some = rows.where(has_word(sorted({max(" ".join(ks).split(), key=len) for _, _, ks in TEMPLATES}))).select("id", "mark", F.array_remove(words, "").alias("words"))
+    some = some.withColumn("spaced", spaced).select("id", "mark", "words", keys.alias("keys"))
+    some = some.where("keys <> 0")
     opened = some.select("id", "mark", "keys", F.posexplode("words").alias("at", "word")).where(F.col("word").isin(sorted({p[0] for p in postings})))
     shift = F.col("at") - F.col("place") + 1024
     near = F.array(F.floor(shift / NEARBY) * 2, F.floor((shift + NEARBY // 2) / NEARBY) * 2 + 1)
@@ -108,6 +111,20 @@ def noticed(rows: DataFrame) -> DataFrame:
     return fine.groupBy("id", "mark").agg(F.collect_set("label").alias("labels"), F.round(F.max("score"), 9).alias("score"))
 
 
+def has_word(words: list[str]) -> Column:
+    """Whether a text holds one of the words; longer ones may stand within another word, which costs no more than a
+    look. The text is lowered once, as the one element of an array."""
+
+    def holds(low: Column) -> Column:
+        out = F.lit(False)
+        for w in words:
+            inside = F.contains(low, F.lit(w))
+            out = out | (inside if len(w) > 3 else inside & F.regexp_like(low, F.lit(phrase(w))))
+        return out
+
+    return F.exists(F.array(lowered(F.col("text"))), holds)
+
+
 def _all(conditions: list[Column]) -> Column:
     out = F.lit(True)
     for c in conditions:
@@ -132,3 +149,33 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     joined = lambda a: F.array_join(F.array_sort(F.array_distinct(a)), ",")
     none = F.array().cast("array<string>")
     return both.select("id", "n_words", "n_base", "first_word", "last_word", joined(F.col("base_labels")).alias("base_labels"), joined(F.concat("base_labels", F.coalesce("labels", none))).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"))
+
+
+def oracle() -> str:
+    """DuckDB SQL for the columns of ``scan`` over documents (of distinct ids)."""
+    rows = ", ".join(f"({t}, '{label}', '{w}', {place})" for t, (label, text, _) in enumerate(TEMPLATES) for place, w in enumerate(text.split()) if w not in COMMON)
+    keys = " OR ".join(f"(template = {t} AND " + " AND ".join(f"contains(line, ' {k} ')" for k in ks) + ")" for t, (_, _, ks) in enumerate(TEMPLATES))
+    nexts = ["word", "lead(word) OVER q", "lead(word, 2) OVER q"]
+    base = " UNION ALL ".join(f"SELECT doc_id, i, '{label}' AS label FROM b WHERE " + " AND ".join(f"w{n} = '{w}'" for n, w in enumerate(words.split())) for words, label in BASE)
+    return rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(replace(coalesce(text, ''), chr(8490), 'é')), '[a-z\x{{80}}-\x{{10FFFF}}0-9]+') AS w FROM documents),
+p AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS i FROM d),
+b AS (SELECT doc_id, i, {", ".join(f"{x} AS w{n}" for n, x in enumerate(nexts))} FROM p WINDOW q AS (PARTITION BY doc_id ORDER BY i)),
+h AS ({base}),
+bs AS (SELECT doc_id, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS labels FROM h GROUP BY doc_id),
+t(template, label, word, place) AS (VALUES {rows}),
+df AS (SELECT word, count(DISTINCT doc_id) AS n FROM p WHERE word IN (SELECT word FROM t) GROUP BY word),
+idf AS (SELECT word, ln((1 + (SELECT count(*) FROM documents)) / (1 + coalesce(n, 0))::DOUBLE) + 1e-6 AS weight FROM (SELECT DISTINCT word FROM t) LEFT JOIN df USING (word)),
+rare AS (SELECT template, word, weight FROM (SELECT *, row_number() OVER (PARTITION BY template ORDER BY weight DESC, word) AS r FROM (SELECT DISTINCT template, word FROM t) JOIN idf USING (word)) WHERE r <= {RAREST}),
+post AS (SELECT template, label, word, place, weight FROM t JOIN rare USING (template, word)),
+total AS (SELECT template, sum(weight) AS total FROM post GROUP BY template),
+v AS (SELECT doc_id, template, label, place, weight, unnest([(i - place + 1024) // {NEARBY} * 2, (i - place + 1024 + {NEARBY // 2}) // {NEARBY} * 2 + 1]) AS near FROM p JOIN post USING (word)),
+a AS (SELECT doc_id, template, label, near, sum(weight) AS agreed FROM (SELECT DISTINCT * FROM v) GROUP BY ALL),
+m AS (SELECT a.doc_id, label, template, least(1.0, agreed / total) AS score FROM a JOIN total USING (template) WHERE agreed / total >= {AGREES}),
+s AS (SELECT doc_id, ' ' || array_to_string(w, ' ') || ' ' AS line FROM d WHERE doc_id IN (SELECT doc_id FROM m)),
+f AS (SELECT doc_id, list(DISTINCT label) AS labels, round(max(score), 9) AS score FROM m JOIN s USING (doc_id) WHERE {keys} GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+  coalesce(array_to_string(list_sort(bs.labels), ','), '') AS base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(bs.labels, f.labels))), ','), '') AS labels, coalesce(f.score, 0.0)::DOUBLE AS score
+FROM d LEFT JOIN bs USING (doc_id) LEFT JOIN f USING (doc_id)
+"""

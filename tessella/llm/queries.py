@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.llm.license_scan import oracle as license_sql
 from tessella.llm.mixing import ORACLE as MIXING_SQL
+from tessella.llm.substring import ORACLE as SUBSTRING_SQL
 from tessella.llm.topk import ORACLE as TOPK_SQL
 
 
@@ -98,4 +100,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_license_scan, op3_substring_dedup, op4_token_store, op5_simhash_near_dedup, op6_cost_balanced_packing, op7_exact_topk, op8_quality_rules, op9_source_mixing, op10_toxicity)}
 
-ORACLES: dict[str, str] = {"op7_exact_topk": TOPK_SQL, "op9_source_mixing": MIXING_SQL}
+ORACLES: dict[str, str] = {"op2_license_scan": license_sql(), "op3_substring_dedup": SUBSTRING_SQL, "op7_exact_topk": TOPK_SQL, "op9_source_mixing": MIXING_SQL}
