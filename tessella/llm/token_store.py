@@ -32,8 +32,8 @@ ENTRY = np.dtype([("id", "<i8"), ("offset", "<u8"), ("compressed", "<u4"), ("n_t
 FOOTER = "<QI4s"
 SKIPPABLE = "<II"
 SKIPPABLE_MAGIC = 0x184D2A5E
-#: Bytes of text that one file is meant for.
-FILE_BYTES = 256 << 20
+#: zstandard's level.
+LEVEL = 1
 
 
 def open_store(url: str):
@@ -53,7 +53,7 @@ class Writer:
         self.fs.create_dir(self.path.rpartition("/")[0], recursive=True)
         self.part = f"{self.path}.{uuid.uuid4().hex}.part"
         self.file = self.fs.open_output_stream(self.part, compression=None)
-        self.compress = zstandard.ZstdCompressor(level=3).compress
+        self.compress = zstandard.ZstdCompressor(level=LEVEL).compress
         self.at, self.entries = 0, []
 
     def add(self, doc_id: int, ids: bytes) -> None:
@@ -140,8 +140,8 @@ def write(docs: DataFrame, folder: str, tokenizer: str, kind: str = "words", end
     return spark.createDataFrame(sorted(map(tuple, written.collect())), "file int, path string, n_docs long, n_tokens long")
 
 
-def read(spark: SparkSession, files: DataFrame) -> DataFrame:
-    """id, start, n_tokens, ids_crc32, ids of every document of the files; start counts the ids before it."""
+def read(spark: SparkSession, files: DataFrame, with_ids: bool = True) -> DataFrame:
+    """id, start, n_tokens, ids_crc32 (and ids) of every document of the files; start counts the ids before it."""
     rows, before = [], 0
     for r in files.orderBy("file").collect():  # one row a file
         rows.append((r["path"], before))
@@ -158,14 +158,14 @@ def read(spark: SparkSession, files: DataFrame) -> DataFrame:
                     begin = start + np.cumsum(counts) - counts
                     start += int(counts.sum())
                     doc = pa.array(t["id"].astype(np.int64), mask=t["id"] == -(1 << 63))
-                    yield pa.RecordBatch.from_arrays([doc, pa.array(begin), pa.array(counts), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["id", "start", "n_tokens", "ids_crc32", "ids"])
+                    yield pa.RecordBatch.from_arrays([doc, pa.array(begin), pa.array(counts), pa.array([zlib.crc32(x) for x in ids], pa.int64()), *[pa.array(ids, pa.binary())] * with_ids], ["id", "start", "n_tokens", "ids_crc32", *["ids"] * with_ids])
                 reader.close()
 
     parts = spark.createDataFrame(rows, "path string, start long")
-    return parts.repartition(max(1, len(rows)), "path").mapInArrow(run, "id long, start long, n_tokens long, ids_crc32 long, ids binary")
+    return parts.repartition(max(1, len(rows)), "path").mapInArrow(run, "id long, start long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
-def round_trip(docs: DataFrame, tokenizer: str, **how) -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer: str, with_ids: bool = False, **how) -> DataFrame:
     """Writes docs to the shared folder and reads the files back: see ``write`` and ``read``."""
     spark = docs.sparkSession
-    return read(spark, write(docs, new_folder(spark, "tokens"), tokenizer, **how))
+    return read(spark, write(docs, new_folder(spark, "tokens"), tokenizer, **how), with_ids)
