@@ -163,12 +163,13 @@ def score(docs: DataFrame, tables: tuple, id_col: str = "doc_id", text_col: str
                 words[np.arange(len(buckets)) + widest * text.document()] = row[buckets]
                 total = np.full(text.n, bias)
                 for i, (width, parts) in enumerate(zip(WIDTHS, kernels, strict=True)):
-                    # places of a filter: all that start in the document or its first zero vectors
-                    n = len(words) - widest
+                    # places of a filter: those of training, which end within the document's own zero vectors
+                    n = len(words) - widest + 1
                     values = 0
                     for j in range(width):
                         values = values + parts[j][words[j : n + j, 0]] + parts[j][words[j : n + j, 1]]
-                    top = np.maximum.reduceat(values, begin) if text.n else values
+                    end = begin + np.diff(text.first) + widest - width + 1
+                    top = np.maximum.reduceat(values, np.stack([begin, end], 1).ravel())[::2] if text.n else values[:0]
                     total += np.maximum(top, 0) @ out[i * FILTERS : (i + 1) * FILTERS]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(1 / (1 + np.exp(-np.clip(total, -30, 30))))], ["id", "lang", "score"])
 

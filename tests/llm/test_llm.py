@@ -4,6 +4,7 @@ import random
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -328,6 +329,24 @@ def test_classifiers_on_awkward_rows(docs, rows, empty, labels):
         assert {r.score for r in classify(docs, labels.where("false")).collect()} == {0.5}
 
 
+def test_toxicity_scores_a_text_by_itself(spark):
+    rng = np.random.default_rng(3)
+    row = (np.arange(toxicity.BUCKETS) % 50).astype(np.int32)
+    network = toxicity.Network(row, rng)
+    network.vectors[1:] = rng.normal(0, 1, network.vectors[1:].shape)
+    tables = network.tables()
+    texts = ["", None, *(prose(random.Random(i), i % 4 + 1) for i in range(40))]
+    d = [(i, t, "en") for i, t in enumerate(texts)]
+    schema = "doc_id long, text string, lang string"
+    beside = {r.id: r.score for r in toxicity.score(spark.createDataFrame(d, schema).coalesce(1), tables).collect()}
+    turned = {r.id: r.score for r in toxicity.score(spark.createDataFrame(d[::-1], schema).coalesce(1), tables).collect()}
+    for i, t in enumerate(texts):
+        buckets = toxicity.word_buckets(pa.array([t or ""]))[1]
+        top = np.maximum(network.pool(toxicity.padded(row, buckets))[0], 0)
+        alone = 1 / (1 + np.exp(-(top @ network.out + network.bias)))
+        assert abs(beside[i] - alone) < 1e-6 and abs(turned[i] - alone) < 1e-6
+
+
 def test_pipeline(spark):
     import corpus_pipeline
     from tokenizers import Tokenizer
