@@ -11,6 +11,11 @@ def held_out(doc_id: Column, modulus: int, held: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % modulus == held, F.lit(False))
 
 
+def marked(labels: DataFrame, label_col: str, modulus: int, held: int) -> DataFrame:
+    """id, label (0 or 1) of every id that is not held out; null labels and ids are left out, of several labels the largest counts."""
+    return labels.where(F.col(label_col).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), modulus, held)).groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max(label_col).cast("int").alias("label"))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, modulus: int, held: int, per_class: int, also: str | None = None) -> DataFrame:
     """id, label, text (and the column ``also``) of up to ``per_class`` documents of each label, 0 and 1.
 
@@ -18,7 +23,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, modulus:
     is the same on every run; nothing else of it depends on the table's size. Null labels and ids are left
     out; of several labels of an id the largest counts, of several texts the smallest.
     """
-    marks = labels.where(F.col(label_col).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), modulus, held)).groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max(label_col).cast("int").alias("label"))
+    marks = marked(labels, label_col, modulus, held)
     order = F.xxhash64("id", F.lit(7))
     chosen = None
     for label in (0, 1):

@@ -5,7 +5,7 @@ Words (lower-cased runs of letters, digits and bytes above 0x7F) are hashed, and
 all others the zero vector. Filters of several widths run over the whole
 text, each gives the largest value it finds, and a logistic unit turns these into a score. All is trained in
 numpy by stochastic gradient descent on a bounded sample of labelled documents. Thresholds are calibrated by
-language on sampled documents that training leaves out.
+language on all labelled documents that are neither held out nor trained on, counted by score.
 """
 
 from __future__ import annotations
@@ -13,16 +13,20 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.samples import held_out, labelled_sample
+from tessella.llm.samples import held_out, labelled_sample, marked
+from tessella.llm.storage import stash
 from tessella.llm.textbytes import Text, chunks
 
 BUCKETS, DIMENSIONS, WIDTHS, FILTERS = 1 << 20, 8, (1, 2, 3), 8
-#: Documents of each class that a model is fitted on, at most; one in ``CALIBRATION`` sets thresholds.
+#: Documents of each class that are sampled for fitting, at most; training leaves out one in ``CALIBRATION``.
 PER_CLASS, CALIBRATION = 2500, 5
+#: Steps of the scores that thresholds lie on; a power of two, so that they are exact.
+STEPS = 4096
 #: Sampled documents that must share a word before it gets a vector.
 SHARED = 4
 #: Leading bytes of a word that have a vector too.
@@ -102,9 +106,9 @@ def padded(row: np.ndarray, buckets: np.ndarray) -> np.ndarray:
     return np.concatenate([row[buckets], np.zeros((max(WIDTHS), 2), row.dtype)])
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", modulus: int = MODULUS, held: int = HELD, per_class: int = PER_CLASS) -> tuple[tuple, dict[str, float]]:
-    """A network's tables and the threshold of each language. Without documents of both labels all scores
-    are one half and there are no thresholds of languages."""
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", modulus: int = MODULUS, held: int = HELD, per_class: int = PER_CLASS) -> tuple[tuple, list[int]]:
+    """A network's tables and the ids that it was trained on. Without documents of both labels all scores
+    are one half and there are no such ids."""
     rows = sequences(labelled_sample(docs, labels, label_col, modulus, held, per_class, "lang")).toArrow().sort_by("id")  # a bounded sample
     samples = [(i, y, lang, np.asarray(b.values, np.int64).reshape(-1, 2)) for i, y, lang, b in zip(rows["id"].to_pylist(), rows["label"].to_pylist(), rows["lang"].to_pylist(), rows["buckets"], strict=True)]
     rng = np.random.default_rng(SEED)
@@ -112,7 +116,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", modulus: i
     if len({y for _, y, _, _ in samples}) < 2:
         network = Network(row, rng)
         network.out[:] = 0
-        return network.tables(), {}
+        return network.tables(), []
     chosen = [n % CALIBRATION == 0 for n in range(len(samples))]
     training = [(y, b) for (_, y, _, b), c in zip(samples, chosen, strict=True) if not c]
     shared = np.zeros(BUCKETS, np.int32)
@@ -127,24 +131,43 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", modulus: i
         for i in rng.permutation(len(training)):
             network.step(training[i][1], training[i][0], RATE * (1 - done / steps))
             done += 1
-    tables = network.tables()
-    marks: dict[str, list[tuple[float, int]]] = {}
-    for (_, y, lang, b), c in zip(samples, chosen, strict=True):
-        if c:
-            top = np.maximum(network.pool(padded(row, b))[0], 0)
-            marks.setdefault(lang or "", []).append((float(1 / (1 + np.exp(-(top @ network.out + network.bias)))), y))
-    return tables, {lang: calibrated(m) for lang, m in marks.items()}
-
-
-def calibrated(marks: list[tuple[float, int]]) -> float:
-    """The threshold of best F1 among the scores; of equal ones the nearest to ``THRESHOLD``. THRESHOLD where a label is missing."""
-    if len({y for _, y in marks}) < 2:
-        return THRESHOLD
-    s, y = np.array([m[0] for m in marks]), np.array([m[1] for m in marks])
-    cuts = np.unique(np.r_[s, THRESHOLD])
-    hits = np.array([(y[s >= c].sum(), (s >= c).sum()) for c in cuts])
-    f1 = np.round(2 * hits[:, 0] / (hits[:, 1] + y.sum()), 12)
-    return float(min(cuts[f1 == f1.max()], key=lambda c: abs(c - THRESHOLD)))
+    return network.tables(), [i for (i, _, _, _), c in zip(samples, chosen, strict=True) if not c]
+
+
+def calibrated(counts: pd.DataFrame) -> float:
+    """The threshold of best F1 over counts (step, label, rows: all, fresh: those not trained on) of one language;
+    of equal ones the nearest to ``THRESHOLD``. THRESHOLD where a label is missing.
+
+    Fresh rows of a label stand for all of its rows, so that the mix of labels is that of the table although
+    training takes more of a rare one.
+    """
+    after = []
+    for label in (0, 1):
+        mine = counts[counts["label"] == label]
+        fresh = np.bincount(mine["step"], mine["fresh"], STEPS + 1)
+        if not fresh.any():
+            return THRESHOLD
+        after.append(fresh[::-1].cumsum()[::-1] * (mine["rows"].sum() / fresh.sum()))
+    clean, toxic = after
+    f1 = np.round(2 * toxic / (clean + toxic + toxic[0]), 12)
+    cuts = np.flatnonzero(f1 == f1.max()) / STEPS
+    return float(cuts[np.abs(cuts - THRESHOLD).argmin()])
+
+
+def thresholds(scores: DataFrame, labels: DataFrame, trained: list[int], label_col: str = "toxic", modulus: int = MODULUS, held: int = HELD) -> DataFrame:
+    """language, own: the threshold of each language (null as empty) with labelled documents in ``scores``.
+
+    Every labelled row that is not held out is counted; what is grouped by language has at most two rows a step.
+    """
+    used = scores.sparkSession.createDataFrame([(i,) for i in trained], "id long").withColumn("trained", F.lit(True))
+    known = scores.join(marked(labels, label_col, modulus, held), "id").join(F.broadcast(used), "id", "left")  # at most 2 * PER_CLASS ids
+    step = F.floor(F.col("score") * STEPS).cast("int")
+    counts = known.groupBy(F.coalesce("lang", F.lit("")).alias("language"), step.alias("step"), "label").agg(F.count("*").alias("rows"), F.count_if(F.col("trained").isNull()).alias("fresh"))
+
+    def best(part: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"language": [part["language"].iloc[0]], "own": [calibrated(part)]})
+
+    return counts.groupBy("language").applyInPandas(best, "language string, own double")
 
 
 def score(docs: DataFrame, tables: tuple, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -180,8 +203,8 @@ def score(docs: DataFrame, tables: tuple, id_col: str = "doc_id", text_col: str
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """id, held_out, score, predicted (by ``threshold``), language_threshold, flagged (by that of the row's
     language, ``threshold`` where it has none) of every row of docs."""
-    tables, thresholds = fit(docs, labels)
-    own = F.lit(threshold)
-    for lang, t in sorted(thresholds.items()):  # at most one a sampled document
-        own = F.when(F.coalesce("lang", F.lit("")) == lang, F.lit(t)).otherwise(own)
-    return score(docs, tables).select("id", held_out(F.col("id"), MODULUS, HELD).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), own.alias("language_threshold"), (F.col("score") >= own).cast("int").alias("flagged"))
+    tables, trained = fit(docs, labels)
+    scores = stash(score(docs, tables), "scores")
+    own = stash(thresholds(scores, labels, trained), "thresholds")  # one row a language
+    rows = scores.join(F.broadcast(own), F.coalesce("lang", F.lit("")) == F.col("language"), "left").withColumn("own", F.coalesce("own", F.lit(threshold)))
+    return rows.select("id", held_out(F.col("id"), MODULUS, HELD).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), F.col("own").alias("language_threshold"), (F.col("score") >= F.col("own")).cast("int").alias("flagged"))

@@ -347,6 +347,35 @@ def test_toxicity_scores_a_text_by_itself(spark):
         assert abs(beside[i] - alone) < 1e-6 and abs(turned[i] - alone) < 1e-6
 
 
+def test_toxicity_thresholds_count_all_labelled_rows(spark):
+    # (language, score, label, trained on, rows): most rows lie outside of any bounded sample
+    kinds = [("en", 0.30, 1, False, 50), ("en", 0.70, 0, False, 3000), ("en", 0.90, 1, False, 3000), ("en", 0.10, 0, True, 40), ("de", 0.20, 0, False, 100), ("de", 0.40, 1, True, 90), ("de", 0.40, 1, False, 10), (None, 0.6, 1, False, 5)]
+    scores, marks = [], []
+    for lang, score, label, trained, n in kinds:
+        for _ in range(n):
+            scores.append((len(scores), lang, score))
+            marks.append((len(marks), label, trained))
+    held = {r.id for r in spark.createDataFrame([(i,) for i in range(len(scores))], "id long").where(toxicity.held_out(F.col("id"), toxicity.MODULUS, toxicity.HELD)).collect()}
+    trained = [i for i, _, t in marks if t and i not in held]
+    out = toxicity.thresholds(spark.createDataFrame(scores, "id long, lang string, score double"), spark.createDataFrame([m[:2] for m in marks], "doc_id long, toxic int"), trained)
+    expected = {}
+    for lang in ("en", "de"):
+        mine = [(s, marks[i][1], marks[i][2]) for i, l, s in scores if l == lang and i not in held]
+        fresh = [(s, y) for s, y, t in mine if not t]
+        weight = {y: sum(b == y for _, b, _ in mine) / sum(b == y for _, b in fresh) for y in (0, 1)}
+        f1 = {}
+        for cut in range(toxicity.STEPS + 1):
+            over = [sum(weight[y] for s, y in fresh if y == label and s >= cut / toxicity.STEPS) for label in (0, 1)] if cut % 64 == 0 else None
+            if over:
+                f1[cut / toxicity.STEPS] = round(2 * over[1] / (sum(over) + sum(b == 1 for _, b, _ in mine)), 12)
+        expected[lang] = max(f1.values()), f1
+    found = {r.language: r.own for r in out.collect()}
+    assert found.keys() == {"en", "de", ""} and found[""] == toxicity.THRESHOLD
+    assert 0.7 < found["en"] <= 0.9 and 0.2 < found["de"] <= 0.4
+    for lang, (best, f1) in expected.items():
+        assert max(v for c, v in f1.items() if abs(c - found[lang]) <= 1 / 64) == best
+
+
 def test_pipeline(spark):
     import corpus_pipeline
     from tokenizers import Tokenizer
