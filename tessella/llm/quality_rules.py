@@ -6,6 +6,7 @@ good documents that it would reject are counted; the exact binomial tail tells h
 the true rate of false rejections were above ``RISK``, and Holm's step-down over all strata, rules and
 cutoffs keeps the chance of any wrong choice under ``ERROR``. Of the admitted cutoffs of a rule the one that
 rejects most labelled bad documents is used, the mildest of equals; where none is admitted the rule is off.
+Every labelled language is a stratum, and so is null; no cutoff holds for documents of another stratum.
 """
 
 from __future__ import annotations
@@ -23,8 +24,6 @@ from tessella.llm.textbytes import MULTIPLIER, Text, chunks, inverse, mix, power
 
 RISK, ERROR = 0.02, 0.05
 MIN_WORDS, REPEAT_PERCENT = 50, 50
-#: Strata of their own; rarer languages share one.
-STRATA = 64
 #: Figures, and the cutoffs above which they reject.
 RULES = {
     "symbol_share": (0.02, 0.05, 0.1, 0.2, 0.3, 0.5, 0.8),
@@ -138,21 +137,19 @@ def base_failed(f: dict) -> Column:
 
 
 def learn(rows: DataFrame, labels: DataFrame, label_col: str = "quality", risk: float = RISK, error: float = ERROR) -> dict:
-    """{"strata": names, "cutoffs": {stratum: {rule: cutoff}}} from figures and labels (doc_id, 0 or 1).
+    """{stratum: {rule: cutoff}} from figures and labels (doc_id, 0 or 1); strata without cutoffs are left out.
 
     Counts are over all labelled documents; one row a stratum reaches the driver. Repeated labels of an id
     count once, as good if any is. Null labels are left out.
     """
     marks = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max(label_col).alias("good"))
     known = rows.join(marks, "id")
-    common = [r["stratum"] for r in known.where("stratum is not null").groupBy("stratum").count().orderBy(F.desc("count"), "stratum").limit(STRATA).collect()]
     f = {k: F.col(k) for k in FIGURES}
     sums = [F.count_if(F.col("good") == 1).alias("n")]
     for rule, value in shares(f).items():
         for i, c in enumerate(RULES[rule]):
             sums += [F.count_if((F.col("good") == 1) & (value > c)).alias(f"good:{rule}:{i}"), F.count_if((F.col("good") == 0) & (value > c)).alias(f"bad:{rule}:{i}")]
-    stratum = F.when(F.col("stratum").isin(common), F.col("stratum")).otherwise(F.lit(None))
-    counts = {r["group"]: r for r in known.where(~base_failed(f)).groupBy(stratum.alias("group")).agg(*sums).collect()}
+    counts = {r["group"]: r for r in known.where(~base_failed(f)).groupBy(F.col("stratum").alias("group")).agg(*sums).collect()}
     tests = [((s or "", s is None, rule, i), r[f"good:{rule}:{i}"], r["n"]) for s, r in counts.items() for rule, cs in RULES.items() for i in range(len(cs))]
     fine = admitted(tests, risk, error)
     cutoffs = {}
@@ -161,18 +158,19 @@ def learn(rows: DataFrame, labels: DataFrame, label_col: str = "quality", risk:
             best = max(((r[f"bad:{rule}:{i}"], c) for i, c in enumerate(cs) if (s or "", s is None, rule, i) in fine), default=None)
             if best and best[0]:
                 cutoffs.setdefault(s, {})[rule] = best[1]
-    return {"strata": common, "cutoffs": cutoffs}
+    return cutoffs
 
 
-def verdict(rules: dict, stratum: Column, f: dict[str, Column]) -> Column:
-    """True where the base rules and the learned ones keep a document."""
-    value = shares(f)
+def judged(rules: dict, rows: DataFrame) -> DataFrame:
+    """rows (stratum and FIGURES) with base_failed and kept: true where the base rules and the learned ones of
+    the row's stratum keep it."""
+    f = {k: F.col(k) for k in FIGURES}
+    limits = rows.sparkSession.createDataFrame([(s, *(cuts.get(r) for r in RULES)) for s, cuts in rules.items()], "of string, " + ", ".join(f"`cut {r}` double" for r in RULES))
     bad = F.lit(False)
-    for s, cuts in rules["cutoffs"].items():
-        here = ~F.coalesce(stratum.isin(rules["strata"]), F.lit(False)) if s is None else F.coalesce(stratum == s, F.lit(False))
-        for rule, c in cuts.items():
-            bad = bad | (here & (value[rule] > c))
-    return ~base_failed(f) & ~bad
+    for rule, value in shares(f).items():
+        bad = bad | F.coalesce(value > F.col(f"cut {rule}"), F.lit(False))
+    out = rows.join(F.broadcast(limits), F.col("stratum").eqNullSafe(F.col("of")), "left")  # one row a stratum
+    return out.select(*rows.columns, base_failed(f).alias("base_failed"), (~base_failed(f) & ~bad).alias("kept"))
 
 
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
@@ -184,8 +182,7 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """
     rows = stash(figures(docs, id_col, text_col, stratum_col), "figures")
     rules = learn(rows, labels)
-    f = {k: F.col(k) for k in FIGURES}
-    return rows.select("id", *FIGURES, base_failed(f).alias("base_failed"), verdict(rules, F.col("stratum"), f).alias("kept"))
+    return judged(rules, rows).select("id", *FIGURES, "base_failed", "kept")
 
 
 def keep(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
@@ -200,11 +197,9 @@ def keep(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: s
                 f = figures_of(Text(part.column(text_at)))
                 value = shares(f)
                 good = (f["n_words"] >= MIN_WORDS) & (100 * f["n_repeat_words"] <= REPEAT_PERCENT * f["n_words"])
-                strata = [s if s in rules["strata"] else None for s in part.column(stratum_at).to_pylist()]
-                for s, cuts in rules["cutoffs"].items():
-                    here = np.array([x == s for x in strata], bool)
-                    for rule, c in cuts.items():
-                        good &= ~(here & (value[rule] > c))
+                own = [rules.get(x, {}) for x in part.column(stratum_at).cast(pa.string()).to_pylist()]
+                for rule in RULES:
+                    good &= ~(value[rule] > np.array([cuts.get(rule, np.inf) for cuts in own], float))
                 yield part.filter(pa.array(good))
 
     return docs.mapInArrow(run, schema)

@@ -279,6 +279,25 @@ def test_rules_reject_junk_and_spare_good(spark):
     assert kept == set(range(600))
 
 
+def test_rules_hold_for_their_own_language_only(spark):
+    rng = random.Random(11)
+    plain = lambda i: (i, prose(rng, 100))
+    junk = lambda i: (i, " ".join(f"{w}###" for w in prose(rng, 100).split()))
+    rows, marks = [], []
+    for lang in (None, "en"):
+        for n in range(900):
+            rows.append(((plain if n < 800 else junk)(len(rows)), lang, int(n < 800)))
+    for k in range(70):  # more languages than had a stratum before; their documents are good and full of symbols
+        rows += [(junk(len(rows)), f"l{k:02}", 1)]
+    marks = [(i, y) for (i, _), _, y in rows]
+    unlabelled = [(junk(len(rows) + n), "xx", None) for n in range(20)]
+    d = spark.createDataFrame([(i, t, lang) for (i, t), lang, _ in rows + unlabelled], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame(marks, "doc_id long, quality int")
+    good = {i for (i, _), lang, y in rows + unlabelled if y != 0}
+    assert {r.id for r in quality_rules.judge(d, labels).where("kept").collect()} == good
+    assert {r.doc_id for r in quality_rules.keep(d, labels).collect()} == good
+
+
 def test_mixing(docs, rows, empty):
     out = mixing.mix(docs).select("doc_id", "text", "source", "mix.*").collect()
     sizes = {}
