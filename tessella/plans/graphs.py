@@ -12,8 +12,6 @@ from tessella.operators import spectral as S
 from tessella.plans.registry import query, rounded
 from tessella.sources import tables as T
 
-SMALL = 20  # patches of an image in the queries of costly measures, and of the pixel graph's rows
-
 
 def patches(spark, sf_dir) -> DataFrame:
     return T.patches(spark, sf_dir)
@@ -126,12 +124,12 @@ def g4_cc_affinity(spark, sf_dir):
 
 @query()
 def g5_lncc_distance(spark, sf_dir):
-    return rounded(A.measured(grey(spark, sf_dir).where(F.col("p") < SMALL), lambda a, b: V.lncc_distance(a, b, T.PATCH)))
+    return rounded(A.measured(grey(spark, sf_dir), lambda a, b: V.lncc_distance(a, b, T.PATCH)))
 
 
 @query()
 def g6_ssim_distance(spark, sf_dir):
-    return rounded(A.measured(grey(spark, sf_dir).where(F.col("p") < SMALL), lambda a, b: V.ssim_distance(a, b, T.PATCH)))
+    return rounded(A.measured(grey(spark, sf_dir), lambda a, b: V.ssim_distance(a, b, T.PATCH)))
 
 
 @query(GP + "SELECT image_id, i, j, round(acos(least(greatest(list_dot_product(a, b) / (sqrt(list_dot_product(a, a)) * sqrt(list_dot_product(b, b))), -1), 1)), 4) AS w FROM q WHERE i <> j")
@@ -221,9 +219,9 @@ def g17_laplacian(spark, sf_dir):
 
 @query()
 def g18_scc_and_ms_ssim(spark, sf_dir):
-    few = grey(spark, sf_dir).where("p < 6")
-    scc = A.measured(few, lambda a, b: V.scc_distance(a, b, T.PATCH)).withColumnRenamed("w", "scc")
-    return rounded(scc.join(A.measured(few, lambda a, b: V.ms_ssim_distance(a, b, T.PATCH)).withColumnRenamed("w", "ms_ssim"), ["image_id", "i", "j"]))
+    all_grey = grey(spark, sf_dir)
+    scc = A.measured(all_grey, lambda a, b: V.scc_distance(a, b, T.PATCH)).withColumnRenamed("w", "scc")
+    return rounded(scc.join(A.measured(all_grey, lambda a, b: V.ms_ssim_distance(a, b, T.PATCH)).withColumnRenamed("w", "ms_ssim"), ["image_id", "i", "j"]))
 
 
 def eigen(spark, sf_dir, kind="laplacian_normalised") -> DataFrame:
