@@ -11,9 +11,12 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` as the session has it; a temporary folder only where it is unset."""
+    """``spark.checkpoint.dir`` as the session has it. Where it is unset a local session gets a temporary folder;
+    on a cluster that is an error, as executors share no such folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessella-"))
         folder = spark.sparkContext.getCheckpointDir()
     return folder.rstrip("/")

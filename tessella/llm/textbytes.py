@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes of text that one numpy pass handles; a longer single document is handled alone.
+#: Bytes of text that one numpy pass handles; a longer single document is handled alone, and hashed in parts.
 CHUNK_BYTES = 1 << 20
 
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -112,25 +112,54 @@ class Text:
     def word_hashes(self, data: np.ndarray | None = None, longest: int | None = None) -> np.ndarray:
         """A 64-bit hash of each word's bytes, or of its first ``longest`` ones."""
         data = self.data if data is None else data
-        if not len(self.starts):
-            return np.zeros(0, np.uint64)
-        ends = self.ends if longest is None else np.minimum(self.ends, self.starts + longest)
-        with np.errstate(over="ignore"):
-            sums = np.zeros(len(data) + 1, np.uint64)
-            np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(MULTIPLIER, len(data)), out=sums[1:])
-            back = powers(inverse(MULTIPLIER), len(data))
-            return mix((sums[ends] - sums[self.starts]) * back[self.starts])
+        return range_hashes(data, self.starts, self.ends if longest is None else np.minimum(self.ends, self.starts + longest))
+
 
+def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, limit: int = CHUNK_BYTES) -> np.ndarray:
+    """A 64-bit hash of each of the byte ranges, which ascend and do not overlap, by blocks of ``limit`` bytes.
 
-def window_hashes(words: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of all windows of k consecutive words, over document borders too (callers leave those out)."""
+    What a range hashes to depends on its bytes alone; one longer than a block is summed in parts."""
+    out = np.zeros(len(starts), np.uint64)
+    block = min(limit, len(data))
+    up, down = powers(MULTIPLIER, block), powers(inverse(MULTIPLIER), block)
+    sums = np.zeros(block + 1, np.uint64)
+    lo = 0
+    with np.errstate(over="ignore"):
+        while lo < len(starts):
+            base = int(starts[lo])
+            hi = int(np.searchsorted(ends, base + block, "right"))
+            if hi > lo:
+                n = int(ends[hi - 1]) - base
+                np.cumsum((data[base : base + n].astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1 : n + 1])
+                out[lo:hi] = (sums[ends[lo:hi] - base] - sums[starts[lo:hi] - base]) * down[np.minimum(starts[lo:hi] - base, block - 1)]
+                lo = hi
+                continue
+            total, shift = np.uint64(0), np.uint64(1)
+            for at in range(base, int(ends[lo]), block):
+                part = data[at : min(at + block, int(ends[lo]))].astype(np.uint64) + np.uint64(1)
+                total += (part * up[: len(part)]).sum(dtype=np.uint64) * shift
+                shift *= up[-1] * MULTIPLIER
+            out[lo] = total
+            lo += 1
+    return mix(out)
+
+
+def window_hashes(words: np.ndarray, k: int, limit: int = CHUNK_BYTES) -> np.ndarray:
+    """Hashes of all windows of k consecutive words, over document borders too (callers leave those out), by blocks
+    of ``limit`` windows."""
     n = len(words) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
+    out = np.empty(n, np.uint64)
+    block = min(limit, n)
+    up, down = powers(WINDOW_MULTIPLIER, block + k - 1), powers(inverse(WINDOW_MULTIPLIER), block)
+    sums = np.zeros(block + k, np.uint64)
     with np.errstate(over="ignore"):
-        sums = np.zeros(len(words) + 1, np.uint64)
-        np.cumsum(words * powers(WINDOW_MULTIPLIER, len(words)), out=sums[1:])
-        return mix((sums[k:] - sums[:-k]) * powers(inverse(WINDOW_MULTIPLIER), n))
+        for i in range(0, n, block):
+            m = min(block, n - i)
+            np.cumsum(words[i : i + m + k - 1] * up[: m + k - 1], out=sums[1 : m + k])
+            out[i : i + m] = mix((sums[k : m + k] - sums[:m]) * down[:m])
+    return out
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:

@@ -127,6 +127,52 @@ def test_substring(docs, rows, empty):
     assert got(substring.digest(empty)) == [] == got(substring.deduped(empty))
 
 
+def test_factors_rebuild_the_text(spark):
+    """On documents made of pieces of others: factors are equal words of a smaller id, and those that follow each other
+    at a boundary are all found."""
+    rng = random.Random(8)
+    texts = [prose(rng, rng.randrange(60, 900), 30) for _ in range(12)] + ["x " * 700, "x " * 400 + "y"]
+    for _ in range(40):
+        parts = []
+        for _ in range(rng.randrange(1, 6)):
+            w = texts[rng.randrange(len(texts))].split()
+            at = rng.randrange(len(w))
+            parts += w[at : at + rng.randrange(20, 300)] + prose(rng, rng.randrange(3)).split()
+        texts.append(" ".join(parts))
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    found = {}
+    for r in substring.factors(df, block=16).collect():
+        w = brute.words(texts[r.id])[r.start : r.start + r.length]
+        assert r.of < r.id and r.length >= substring.WINDOW and len(w) == r.length
+        assert w == brute.words(texts[r.of])[r.of_start : r.of_start + r.length]
+        found.setdefault(r.id, set()).update(range(r.start, r.start + r.length))
+    for i, n, g, kept in brute.substring(rows):
+        assert len(found.get(i, ())) == g
+        assert [x for k, x in enumerate(brute.words(texts[i])) if k not in found.get(i, ())] == kept
+    assert got(substring.digest(df)) == sorted(((i, n, g, brute.sha(k)) for i, n, g, k in brute.substring(rows)), key=str)
+
+
+def test_parse_decides_on_words(monkeypatch):
+    """With hashes that all clash the parse still finds just what is equal."""
+    monkeypatch.setattr(substring, "window_hashes", lambda words, k: np.zeros(max(len(words) - k + 1, 0), np.uint64))
+    a, b = (" ".join(f"{c}{i}" for i in range(70)) for c in "ab")
+    text = substring.Text(pa.array([f"{a} {b}", b]))
+    blocks = pa.array([[{"of": 1, "number": 0, "words": b}], [{"of": 2, "number": 0, "words": a}]], pa.list_(pa.struct([("of", pa.int64()), ("number", pa.int64()), ("words", pa.string())])))
+    assert substring.parse(text, blocks, 50, 128) == [(0, 70, 70, 1, 0)]
+
+
+def test_hashes_do_not_depend_on_blocks():
+    from tessella.llm.textbytes import Text, range_hashes, window_hashes
+
+    text = Text(pa.array(["one two three", "a" * 100 + " b", ""]))
+    whole = range_hashes(text.data, text.starts, text.ends)
+    assert len(set(whole.tolist())) == 5
+    for limit in (1, 3, 7, 50):
+        assert (range_hashes(text.data, text.starts, text.ends, limit) == whole).all()
+        assert (window_hashes(whole, 2, limit) == window_hashes(whole, 2)).all()
+
+
 def test_substring_on_data(spark):
     d = [(r[0], r[1]) for r in data()]
     assert got(Q.op3_substring_dedup(spark, "/root/testdata/sf0.01")) == sorted(((i, n, g, brute.sha(k)) for i, n, g, k in brute.substring(d)), key=str)
