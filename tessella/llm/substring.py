@@ -107,21 +107,22 @@ def candidates(rows: DataFrame, window: int, anchor: int, block: int) -> DataFra
     shared = stash(pieces.join(known, "anchor"), "shared")
     discard(pieces, known)
     # the index: each distinct run with its smallest document, and whether its anchor has other runs
-    place = F.struct("id", "key", "start")
-    distinct = stash(shared.groupBy("anchor", "run").agg(F.min(place).alias("first")), "distinct")
+    first = [F.min("id").alias("of"), F.min_by("key", "id").alias("of_key"), F.min_by("start", "id").alias("of_start")]
+    distinct = stash(shared.groupBy("anchor", "run").agg(*first), "distinct")
     several = stash(distinct.groupBy("anchor").agg(F.count("*").alias("runs")).where("runs > 1").select("anchor"), "several")
-    index = stash(distinct.join(several.withColumn("open", F.lit(True)), "anchor", "left").select("anchor", "run", "first", F.coalesce("open", F.lit(False)).alias("open")), "index")
+    index = stash(distinct.join(several.withColumn("open", F.lit(True)), "anchor", "left").select("anchor", "run", "of", "of_key", "of_start", F.coalesce("open", F.lit(False)).alias("open")), "index")
     discard(distinct, several)
-    found = stash(shared.join(index, ["anchor", "run"]).where("first.id < id or open").select("id", "key", "start", "n", F.when(F.col("first.id") < F.col("id"), F.col("first")).alias("first")), "found")
+    found = stash(shared.join(index, ["anchor", "run"]).where("of < id or open").select("id", "key", "start", "n", "of", "of_key", "of_start", (F.col("of") < F.col("id")).alias("whole")), "found")
     discard(shared, index)
     # windows of the runs that their own document was first to have
-    asked = found.where("first is null").groupBy("id", "key").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    asked = found.where("not whole").groupBy("id", "key").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
     opened = stash(rows.join(asked, ["id", "key"]).select("id", "key", "text", "spans").mapInArrow(open_windows, "id long, key long, start int, window long, check int"), "windows")
-    firsts = stash(opened.groupBy("window", "check").agg(F.min(place).alias("first"), F.max("id").alias("high")).where("first.id < high").select("window", "check", "first"), "firsts")
-    single = opened.join(firsts, ["window", "check"]).where("first.id < id").select("id", "key", F.lit(1).alias("n"), "first")
-    both = found.where("first is not null").select("id", "key", "n", "first").unionByName(single)
-    numbers = F.sequence(F.floor(F.col("first.start") / block), F.floor((F.col("first.start") + F.col("n") - 1) / block))
-    out = stash(both.select("id", "key", F.col("first.id").alias("of"), F.col("first.key").alias("of_key"), F.explode(numbers).alias("number")).distinct(), "candidates")
+    firsts = stash(opened.groupBy("window", "check").agg(*first, F.max("id").alias("high")).where("of < high").drop("high"), "firsts")
+    columns = ["id", "key", "n", "of", "of_key", "of_start"]
+    single = opened.join(firsts, ["window", "check"]).where("of < id").withColumn("n", F.lit(1)).select(columns)
+    both = found.where("whole").select(columns).unionByName(single)
+    numbers = F.sequence(F.floor(F.col("of_start") / block), F.floor((F.col("of_start") + F.col("n") - 1) / block))
+    out = stash(both.select("id", "key", "of", "of_key", F.explode(numbers).alias("number")).distinct(), "candidates")
     discard(opened, firsts, found)
     return out
 
