@@ -1,12 +1,15 @@
 """Quality rules whose thresholds are chosen with a bound on false rejections.
 
-A rule rejects a document when one of its figures passes a cutoff. The cutoffs come from a fixed grid, so
-every labelled document is a holdout for them. For each stratum (language), rule and cutoff the labelled
-good documents that it would reject are counted; the exact binomial tail tells how likely so few would be if
-the true rate of false rejections were above ``RISK``, and Holm's step-down over all strata, rules and
-cutoffs keeps the chance of any wrong choice under ``ERROR``. Of the admitted cutoffs of a rule the one that
-rejects most labelled bad documents is used, the mildest of equals; where none is admitted the rule is off.
-Every labelled language is a stratum, and so is null; no cutoff holds for documents of another stratum.
+A rule rejects a document when one of its figures passes a cutoff from a fixed grid. In each stratum (language)
+the labelled good documents are split by a hash of their ids. A part of them, with the bad documents, sets the
+order in which cutoffs are tightened: each step is the one that costs fewest of these good documents and, of
+such steps, rejects most further bad ones. The others are the holdout: along that path, from its mildest
+setting on, the holdout documents that any rule of the setting rejects are counted, and the exact binomial tail
+tells how likely so few would be if the setting rejected more than ``RISK`` of all good documents. The path is
+followed until a setting fails (fixed-sequence testing, so a path needs no correction of its own), and
+Bonferroni's correction over the strata keeps the chance of any wrong choice under ``ERROR``. What is bounded is
+thus all that the learned rules of a stratum reject together. Strata with too few holdout documents to pass
+even without a rejection are not tested and have no learned rules, and no rule holds for another stratum.
 """
 
 from __future__ import annotations
@@ -15,14 +18,17 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.storage import stash
-from tessella.llm.textbytes import MULTIPLIER, Text, chunks, inverse, mix, powers, window_hashes
+from tessella.llm.storage import discard, stash
+from tessella.llm.textbytes import MULTIPLIER, Text, chunks, mix, range_hashes, window_hashes
 
-RISK, ERROR = 0.02, 0.05
+RISK, ERROR = 0.03, 0.05
+#: Of every so many labelled good documents one helps to set the order of cutoffs; the others are the holdout.
+DESIGN = 4
 MIN_WORDS, REPEAT_PERCENT = 50, 50
 #: Figures, and the cutoffs above which they reject.
 RULES = {
@@ -37,9 +43,12 @@ FIGURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 
 def range_sums(flag: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """How many flags are set between each two neighbouring offsets."""
-    sums = np.zeros(len(flag) + 1, np.int64)
-    np.cumsum(flag, out=sums[1:])
-    return np.diff(sums[offsets])
+    size = np.diff(offsets)
+    some = size > 0
+    out = np.zeros(len(size), np.int64)
+    if some.any():
+        out[some] = np.add.reduceat(flag, offsets[:-1][some], dtype=np.int64)
+    return out
 
 
 def figures_of(text: Text) -> dict[str, np.ndarray]:
@@ -65,9 +74,7 @@ def figures_of(text: Text) -> dict[str, np.ndarray]:
     start, stop = start[filled], stop[filled]
     doc = np.searchsorted(offsets, start, "right") - 1
     with np.errstate(over="ignore"):
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(MULTIPLIER, len(data)), out=sums[1:])
-        lines = mix(mix((sums[stop] - sums[start]) * powers(inverse(MULTIPLIER), len(data) + 1)[start]) + doc.astype(np.uint64))
+        lines = mix(range_hashes(data, start, stop) + doc.astype(np.uint64))
     again = np.ones(len(lines), bool)
     again[np.unique(lines, return_index=True)[1]] = False
     out["n_lines"] = np.bincount(doc, minlength=text.n)
@@ -113,22 +120,62 @@ def figures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", str
 
 
 def binomial_tail(k: int, n: int, p: float) -> float:
-    """The chance of k or fewer out of n at rate p."""
-    if n == 0:
+    """The chance of k or fewer out of n at rate p: all terms that still matter are summed, from k down."""
+    if k >= n or k > n * p + 40 * math.sqrt(n * p) + 40:
         return 1.0
-    logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(max(0, k - 2000), k + 1)]
-    top = max(logs)
-    return min(1.0, math.exp(top) * math.fsum(math.exp(x - top) for x in logs))
+    top = math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log1p(-p)
+    term = total = 1.0
+    for i in range(k, 0, -1):
+        ratio = i / (n - i + 1) * (1 - p) / p
+        term *= ratio
+        total += term
+        if ratio < 1 and term < 1e-17 * total * (1 - ratio):
+            break
+    return min(1.0, math.exp(top + math.log(total)))
+
+
+def testable(holdouts: list[int], risk: float, error: float) -> tuple[int, float]:
+    """(n, e): strata with n or more holdout documents are tested, each at error e. As many strata as can pass without
+    a rejection share ``error``; n is 0 with e 0 where none can."""
+    out = (0, 0.0)
+    for m, n in enumerate(sorted(holdouts, reverse=True), 1):
+        if binomial_tail(0, n, risk) > error / m:
+            break
+        out = (n, error / m)
+    return out
 
 
-def admitted(tests: list[tuple[tuple, int, int]], risk: float, error: float) -> set[tuple]:
-    """Keys of the tests (key, false rejections, good documents) that Holm's procedure admits."""
-    ranked = sorted((binomial_tail(k, n, risk), key) for key, k, n in tests)
-    out = set()
-    for i, (p, key) in enumerate(ranked):
-        if p > error / (len(ranked) - i):
+def path(levels: np.ndarray, bad: np.ndarray, design: np.ndarray, limit: float) -> list[tuple[int, ...]]:
+    """Settings (for each rule the index of its cutoff, the number of cutoffs where it is off), each tighter than the
+    one before. levels: for each group of equal documents how many cutoffs of each rule its figures pass; bad,
+    design: how many bad and how many good documents the group has. Settings that reject more than ``limit`` of
+    the good ones are not taken."""
+    sizes = [len(c) for c in RULES.values()]
+    setting, out = tuple(sizes), []
+    lost = lambda s: (levels > np.array(s)).any(1)
+    while True:
+        gone = lost(setting)
+        best = None
+        for r, size in enumerate(sizes):
+            for c in range(setting[r] - 1, -1, -1):
+                new = setting[:r] + (c,) + setting[r + 1 :]
+                more = lost(new)
+                cost, gain = int(design[more & ~gone].sum()), int(bad[more & ~gone].sum())
+                if gain and design[more].sum() <= limit * design.sum():
+                    best = min(best or (math.inf,), (cost, -gain, r, -c, new))
+        if best is None:
+            return out
+        setting = best[4]
+        out.append(setting)
+
+
+def certified(settings: list[tuple[int, ...]], levels: np.ndarray, holdout: np.ndarray, risk: float, error: float) -> tuple[int, ...] | None:
+    """The last setting before the first one whose false rejections of ``holdout`` documents are too many."""
+    out, n = None, int(holdout.sum())
+    for s in settings:
+        if binomial_tail(int(holdout[(levels > np.array(s)).any(1)].sum()), n, risk) > error:
             break
-        out.add(key)
+        out = s
     return out
 
 
@@ -139,26 +186,29 @@ def base_failed(f: dict) -> Column:
 def learn(rows: DataFrame, labels: DataFrame, label_col: str = "quality", risk: float = RISK, error: float = ERROR) -> dict:
     """{stratum: {rule: cutoff}} from figures and labels (doc_id, 0 or 1); strata without cutoffs are left out.
 
-    Counts are over all labelled documents; one row a stratum reaches the driver. Repeated labels of an id
-    count once, as good if any is. Null labels are left out.
+    All labelled documents that pass the base rules are counted, by stratum and by how many cutoffs their figures
+    pass; a stratum is learned from such counts, whose number the grid bounds, and one row a stratum reaches the
+    driver. Repeated labels of an id count once, as good if any is. Null labels are left out.
     """
-    marks = labels.where(F.col(label_col).isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max(label_col).alias("good"))
-    known = rows.join(marks, "id")
+    marks = labels.where(F.col(label_col).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max(label_col).alias("good"))
     f = {k: F.col(k) for k in FIGURES}
-    sums = [F.count_if(F.col("good") == 1).alias("n")]
-    for rule, value in shares(f).items():
-        for i, c in enumerate(RULES[rule]):
-            sums += [F.count_if((F.col("good") == 1) & (value > c)).alias(f"good:{rule}:{i}"), F.count_if((F.col("good") == 0) & (value > c)).alias(f"bad:{rule}:{i}")]
-    counts = {r["group"]: r for r in known.where(~base_failed(f)).groupBy(F.col("stratum").alias("group")).agg(*sums).collect()}
-    tests = [((s or "", s is None, rule, i), r[f"good:{rule}:{i}"], r["n"]) for s, r in counts.items() for rule, cs in RULES.items() for i in range(len(cs))]
-    fine = admitted(tests, risk, error)
-    cutoffs = {}
-    for s, r in counts.items():
-        for rule, cs in RULES.items():
-            best = max(((r[f"bad:{rule}:{i}"], c) for i, c in enumerate(cs) if (s or "", s is None, rule, i) in fine), default=None)
-            if best and best[0]:
-                cutoffs.setdefault(s, {})[rule] = best[1]
-    return cutoffs
+    passed = [sum(((value > c).cast("int") for c in RULES[rule]), F.lit(0)).alias(rule) for rule, value in shares(f).items()]
+    design = F.pmod(F.xxhash64("id", F.lit(8)), F.lit(DESIGN)) == 0
+    good = F.col("good") == 1
+    known = rows.join(marks, "id").where(~base_failed(f)).select(F.col("stratum"), *passed, (~good).cast("long").alias("bad"), (good & design).cast("long").alias("design"), (good & ~design).cast("long").alias("holdout"))
+    cells = stash(known.groupBy("stratum", *RULES).agg(F.sum("bad").alias("bad"), F.sum("design").alias("design"), F.sum("holdout").alias("holdout")), "cells")
+    least, each = testable([r["n"] for r in cells.groupBy("stratum").agg(F.sum("holdout").alias("n")).collect()], risk, error)
+
+    def choose(part: pd.DataFrame) -> pd.DataFrame:
+        levels, (bad, design, holdout) = part[list(RULES)].to_numpy(), (part[c].to_numpy() for c in ("bad", "design", "holdout"))
+        best = certified(path(levels, bad, design, risk), levels, holdout, risk, each) if each and holdout.sum() >= least else None
+        cuts = {rule: [cs[i] if i < len(cs) else None] for (rule, cs), i in zip(RULES.items(), best or [math.inf] * len(RULES), strict=True)}
+        return pd.DataFrame({"stratum": [part["stratum"].iloc[0]]} | cuts)
+
+    found = cells.groupBy("stratum").applyInPandas(choose, "stratum string, " + ", ".join(f"{r} double" for r in RULES)).collect()
+    discard(cells)
+    rules = {r["stratum"]: {k: r[k] for k in RULES if r[k] is not None} for r in found}
+    return {s: cuts for s, cuts in rules.items() if cuts}
 
 
 def judged(rules: dict, rows: DataFrame) -> DataFrame:
@@ -188,7 +238,9 @@ def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def keep(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang") -> DataFrame:
     """The rows of docs that the rules keep, as they are. Figures are taken twice, to learn the rules and to
     apply them, so that no text is shuffled."""
-    rules = learn(stash(figures(docs, id_col, text_col, stratum_col), "figures"), labels)
+    rows = stash(figures(docs, id_col, text_col, stratum_col), "figures")
+    rules = learn(rows, labels)
+    discard(rows)
     schema, text_at, stratum_at = docs.schema, docs.columns.index(text_col), docs.columns.index(stratum_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,6 +1,7 @@
 """The operators against plain Python versions, on rows that are awkward on purpose and on the test data."""
 
 import random
+from math import comb
 
 import duckdb
 import numpy as np
@@ -306,13 +307,84 @@ def test_quality_figures(docs, rows, empty, labels):
 
 
 def test_binomial_bounds():
-    from math import comb
-
     for k, n, p in ((0, 100, 0.05), (3, 50, 0.1), (20, 20, 0.3), (5, 400, 0.02)):
         exact = sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
         assert abs(quality_rules.binomial_tail(k, n, p) - exact) < 1e-12
-    tests = [("a", 0, 400), ("b", 30, 400), ("c", 0, 20)]
-    assert quality_rules.admitted(tests, 0.02, 0.05) == {"a"}
+    huge = quality_rules.binomial_tail(2_990_000, 100_000_000, 0.03)  # about 5.9 deviations below the mean
+    assert 1e-10 < huge < 1e-8 and quality_rules.binomial_tail(3_000_000, 100_000_000, 0.03) > 0.5
+    assert quality_rules.testable([300, 200, 20], 0.02, 0.05) == (200, 0.025) and quality_rules.testable([20, 0], 0.02, 0.05) == (0, 0.0)
+
+
+def figure_rows(d):
+    """(id, stratum, shares in the order of RULES, base_failed) of (id, text, stratum), by plain Python."""
+    out = []
+    for i, t, lang in d:
+        n, chars, symbols, dup, again, failed = brute.figures(t)
+        lines = sum(bool(brute.words(x)) for x in (t or "").split("\n"))
+        upper = sum("A" <= c <= "Z" for c in t or "")
+        out.append((i, lang, (symbols / max(n, 1), upper / max(chars, 1), dup / max(lines, 1), again / max(n, 1), chars / max(n, 1)), failed))
+    return out
+
+
+def plain_rules(spark, rows, marks, risk=quality_rules.RISK, error=quality_rules.ERROR):
+    """{stratum: {rule: cutoff}} row by row: the definition of ``quality_rules.learn``."""
+    design = {r.id for r in spark.createDataFrame([(i,) for i in marks], "id long").where(F.pmod(F.xxhash64("id", F.lit(8)), F.lit(quality_rules.DESIGN)) == 0).collect()}
+    grids = list(quality_rules.RULES.values())
+    strata = {}
+    for i, lang, values, failed in rows:
+        if i in marks and not failed:
+            strata.setdefault(lang, []).append((values, marks[i], i in design))
+    hold = {s: [v for v, y, d in m if y and not d] for s, m in strata.items()}
+    tested = 0
+    for n in sorted(map(len, hold.values()), reverse=True):
+        if (1 - risk) ** n > error / (tested + 1):
+            break
+        tested += 1
+    out = {}
+    for s in sorted(hold, key=lambda s: -len(hold[s]))[:tested]:
+        rejects = lambda setting, v: any(k < len(g) and x > g[k] for k, g, x in zip(setting, grids, v))
+        bad, planned = [v for v, y, _ in strata[s] if not y], [v for v, y, d in strata[s] if y and d]
+        setting, chosen = tuple(map(len, grids)), None
+        while True:
+            steps = []
+            for r in range(len(grids)):
+                for c in range(setting[r]):
+                    new = (*setting[:r], c, *setting[r + 1 :])
+                    gain = sum(rejects(new, v) and not rejects(setting, v) for v in bad)
+                    if gain and sum(rejects(new, v) for v in planned) <= risk * len(planned):
+                        steps.append((sum(rejects(new, v) and not rejects(setting, v) for v in planned), -gain, r, -c, new))
+            if not steps:
+                break
+            setting = min(steps)[-1]
+            n, k = len(hold[s]), sum(rejects(setting, v) for v in hold[s])
+            if sum(comb(n, i) * risk**i * (1 - risk) ** (n - i) for i in range(k + 1)) > error / tested:
+                break
+            chosen = setting
+        if chosen:
+            out[s] = {rule: g[c] for (rule, g), c in zip(quality_rules.RULES.items(), chosen) if c < len(g)}
+    return out
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_learned_rules_on_data(spark, sf):
+    """Cutoffs and verdicts equal the plain definition; they are admitted where labels suffice; false rejections of
+    good documents stay within the risk, and bad documents go."""
+    d = [(r[0], r[1], r[2]) for r in data(sf=sf)]
+    marks = {r[0]: r[1] for r in data("labels", sf)}
+    rows = figure_rows(d)
+    expected = plain_rules(spark, rows, marks)
+    path = f"/root/testdata/{sf}"
+    assert quality_rules.learn(quality_rules.figures(Q.documents(spark, path)), Q.labels(spark, path)) == expected
+    assert "en" in expected and (sf == "sf0.01" or set(expected) == {"en", "de", "fr", "es"})
+    kept = {r.doc_id: r.kept for r in Q.op8_quality_rules(spark, path).collect()}
+    names, rejected = list(quality_rules.RULES), {}
+    for i, lang, values, failed in rows:
+        learned = any(values[names.index(k)] > c for k, c in expected.get(lang, {}).items())
+        assert kept[i] == (not failed and not learned)
+        if i in marks and not failed and lang in expected:
+            rejected.setdefault((lang, marks[i]), []).append(learned)
+    for lang in expected:
+        assert np.mean(rejected[lang, 1]) <= quality_rules.RISK and np.mean(rejected[lang, 0]) > 0.5, (lang, np.mean(rejected[lang, 0]))
 
 
 def test_rules_reject_junk_and_spare_good(spark):
