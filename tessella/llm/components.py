@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.storage import stash
+from tessella.llm.storage import discard, stash
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -22,9 +22,12 @@ def components(edges: DataFrame) -> DataFrame:
     labels = stash(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("label")), "labels")
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        nearer = stash(labels.join(near, "node", "left").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label")), "labels")
+        nearer = stash(labels.join(near, "node", "left").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label")), "nearer")
         far = nearer.select(F.col("node").alias("label"), F.col("label").alias("beyond"))
-        jumped = stash(nearer.join(far, "label", "left").select("node", "old", F.least("label", "beyond").alias("label")), "labels")
-        labels = jumped.select("node", "label")
-        if not jumped.where("label <> old").limit(1).count():
-            return labels
+        before, labels = labels, stash(nearer.join(far, "label", "left").select("node", "old", F.least("label", "beyond").alias("label")), "labels")
+        discard(before, nearer)
+        if not labels.where("label <> old").limit(1).count():
+            discard(both)
+            out = labels.drop("old")
+            out.stashed_at = labels.stashed_at
+            return out

@@ -30,7 +30,7 @@ def fingerprint(text):
 
 def near_duplicates(rows):
     """{(id, text): (fingerprint, component)}"""
-    fps = [(i, fingerprint(t)) for i, t in rows]
+    fps = [(i, fingerprint(t)) for i, t in rows if i is not None]
     group = {i: i for i, _ in fps}
 
     def find(i):
@@ -43,7 +43,58 @@ def near_duplicates(rows):
         for b in np.flatnonzero(np.bitwise_count(values ^ values[a]) <= 2):
             x, y = find(fps[a][0]), find(fps[b][0])
             group[max(x, y)] = min(x, y)
-    return [(i, f, find(i)) for i, f in fps]
+    return [(i, f, find(i)) for i, f in fps] + [(None, fingerprint(t), None) for i, t in rows if i is None]
+
+
+def near_copies(rows, limit):
+    """{id: smallest id reached} by comparing all pairs of 512-bit fingerprints."""
+    import pyarrow as pa
+
+    from tessella.llm.simhash import wide_of
+    from tessella.llm.textbytes import Text
+
+    rows = [(i, t) for i, t in rows if i is not None]
+    fps = np.concatenate([wide_of(Text(pa.array([t], pa.string()))) for _, t in rows])
+    group = {i: i for i, _ in rows}
+
+    def find(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    for a in range(len(rows)):
+        for b in np.flatnonzero(np.bitwise_count(fps[a + 1 :] ^ fps[a]).sum(1) <= limit) + a + 1:
+            x, y = find(rows[a][0]), find(rows[b][0])
+            group[max(x, y)] = min(x, y)
+    return {i: find(i) for i, _ in rows}
+
+
+def shingles(text, k=5):
+    w = words(lower(text))
+    return list(zip(*(w[j:] for j in range(k))))
+
+
+def alike(rows, least, common=60):
+    """Pairs of ids of different texts whose sets of 5-word shingles have a Jaccard of ``least`` or more; candidates
+    share a shingle that at most ``common`` different texts hold."""
+    sets = {}
+    for i, t in rows:
+        sets.setdefault(frozenset(shingles(t)), i)
+    sets = [(s, i) for s, i in sets.items() if s]
+    holders, shared = {}, Counter()
+    for n, (s, _) in enumerate(sets):
+        for x in s:
+            holders.setdefault(x, []).append(n)
+    for h in holders.values():
+        if len(h) <= common:
+            shared.update((a, b) for k, b in enumerate(h) for a in h[:k])
+    out = []
+    for (a, b), n in shared.items():
+        if n >= 0.1 * min(len(sets[a][0]), len(sets[b][0])):
+            both = len(sets[a][0] & sets[b][0])
+            if both >= least * (len(sets[a][0]) + len(sets[b][0]) - both):
+                out.append((sets[a][1], sets[b][1]))
+    return out
 
 
 def substring(rows, window=50):

@@ -62,15 +62,52 @@ def got(df):
 
 
 def test_simhash(docs, rows, empty):
-    expected = sorted(((i, f - (f >> 63 << 64), c) for i, f, c in brute.near_duplicates([(r[0], r[1]) for r in rows if r[0] is not None])), key=str)
+    expected = sorted(((i, f - (f >> 63 << 64), c) for i, f, c in brute.near_duplicates([(r[0], r[1]) for r in rows])), key=str)
     assert got(simhash.near_duplicates(docs)) == expected
     assert got(simhash.near_duplicates(empty)) == []
+
+
+def test_near_copies(docs, rows, empty):
+    expected = brute.near_copies([(r[0], r[1]) for r in rows], simhash.LIMIT)
+    assert len(set(expected.values())) < len(expected) - 15
+    for cell in (simhash.CELL, 4):  # small cells: nearly all anchors of copies count as hot
+        out = simhash.near_copies(docs, cell=cell).collect()
+        assert len(out) == len(rows) and all(r.component == (None if r.id is None else expected[r.id]) for r in out)
+    assert got(simhash.near_copies(empty)) == []
     kept = simhash.representatives(docs).collect()
-    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted({c for _, _, c in expected})
+    assert sorted(r.doc_id for r in kept if r.doc_id is not None) == sorted(set(expected.values()))
     assert [r.text for r in kept if r.doc_id is None] == [rows[-1][1]]
     assert kept[0].asDict().keys() == dict.fromkeys(docs.columns).keys()
 
 
+def test_wide_fingerprints():
+    rng = random.Random(4)
+    texts = ["", "one", "Two WORDS", prose(rng, 5), "a b c d e a b c d e a b c d e", *(prose(rng, rng.randrange(6, 3000)) for _ in range(20))]
+    together = simhash.wide_of(simhash.Text(pa.array(texts)))
+    lanes = simhash.mix(np.arange(1, simhash.LANES + 1, dtype=np.uint64) * simhash.MULTIPLIER)
+    for t, fp in zip(texts, together, strict=True):
+        text = simhash.Text(pa.array([t.lower()]))
+        h = text.word_hashes()
+        k = min(5, len(h))
+        shingles = [simhash.window_hashes(h[i : i + k], k)[0] for i in range(len(h) - k + 1)] if k else []
+        bits = [[int(x) >> b & 1 for x in simhash.mix(s ^ lanes) for b in range(64)] for s in shingles]
+        expected = [2 * sum(b) > len(bits) for b in zip(*bits)] if bits else [0] * 512
+        assert [int(x) >> b & 1 for x in fp for b in range(64)] == expected
+
+
+def test_near_copies_are_found(spark):
+    """Of the pairs of 0.8 or more nine in ten at least end in one component; unlike texts do not."""
+    d = [(r[0], r[1]) for r in data(sf="sf0.1") if len(brute.words(r[1])) >= 50]
+    label = {r.id: r.component for r in simhash.near_copies(Q.documents(spark, "/root/testdata/sf0.1")).collect()}
+    pairs = brute.alike(d, 0.8)
+    assert len(pairs) > 30 and np.mean([label[a] == label[b] for a, b in pairs]) >= 0.9
+    shingles, groups = {i: set(brute.shingles(t)) for i, t in d}, {}
+    for i, _ in d:
+        groups.setdefault(label[i], []).append(i)
+    best = [max(len(shingles[x] & shingles[y]) / len(shingles[x] | shingles[y]) for y in m if y != x) for m in groups.values() if len(m) > 1 for x in m]
+    assert np.mean(np.array(best) >= 0.6) > 0.99  # but for texts that consist of repetitions
+
+
 def test_simhash_at_anchors_finds_all_links(spark):
     rng = random.Random(2)
     points = {rng.getrandbits(64) for _ in range(300)}
@@ -527,9 +564,12 @@ def test_pipeline(spark):
         old = {r.doc_id: r for r in before.collect()}
         new = docs.collect()
         if name == "quality_rules":
-            assert {r.doc_id for r in new} == {i for i, r in old.items() if not brute.figures(r.text)[5]}
+            rows = figure_rows([(i, r.text, r.lang) for i, r in old.items()])
+            rules, names_of = plain_rules(spark, rows, {r[0]: r[1] for r in data("labels")}), list(quality_rules.RULES)
+            good = {i for i, lang, v, failed in rows if not failed and not any(v[names_of.index(k)] > c for k, c in rules.get(lang, {}).items())}
+            assert rules and {r.doc_id for r in new} == good
         elif name == "near_duplicates":
-            assert {r.doc_id for r in new} == {c for _, _, c in brute.near_duplicates([(i, r.text) for i, r in old.items()])}
+            assert {r.doc_id for r in new} == set(brute.near_copies([(i, r.text) for i, r in old.items()], simhash.LIMIT).values())
         elif name == "substring_dedup":
             kept = {i: " ".join(k) if g else old[i].text for i, _, g, k in brute.substring([(i, r.text) for i, r in old.items()])}
             assert {r.doc_id: r.text for r in new} == kept and all(r.n_chars == len(r.text) for r in new)
