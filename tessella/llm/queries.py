@@ -88,7 +88,7 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, size, source_size, target, taken of every document: see mixing.mix."""
     from tessella.llm.mixing import mix
 
-    return mix(documents(spark, sf_dir)).select("doc_id", "mix.size", "mix.source_size", "mix.target", (F.col("mix.copies") * F.col("mix.size")).alias("taken"))
+    return mix(documents(spark, sf_dir).select("doc_id", "text", "source")).select("doc_id", "mix.size", "mix.source_size", "mix.target", (F.col("mix.copies") * F.col("mix.size")).alias("taken"))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
