@@ -1,11 +1,12 @@
 """Packing documents into sequences of equal cost.
 
 A piece of n tokens costs ``linear * n + quadratic * n**2``, since a token attends to its own document only.
-Each task takes documents as they come, in groups of ``GROUP`` tokens; what is longer than a sequence is cut
-into whole sequences, and the rest of each document goes, in descending order, to the sequence of lowest
-cost that still has room for it. A group has just as many sequences as its tokens fill, so at the end pieces
-that fit nowhere whole are cut over the sequences of lowest cost that have room. All but the last few tokens
-of a group's sequences are filled; nothing is shuffled and no task holds more than one group and a document.
+Each task takes documents as they come, in groups of ``GROUP`` tokens; what is longer than ``PIECE`` of a sequence
+is cut into equal pieces no longer than that, so that no sequence is dear because one piece fills it. All pieces
+of a group go, in descending order, to the sequence of lowest cost that still has room for them. A group has just
+as many sequences as its tokens fill, so at the end pieces that fit nowhere whole are cut over the sequences
+of lowest cost that have room. All but the last few tokens of a group's sequences are filled; nothing is
+shuffled and no task holds more than one group and a document.
 """
 
 from __future__ import annotations
@@ -24,7 +25,9 @@ from tessella.llm.encoding import encoder as worker_encoder
 CAPACITY = 1024
 LINEAR = 1.0
 QUADRATIC = 1.0 / 1024
-#: Tokens of rests that are packed together.
+#: The longest piece, as a share of a sequence. Cost per sequence then spreads by some 4 % about its mean; at 1 by 9 %.
+PIECE = 0.75
+#: Tokens of pieces that are packed together.
 GROUP = 1 << 21
 
 
@@ -48,7 +51,7 @@ def assign(lengths: list[int], capacity: int, linear: float = LINEAR, quadratic:
     return out
 
 
-def pack(docs: DataFrame, tokenizer: str, kind: str = "spaced", end_id: int = 0, capacity: int = CAPACITY, linear: float = LINEAR, quadratic: float = QUADRATIC, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, lasting: bool = True) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, kind: str = "spaced", end_id: int = 0, capacity: int = CAPACITY, linear: float = LINEAR, quadratic: float = QUADRATIC, group: int = GROUP, piece: float = PIECE, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, lasting: bool = True) -> DataFrame:
     """id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids): one row per piece.
 
     Every id of every row, the end id included, lies in exactly one piece; pieces of a sequence are gapless
@@ -56,7 +59,7 @@ def pack(docs: DataFrame, tokenizer: str, kind: str = "spaced", end_id: int = 0,
     repeat an id are packed one by one, each from start 0. A sequence's number tells its task and its place there.
     ``lasting``: whether workers keep the words they have learned for their next tasks.
     """
-    end = np.array([end_id], "<u4").tobytes()
+    end, longest = np.array([end_id], "<u4").tobytes(), max(1, int(piece * capacity))
     schema = pa.schema([("id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())] + [("ids", pa.binary())] * with_ids)
 
     def rows(pieces: list[tuple]) -> pa.RecordBatch:
@@ -82,20 +85,16 @@ def pack(docs: DataFrame, tokenizer: str, kind: str = "spaced", end_id: int = 0,
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
-                full = []
                 for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist()), strict=True):
                     ids += end
                     n = len(ids) // 4
-                    for s in range(0, n - capacity + 1, capacity):
-                        full.append((doc_id, s, capacity, ids[4 * s : 4 * (s + capacity)], n, sequence, 0))
-                        sequence += 1
-                    if n % capacity:
-                        rests.append((doc_id, n - n % capacity, ids[4 * (n - n % capacity) :], n))
-                        held += n % capacity
-                if full:
-                    yield rows(full)
-                if held >= group:
-                    yield from settle()
+                    k = -(-n // longest)
+                    for j in range(k):
+                        s, e = n * j // k, n * (j + 1) // k
+                        rests.append((doc_id, s, ids[4 * s : 4 * e], n))
+                        held += e - s
+                        if held >= group:
+                            yield from settle()
         if rests:
             yield from settle()
 

@@ -312,6 +312,17 @@ def test_packing_balances_cost():
     assert np.std(cost) / np.mean(cost) < 0.2
 
 
+def test_packing_balances_cost_of_all_sequences(spark):
+    """Long documents take part: over all sequences of sf0.1 cost spreads little, and little is padded."""
+    cost, used = {}, {}
+    for r in Q.op6_cost_balanced_packing(spark, "/root/testdata/sf0.1").select("sequence_id", "length").collect():
+        cost[r.sequence_id] = cost.get(r.sequence_id, 0) + packing.LINEAR * r.length + packing.QUADRATIC * r.length**2
+        used[r.sequence_id] = used.get(r.sequence_id, 0) + r.length
+    values = np.array([c for s, c in cost.items() if used[s] > 1000])
+    assert len(values) > 0.99 * len(cost) and np.std(values) / np.mean(values) < 0.06 and np.max(values) < 1.2 * np.mean(values)
+    assert sum(used.values()) > 0.998 * 1024 * len(used)
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(4)
     vectors = [(int(i), [float(x) for x in rng.normal(size=8)]) for i in range(400)]
