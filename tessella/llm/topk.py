@@ -1,10 +1,11 @@
 """Exact top-k inner products: tiles of queries against shards of the table.
 
 Vectors are packed into matrices, one row a shard of up to ``SHARD`` candidates or a tile of up to ``TILE``
-queries. Every tile meets every shard once, by an equi-join on the pair's numbers, and a matrix product with
-partial selection leaves each query's k best of that shard. Lists of ``FAN_IN`` shards at a time are merged,
-level by level, until each query has one. Products are exact integers: in double arithmetic where all sums
-stay under 2**53, else in Python integers.
+queries, fewer where vectors are long. Shards and tiles are taken in groups of ``GRID``, and each group of shards
+meets each group of tiles once, as a cogroup, so either table is sent as often as the other has groups. A matrix
+product with partial selection leaves each query's k best of a shard, and the best of a group's shards are
+merged at once. Lists of ``FAN_IN`` groups at a time are merged, level by level, until each query has one.
+Products are exact integers: in double arithmetic where all sums stay under 2**53, else in Python integers.
 """
 
 from __future__ import annotations
@@ -19,7 +20,11 @@ from pyspark.sql import functions as F
 
 from tessella.llm.storage import stash
 
-SHARD, TILE, FAN_IN = 8192, 1024, 64
+SHARD, TILE, GRID, FAN_IN = 8192, 1024, 8, 64
+#: Bytes of a shard's or a tile's matrix, at most (for more than one row).
+MATRIX_BYTES = 1 << 23
+#: Scores end here; what lies beyond counts as this much.
+HIGHEST = (1 << 63) - 1
 
 
 def best(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> Iterator[tuple[int, list[tuple]]]:
@@ -61,37 +66,52 @@ def usable(vector: Column) -> Column:
 def top_k(table: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0, id_col: str = "vec_id", vector_col: str = "embedding", shard: int = SHARD, tile: int = TILE) -> DataFrame:
     """query_id, rank (from 1), id, score (long): the k rows of highest integer inner product for each query.
 
-    Components x become floor(scale * x) with x as double. Rows with null ids, and those whose vector is null, empty,
+    Components x become floor(scale * x) with x as double; a vector in which that is infinite takes no part. Scores
+    beyond the range of a long count as its ends, and as ties. Rows with null ids, and those whose vector is null, empty,
     or holds a null or non-finite component, take no part. Vectors are of one length: shorter ones count
     as if ended by zeros. A query's candidates are all rows of another id, repeated ones as often as they
     stand; ties go to the smaller id. Of several queries of one id the smallest vector asks.
     """
-    vector = F.transform(F.col(vector_col), lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("double"))
-    rows = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col), is_query.alias("asks")).where(F.col("id").isNotNull() & usable(F.col(vector_col))).select("id", vector.alias("v"), F.coalesce("asks", F.lit(False)).alias("asks"))
+    scaled = F.transform(F.col(f"`{vector_col}`"), lambda x: F.lit(scale) * x.cast("double"))
+    rows = table.select(F.col(f"`{id_col}`").cast("long").alias("id"), scaled.alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks")).where(F.col("id").isNotNull() & usable(F.col("v")))
+    # doubles from 2**53 on are whole, and more than floor() can return
+    rows = rows.withColumn("v", F.transform("v", lambda x: F.when(F.abs(x) < 2.0**53, F.floor(x).cast("double")).otherwise(x)))
     width = rows.agg(F.max(F.size("v"))).first()[0] or 0
+    shard, tile = (max(1, min(n, MATRIX_BYTES // (8 * max(width, 1)))) for n in (shard, tile))
     rows = rows.select("id", F.when(F.size("v") == width, F.col("v")).otherwise(F.concat("v", F.array_repeat(F.lit(0.0), F.lit(width) - F.size("v")))).alias("v"), "asks")
     shards = packed(rows.select("id", "v"), shard, "shards")
     tiles = packed(rows.where("asks").groupBy("id").agg(F.min("v").alias("v")), tile, "tiles")
     n_shards, n_tiles = (t.agg(F.max("part")).first()[0] for t in (shards, tiles))
     if n_tiles is None:
         return table.sparkSession.createDataFrame([], "query_id long, rank int, id long, score long")
-    left = shards.select(F.col("part").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(n_tiles))).alias("tile"), F.col("ids").alias("a_ids"), F.col("vectors").alias("a"))
-    right = tiles.select(F.col("part").alias("tile"), F.explode(F.sequence(F.lit(0), F.lit(n_shards))).alias("shard"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q"))
-
-    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for shard_no, a_ids, a, q_ids, q in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids, own = np.frombuffer(a_ids, "<i8"), np.frombuffer(q_ids, "<i8")
-                a, q = np.frombuffer(a, "<f8").reshape(-1, width), np.frombuffer(q, "<f8").reshape(-1, width)
+    numbered = lambda df, own, other, n: df.select(F.floor(F.col("part") / GRID).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(n // GRID))).alias(other), "part", "ids", "vectors")
+    left, right = numbered(shards, "shard", "tile", n_tiles), numbered(tiles, "tile", "shard", n_shards)
+    schema = pa.schema([("query_id", pa.int64()), ("group", pa.int32()), ("best", pa.list_(pa.struct([("score", pa.int64()), ("id", pa.int64())])))])
+
+    def matrices(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for ids, vectors in sorted(zip(table["ids"].to_pylist(), table["vectors"].to_pylist(), strict=True)):
+            yield np.frombuffer(ids, "<i8"), np.frombuffer(vectors, "<f8").reshape(-1, width)
+
+    def multiply(key: tuple, candidates: pa.Table, queries: pa.Table) -> pa.Table:
+        tops: dict[int, list[tuple[int, int]]] = {}
+        asking = list(matrices(queries))
+        for ids, a in matrices(candidates):
+            for own, q in asking:
+                b = a
                 if float(np.abs(a).max()) * float(np.abs(q).max()) * width >= 2.0**53:
                     whole = np.frompyfunc(int, 1, 1)
-                    a, q = whole(a), whole(q)
+                    b, q = whole(a), whole(q)
                 for i in range(0, len(q), 128):
-                    found = list(best(q[i : i + 128] @ a.T, ids, own[i : i + 128], k))
-                    yield pa.RecordBatch.from_pylist([{"query_id": int(own[i + n]), "group": shard_no, "best": [{"score": -s, "id": c} for s, c in top]} for n, top in found], schema=pa.schema([("query_id", pa.int64()), ("group", pa.int32()), ("best", pa.list_(pa.struct([("score", pa.int64()), ("id", pa.int64())])))]))
-
-    lists = left.join(right, ["shard", "tile"]).select("shard", "a_ids", "a", "q_ids", "q").mapInArrow(multiply, "query_id long, group int, best array<struct<score: long, id: long>>")
-    groups = n_shards + 1
+                    scores = q[i : i + 128] @ b.T
+                    if scores.dtype == object:
+                        scores = np.minimum(np.maximum(scores, -HIGHEST), HIGHEST)
+                    for n, top in best(scores, ids, own[i : i + 128], k):
+                        tops[int(own[i + n])] = sorted(tops.get(int(own[i + n]), []) + [(-s, c) for s, c in top])[:k]
+        return pa.Table.from_pylist([{"query_id": x, "group": key[0].as_py(), "best": [{"score": s, "id": c} for s, c in top]} for x, top in tops.items()], schema=schema)
+
+    pairs = left.groupBy("shard", "tile").cogroup(right.groupBy("shard", "tile"))
+    lists = pairs.applyInArrow(multiply, "query_id long, group int, best array<struct<score: long, id: long>>")
+    groups = n_shards // GRID + 1
     while True:
         groups = -(-groups // FAN_IN)
         lists = lists.groupBy("query_id", F.floor(F.col("group") / FAN_IN).cast("int").alias("group")).agg(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, k).alias("best"))

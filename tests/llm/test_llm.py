@@ -343,6 +343,21 @@ def test_top_k(spark):
     assert topk.top_k(df.where("vec_id < 0"), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_top_k_of_huge_vectors(spark):
+    vectors = [(i, [1e300 * (-1) ** i, 1.0 + i]) for i in range(60)] + [(60, [1e308, 0.0]), (100, [3e15, 0.5]), (101, [2.0, 0.25]), (150, [0.0, 1e17])]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    out = {}
+    for r in topk.top_k(df, F.col("vec_id") % 50 == 0, shard=16, tile=2).collect():
+        out.setdefault(r.query_id, []).append((r.rank, r.id, r.score))
+    good = [(i, [int(256 * x) for x in v]) for i, v in vectors if i != 60]  # 256e308 is infinite
+    clip = lambda x: max(-topk.HIGHEST, min(topk.HIGHEST, x))
+    assert out.keys() == {0, 50, 100, 150}
+    for q, v in good:
+        if q % 50 == 0:
+            best = sorted((-clip(sum(a * b for a, b in zip(v, c))), i) for i, c in good if i != q)[:5]
+            assert sorted(out[q]) == [(n + 1, i, -s) for n, (s, i) in enumerate(best)]
+
+
 def test_quality_figures(docs, rows, empty, labels):
     out = quality_rules.judge(docs, labels)
     assert got(out.select("id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")) == sorted(((r[0], *brute.figures(r[1])) for r in rows), key=str)
