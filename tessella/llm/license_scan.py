@@ -1,10 +1,12 @@
 """License scan: base phrases, and a positional index of the rarest words of licence notices.
 
 Notices are templates with key phrases. The document frequencies of their words are counted over all
-documents; each template is indexed by its words of highest IDF, with their places. The places of these
-words in a file, less their places in the template, agree where the notice stands: weights (IDF) of the words
-that agree, allowing for a few words put in or left out, are summed for each file, template and place, and a
-template counts where enough of its weight agrees and the file has all its key phrases.
+documents; each template is indexed by its words of highest IDF, with their places. Files are looked up by their
+licence words of highest IDF: a template can only agree where a file has one of the few words that make up more
+than half of its weight, so all other files are done with. The places of indexed words in a file, less their
+places in the template, agree where the notice stands: weights (IDF) of the words that agree, allowing for a few
+words put in or left out, are summed for each file, template and place, and where enough of a template's
+weight agrees its key phrases are verified.
 
 Everything is DataFrame expressions. Most files have none of the words and cost one split; only the words of
 the others are opened into rows, and only those of the index. Nothing but these rows and one short row a
@@ -27,18 +29,31 @@ BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights rese
 TEMPLATES = (
     ("mit", "released under the mit license", ("mit license",)),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction", ("permission is hereby granted free of charge", "deal in the software without restriction")),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", ("permission is hereby granted free of charge", "the rights to use copy modify merge publish distribute sublicense and or sell copies")),
     ("apache-2.0", "licensed under the apache license version 2 0", ("apache license", "version 2 0")),
+    ("apache-2.0", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license", ("apache license", "unless required by applicable law or agreed to in writing")),
     ("gpl-2.0", "gnu general public license version 2", ("general public license", "version 2")),
+    ("gpl-2.0", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version", ("gnu general public license as published by the free software foundation", "version 2")),
     ("gpl-3.0", "gnu general public license version 3", ("general public license", "version 3")),
+    ("gpl-3.0", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version", ("gnu general public license as published by the free software foundation", "version 3")),
+    ("gpl", "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details", ("distributed in the hope that it will be useful", "gnu general public license")),
     ("lgpl", "gnu lesser general public license", ("lesser general public license",)),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation", ("gnu lesser general public license as published by",)),
     ("agpl", "gnu affero general public license", ("affero general public license",)),
     ("cc-by-nc", "this work is licensed under cc by nc 4 0", ("cc by nc",)),
     ("cc-by-sa", "this work is licensed under cc by sa 4 0", ("cc by sa",)),
     ("cc-by-nc", "creative commons attribution noncommercial license", ("attribution noncommercial",)),
     ("cc-by-sa", "creative commons attribution sharealike license", ("attribution sharealike",)),
+    ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work creative commons cc0 1 0 universal", ("waived all copyright and related or neighboring rights",)),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ("redistribution and use in source and binary forms",)),
+    ("bsd-2-clause", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", ("redistributions of source code must retain the above copyright notice", "redistributions in binary form must reproduce the above copyright notice")),
+    ("bsd-3-clause", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ("may be used to endorse or promote products derived from this software", "without specific prior written permission")),
     ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("permission to use copy modify", "with or without fee")),
     ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at https mozilla org mpl 2 0", ("mozilla public license", "if a copy of the mpl was not distributed with this file")),
+    ("epl-2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0", ("eclipse public license",)),
+    ("bsl-1.0", "distributed under the boost software license version 1 0 see accompanying file license 1 0 txt or copy at https www boost org license 1 0 txt", ("boost software license",)),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely", ("in no event will the authors be held liable", "to alter it and redistribute it freely")),
     ("unlicense", "this is free and unencumbered software released into the public domain", ("free and unencumbered software",)),
     ("proprietary", "copyright all rights reserved unauthorized copying of this file is strictly prohibited", ("all rights reserved", "unauthorized copying")),
 )
@@ -95,10 +110,9 @@ def noticed(rows: DataFrame) -> DataFrame:
     index = rows.sparkSession.createDataFrame(postings, "word string, template int, place int, weight double")
     spaced = F.concat(F.lit(" "), F.array_join("words", " "), F.lit(" "))
     keys = sum((_all([F.contains(F.col("spaced"), F.lit(f" {k} ")) for k in ks]).cast("long") * (1 << t) for t, (_, _, ks) in enumerate(TEMPLATES)), F.lit(0).cast("long"))
-    # a text without the longest word of any template's key phrases has no template
-    some = rows.where(has_word(sorted({max(" ".join(ks).split(), key=len) for _, _, ks in TEMPLATES}))).select("id", "mark", F.array_remove(words, "").alias("words"))
+    asked = sorted({w for t in range(len(TEMPLATES)) for w in needed([p for p in postings if p[1] == t])})
+    some = rows.select("id", "mark", words.alias("words")).where(F.arrays_overlap("words", F.array(*map(F.lit, asked)))).withColumn("words", F.array_remove("words", ""))
     some = some.withColumn("spaced", spaced).select("id", "mark", "words", keys.alias("keys"))
-    some = some.where("keys <> 0")
     opened = some.select("id", "mark", "keys", F.posexplode("words").alias("at", "word")).where(F.col("word").isin(sorted({p[0] for p in postings})))
     shift = F.col("at") - F.col("place") + 1024
     near = F.array(F.floor(shift / NEARBY) * 2, F.floor((shift + NEARBY // 2) / NEARBY) * 2 + 1)
@@ -111,18 +125,20 @@ def noticed(rows: DataFrame) -> DataFrame:
     return fine.groupBy("id", "mark").agg(F.collect_set("label").alias("labels"), F.round(F.max("score"), 9).alias("score"))
 
 
-def has_word(words: list[str]) -> Column:
-    """Whether a text holds one of the words; longer ones may stand within another word, which costs no more than a
-    look. The text is lowered once, as the one element of an array."""
-
-    def holds(low: Column) -> Column:
-        out = F.lit(False)
-        for w in words:
-            inside = F.contains(low, F.lit(w))
-            out = out | (inside if len(w) > 3 else inside & F.regexp_like(low, F.lit(phrase(w))))
-        return out
-
-    return F.exists(F.array(lowered(F.col("text"))), holds)
+def needed(postings: list[tuple[str, int, int, float]]) -> list[str]:
+    """The fewest words of highest IDF without which less than ``AGREES`` of a template's weight is left."""
+    weights: dict[str, float] = {}
+    for word, _, _, weight in postings:
+        weights[word] = weights.get(word, 0) + weight
+    idf = {word: weight for word, _, _, weight in postings}
+    left, out = sum(weights.values()), []
+    enough = AGREES * left * (1 - 1e-9)
+    for word in sorted(weights, key=lambda w: (-idf[w], w)):
+        if left < enough:
+            break
+        left -= weights[word]
+        out.append(word)
+    return out
 
 
 def _all(conditions: list[Column]) -> Column:
