@@ -238,7 +238,7 @@ def test_token_files(spark, docs, rows, empty, tmp_path):
     path = Q.tokenizer_path("word_bpe_49k.json")
     tokenizer = Tokenizer.from_file(path)
     ids = {(r[0], r[1]): brute.encoded(tokenizer, r[1], 1) for r in rows}
-    out = token_store.round_trip(docs, path, files=3).collect()
+    out = token_store.round_trip(docs, path, tasks=3).collect()
     assert sorted((str(r.id), r.n_tokens, r.ids_crc32) for r in out) == sorted((str(r[0]), len(ids[r[0], r[1]]) // 4, brute.crc(ids[r[0], r[1]])) for r in rows)
     at = 0
     for r in sorted(out, key=lambda r: r.start):
@@ -247,8 +247,8 @@ def test_token_files(spark, docs, rows, empty, tmp_path):
     in_order = [r.id for r in sorted(out, key=lambda r: r.start)]
     assert in_order == sorted(in_order, key=lambda i: -1 if i is None else i)
     assert token_store.round_trip(empty, path).count() == 0
-    files = token_store.write(docs, f"file://{tmp_path}/t", path, files=2)
-    reader = token_store.Reader(files.first().path)
+    files = token_store.write(docs, f"file://{tmp_path}/t", path, tasks=2)
+    reader = token_store.Reader(files.orderBy("path").first().path)
     wanted = [int(i) for i in reader.table["id"][[0, -1]]]
     assert [i for i, _ in reader.find(wanted)] and all(x for _, x in reader.find(wanted))
     raw = next((tmp_path / "t").glob("*.tsk"))
@@ -259,6 +259,31 @@ def test_token_files(spark, docs, rows, empty, tmp_path):
         token_store.Reader(f"file://{raw}").ids(0)
 
 
+def test_token_files_roll_over(spark, docs, rows, monkeypatch):
+    path = Q.tokenizer_path("word_bpe_49k.json")
+    plain = sorted(map(str, token_store.round_trip(docs, path, tasks=2, with_ids=True).collect()))
+    monkeypatch.setattr(token_store, "FILE_DOCS", 5)
+    monkeypatch.setattr(token_store, "FILE_BYTES", 3000)
+    files = token_store.write(docs, token_store.new_folder(spark, "rolled"), path, tasks=2)
+    assert files.count() >= len(rows) // 5 and files.agg(F.max("n_docs")).first()[0] == 5
+    assert sorted(map(str, token_store.read(spark, files).collect())) == plain
+
+
+@pytest.mark.parametrize("query,name,end", [(Q.op4_token_store, "word_bpe_49k.json", 1), (Q.op6_cost_balanced_packing, "byte_bpe_50k.json", 0)])
+def test_tokens_of_the_whole_table(spark, query, name, end):
+    """Every id of every whole text is what the library alone makes of it."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(Q.tokenizer_path(name))
+    ids = {r[0]: brute.encoded(tokenizer, r[1], end) for r in data()}
+    seen = {i: 0 for i in ids}
+    for r in query(spark, "/root/testdata/sf0.01").collect():
+        at, n = (0, r.n_tokens) if "n_tokens" in r else (r.start, r.length)
+        assert brute.crc(ids[r.doc_id][4 * at : 4 * (at + n)]) == r.ids_crc32
+        seen[r.doc_id] += n
+    assert {i: len(x) // 4 for i, x in ids.items()} == seen
+
+
 @pytest.mark.parametrize("name,kind", [("word_bpe_49k.json", "words"), ("byte_bpe_50k.json", "spaced")])
 def test_encoder_is_exact(name, kind):
     from tessella.llm.encoding import Encoder
