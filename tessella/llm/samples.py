@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 
 def held_out(doc_id: Column, modulus: int, held: int) -> Column:
@@ -16,12 +17,13 @@ def marked(labels: DataFrame, label_col: str, modulus: int, held: int) -> DataFr
     return labels.where(F.col(label_col).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), modulus, held)).groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max(label_col).cast("int").alias("label"))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, modulus: int, held: int, per_class: int, also: str | None = None) -> DataFrame:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, modulus: int, held: int, per_class: int, class_bytes: int, also: str | None = None) -> DataFrame:
     """id, label, text (and the column ``also``) of up to ``per_class`` documents of each label, 0 and 1.
 
     Documents are those whose labels are not held out, taken in order of a hash of the id, so that a sample
-    is the same on every run; nothing else of it depends on the table's size. Null labels and ids are left
-    out; of several labels of an id the largest counts, of several texts the smallest.
+    is the same on every run; nothing else of it depends on the table's size. Texts that would take the bytes of a
+    label's texts, in that order, beyond ``class_bytes`` are left out. Null labels and ids are left out; of several
+    labels of an id the largest counts, of several texts the smallest.
     """
     marks = marked(labels, label_col, modulus, held)
     order = F.xxhash64("id", F.lit(7))
@@ -29,7 +31,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, modulus:
     for label in (0, 1):
         part = marks.where(F.col("label") == label).orderBy(order, "id").limit(per_class)
         chosen = part if chosen is None else chosen.unionByName(part)
-    rest = [F.col(also).cast("string").alias(also)] if also else []
+    rest = [F.col(f"`{also}`").cast("string").alias(also)] if also else []
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *rest)
     first = F.min(F.struct("text", *[also] * bool(also))).alias("r")
-    return rows.join(F.broadcast(chosen), "id").groupBy("id", "label").agg(first).select("id", "label", "r.*")  # at most 2 * per_class ids
+    rows = rows.join(F.broadcast(chosen), "id").groupBy("id", "label").agg(first).select("id", "label", "r.*")  # at most 2 * per_class ids
+    size = F.sum(F.octet_length("text").cast("long")).over(W.partitionBy("label").orderBy(order, "id").rowsBetween(W.unboundedPreceding, 0))
+    return rows.withColumn("bytes", size).where(F.col("bytes") <= class_bytes).drop("bytes")

@@ -29,6 +29,8 @@ from tessella.llm.textbytes import MULTIPLIER, Text, chunks, mix, whitespace_tab
 
 SEED = 42
 THRESHOLD = 2
+#: Shingles whose bits are counted together.
+STEP = 255 * 96
 #: Fingerprints at one anchor that are compared with one another; more are probed by flipping bits.
 COMPARED = 1024
 #: near_copies: 64-bit words of a fingerprint, parts of it with anchors, bits of a part, bits that may differ in all.
@@ -61,16 +63,21 @@ def fingerprints_of(text: Text, shingle: int = 3) -> np.ndarray:
     which = np.repeat(np.arange(text.n), shingles)
     start = text.first[which] + np.arange(begin[-1]) - begin[which]
     stop = start + np.minimum(shingle, counts[which])
-    digest, out = xxhash.xxh64_intdigest, np.zeros(text.n, np.uint64)
-    hashes = np.array([digest(packed[s:e], SEED) for s, e in zip(to[start].tolist(), (to[stop] - 1).tolist(), strict=True)], np.uint64)
-    for i in range(text.n):
-        h = hashes[begin[i] : begin[i + 1]]
-        if len(h):
-            ones = np.zeros(64, np.int64)
-            for j in range(0, len(h), 1 << 16):
-                ones += np.unpackbits(h[j : j + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-            out[i] = np.packbits(2 * ones > len(h), bitorder="little").view(np.uint64)[0]
-    return out
+    digest, ones = xxhash.xxh64_intdigest, np.zeros((text.n, 64), np.int64)
+    for i in range(0, len(start), STEP):
+        s, e = to[start[i : i + STEP]], to[stop[i : i + STEP]] - 1
+        hashes = np.array([digest(packed[x:y], SEED) for x, y in zip(s.tolist(), e.tolist(), strict=True)], np.uint64)
+        count_bits(hashes[:, None], which[i : i + STEP], ones)
+    return np.packbits(2 * ones > shingles[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+
+
+def count_bits(hashes: np.ndarray, doc: np.ndarray, ones: np.ndarray) -> None:
+    """Adds the bits of rows of hashes to the counts of their documents, which ascend; bytes are added, of 255 rows at most."""
+    bits = np.unpackbits(np.ascontiguousarray(hashes).view(np.uint8), axis=1, bitorder="little")
+    begin = np.flatnonzero(np.diff(doc, prepend=-1))
+    cut = np.unique(np.r_[begin, np.arange(0, len(doc), 255)])
+    sums = np.add.reduceat(bits.view(np.uint64), cut, axis=0).view(np.uint8)
+    ones[doc[begin]] += np.add.reduceat(sums, np.searchsorted(cut, begin), axis=0, dtype=np.int64)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
@@ -251,19 +258,14 @@ def wide_of(text: Text, shingle: int = 5) -> np.ndarray:
     low[(low >= 65) & (low <= 90)] += 32
     words = text.word_hashes(low)
     counts = np.diff(text.first)
-    out = np.zeros((text.n, LANES), np.uint64)
+    out = np.zeros((text.n, LANES), np.uint64)  # also of texts without words
     lanes = mix(np.arange(1, LANES + 1, dtype=np.uint64) * MULTIPLIER)
     hashes, doc = window_hashes(words, shingle), text.document()
     at = np.flatnonzero(doc[: len(hashes)] == doc[shingle - 1 :]) if len(hashes) else np.zeros(0, np.int64)
     ones = np.zeros((text.n, 64 * LANES), np.int64)
-    step = 255 * 96
-    for i in range(0, len(at), step):  # bits are added by bytes, of 255 shingles at most
-        some = at[i : i + step]
-        bits = np.unpackbits(mix(hashes[some][:, None] ^ lanes).view(np.uint8), axis=1, bitorder="little")
-        begin = np.flatnonzero(np.diff(doc[some], prepend=-1))
-        cut = np.unique(np.r_[begin, np.arange(0, len(some), 255)])
-        sums = np.add.reduceat(bits.view(np.uint64), cut, axis=0).view(np.uint8)
-        ones[doc[some[begin]]] += np.add.reduceat(sums, np.searchsorted(cut, begin), axis=0, dtype=np.int64)
+    for i in range(0, len(at), STEP):
+        some = at[i : i + STEP]
+        count_bits(mix(hashes[some][:, None] ^ lanes), doc[some], ones)
     many = counts >= shingle
     out[many] = np.packbits(2 * ones[many] > (counts[many] - shingle + 1)[:, None], axis=1, bitorder="little").view(np.uint64)
     for i in np.flatnonzero((counts > 0) & ~many).tolist():

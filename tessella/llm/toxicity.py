@@ -23,8 +23,11 @@ from tessella.llm.storage import stash
 from tessella.llm.textbytes import Text, chunks
 
 BUCKETS, DIMENSIONS, WIDTHS, FILTERS = 1 << 20, 8, (1, 2, 3), 8
-#: Documents of each class that are sampled for fitting, at most; training leaves out one in ``CALIBRATION``.
-PER_CLASS, CALIBRATION = 2500, 5
+#: Documents of each class that are sampled for fitting, and bytes of their texts, at most; training leaves out one in
+#: ``CALIBRATION``.
+PER_CLASS, CLASS_BYTES, CALIBRATION = 2500, 1 << 24, 5
+#: Places of a filter that are looked at together.
+PLACES = 1 << 16
 #: Steps of the scores that thresholds lie on; a power of two, so that they are exact.
 STEPS = 4096
 #: Sampled documents that must share a word before it gets a vector.
@@ -109,7 +112,7 @@ def padded(row: np.ndarray, buckets: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", modulus: int = MODULUS, held: int = HELD, per_class: int = PER_CLASS) -> tuple[tuple, list[int]]:
     """A network's tables and the ids that it was trained on. Without documents of both labels all scores
     are one half and there are no such ids."""
-    rows = sequences(labelled_sample(docs, labels, label_col, modulus, held, per_class, "lang")).toArrow().sort_by("id")  # a bounded sample
+    rows = sequences(labelled_sample(docs, labels, label_col, modulus, held, per_class, CLASS_BYTES, "lang")).toArrow().sort_by("id")  # a bounded sample
     samples = [(i, y, lang, np.asarray(b.values, np.int64).reshape(-1, 2)) for i, y, lang, b in zip(rows["id"].to_pylist(), rows["label"].to_pylist(), rows["lang"].to_pylist(), rows["buckets"], strict=True)]
     rng = np.random.default_rng(SEED)
     row = np.zeros(BUCKETS, np.int32)
@@ -170,31 +173,46 @@ def thresholds(scores: DataFrame, labels: DataFrame, trained: list[int], label_c
     return counts.groupBy("language").applyInPandas(best, "language string, own double")
 
 
+def scores(texts: pa.Array, tables: tuple) -> np.ndarray:
+    """The score of each text. Filters are looked at ``PLACES`` places at a time, whatever the length of a text."""
+    row, kernels, out, bias = tables
+    widest = max(WIDTHS)
+    text, buckets = word_buckets(texts)
+    # each document followed by zero vectors, as in training
+    count = np.diff(text.first)
+    begin = text.first[:-1] + widest * np.arange(text.n)
+    words = np.zeros((len(buckets) + widest * (text.n + 1), 2), np.int32)
+    words[np.arange(len(buckets)) + widest * text.document()] = row[buckets]
+    total = np.full(text.n, bias)
+    for i, (width, parts) in enumerate(zip(WIDTHS, kernels, strict=True)):
+        # places of a filter: those of training, which end within the document's own zero vectors
+        end = begin + count + widest - width + 1
+        top = np.full((text.n, FILTERS), -np.inf, np.float32)
+        for lo in range(0, len(words) - widest + 1, PLACES):
+            at = np.arange(lo, min(lo + PLACES, len(words) - widest + 1))
+            doc = np.searchsorted(begin, at, "right") - 1
+            fine = at < end[doc]
+            at, doc = at[fine], doc[fine]
+            if not len(at):
+                continue
+            values = np.zeros((len(at), FILTERS), np.float32)
+            for j in range(width):
+                values += parts[j][words[at + j, 0]]
+                values += parts[j][words[at + j, 1]]
+            first = np.flatnonzero(np.diff(doc, prepend=-1))
+            top[doc[first]] = np.maximum(top[doc[first]], np.maximum.reduceat(values, first))
+        total += np.maximum(top, 0) @ out[i * FILTERS : (i + 1) * FILTERS]
+    return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
+
+
 def score(docs: DataFrame, tables: tuple, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """id, lang, score of every row. Null and empty texts have no words, and so the score of zero vectors."""
     given = docs.sparkSession.sparkContext.broadcast(tables)  # bounded by BUCKETS and the sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row, kernels, out, bias = given.value
-        widest = max(WIDTHS)
         for batch in batches:
             for part in chunks(batch):
-                text, buckets = word_buckets(part.column(2))
-                # each document followed by zero vectors, as in training
-                begin = text.first[:-1] + widest * np.arange(text.n)
-                words = np.zeros((len(buckets) + widest * (text.n + 1), 2), np.int32)
-                words[np.arange(len(buckets)) + widest * text.document()] = row[buckets]
-                total = np.full(text.n, bias)
-                for i, (width, parts) in enumerate(zip(WIDTHS, kernels, strict=True)):
-                    # places of a filter: those of training, which end within the document's own zero vectors
-                    n = len(words) - widest + 1
-                    values = 0
-                    for j in range(width):
-                        values = values + parts[j][words[j : n + j, 0]] + parts[j][words[j : n + j, 1]]
-                    end = begin + np.diff(text.first) + widest - width + 1
-                    top = np.maximum.reduceat(values, np.stack([begin, end], 1).ravel())[::2] if text.n else values[:0]
-                    total += np.maximum(top, 0) @ out[i * FILTERS : (i + 1) * FILTERS]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(1 / (1 + np.exp(-np.clip(total, -30, 30))))], ["id", "lang", "score"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(scores(part.column(2), given.value))], ["id", "lang", "score"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(run, "id long, lang string, score double")

@@ -1,6 +1,7 @@
 """The operators against plain Python versions, on rows that are awkward on purpose and on the test data."""
 
 import random
+import re
 from math import comb
 
 import duckdb
@@ -10,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.llm import components as CC
-from tessella.llm import license_scan, mixing, packing, quality_classifier, quality_rules, simhash, substring, token_store, topk, toxicity
+from tessella.llm import license_scan, mixing, packing, quality_classifier, quality_rules, samples, simhash, substring, token_store, topk, toxicity
 from tessella.llm import queries as Q
 from tests.comparing import duck, duck_rows, spark_rows
 from tests.llm import brute
@@ -550,6 +551,93 @@ def test_held_out_accuracy(spark, query, column):
     assert np.mean([r.predicted == m for r, m in zip(out, y)]) > 0.95
 
 
+def bucket_of(raw, memo={}):
+    """Hash of bytes, by the definition that textbytes' vectorised forms follow."""
+    if raw not in memo:
+        h = sum((b + 1) * pow(0x9E3779B97F4A7C15, i, 1 << 64) for i, b in enumerate(raw)) % (1 << 64)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            h = (h ^ h >> shift) * factor % (1 << 64)
+        memo[raw] = h ^ h >> 31
+    return memo[raw]
+
+
+def test_quality_scores_by_a_plain_pass(spark):
+    rng = np.random.default_rng(5)
+    value, bias = rng.normal(0, 3, quality_classifier.BUCKETS + quality_classifier.REPEATS).astype(np.float32), 0.25
+    found = {r.id: r.score for r in quality_classifier.score(Q.documents(spark, "/root/testdata/sf0.01"), (value, bias)).collect()}
+    blank = set(" \t\n\x0b\x0c\r")
+    for i, text, *_ in data():
+        words, used = brute.words(text), []
+        used += [bucket_of(w.encode()) % quality_classifier.BUCKETS for w in words]
+        used += [quality_classifier.BUCKETS + lag - 1 for lag in (1, 2) for k in range(lag, len(words)) if words[k] == words[k - lag]]
+        t = (text or "") + "\n"
+        for n in quality_classifier.NGRAMS:
+            used += [bucket_of(t[k : k + n].encode()) % quality_classifier.BUCKETS for k in range(len(t) - n + 1) if not blank & set(t[k + 1 : k + n - 1])]
+        mean = sum(float(value[b]) for b in used) / max(len(used), 1)
+        assert abs(found[i] - 1 / (1 + np.exp(-(mean + bias)))) < 1e-6
+
+
+def test_toxicity_scores_by_a_plain_pass(spark):
+    rng = np.random.default_rng(6)
+    row = rng.integers(0, 300, toxicity.BUCKETS).astype(np.int32)
+    network = toxicity.Network(row, rng)
+    network.vectors[1:] = rng.normal(0, 1, network.vectors[1:].shape)
+    found = {r.id: r.score for r in toxicity.score(Q.documents(spark, "/root/testdata/sf0.01"), network.tables()).collect()}
+    mask = (1 << 64) - 1
+    for i, text, *_ in data():
+        words = [w.encode() for w in re.findall("[0-9a-z\x80-\U0010ffff]+", brute.lower(text))]
+        x = [network.vectors[row[bucket_of(w) % toxicity.BUCKETS]] + network.vectors[row[(bucket_of(w[: toxicity.STEM]) ^ mask) % toxicity.BUCKETS]] for w in words]
+        x = np.array(x + [np.zeros(toxicity.DIMENSIONS)] * max(toxicity.WIDTHS))
+        tops = [np.max(sum(x[j : len(x) - len(k) + 1 + j] @ k[j] for j in range(len(k))), axis=0) for k in network.kernels]
+        z = np.maximum(np.concatenate(tops), 0) @ network.out + network.bias
+        assert abs(found[i] - 1 / (1 + np.exp(-np.clip(z, -30, 30)))) < 1e-5
+
+
+def test_held_out_labels_play_no_part(spark):
+    """Models, and thresholds, stay the same when all held-out labels are turned."""
+    sf = "/root/testdata/sf0.01"
+    docs, marks = Q.documents(spark, sf), Q.labels(spark, sf)
+    for module, column in ((quality_classifier, "quality"), (toxicity, "toxic")):
+        held = module.held_out(F.col("doc_id"), module.MODULUS, module.HELD)
+        turned = marks.withColumn(column, F.when(held, 1 - F.col(column)).otherwise(F.col(column)))
+        assert turned.exceptAll(marks).count() > 50
+        assert got(module.classify(docs, marks)) == got(module.classify(docs, turned))
+
+
+def test_samples_are_bounded_by_bytes(spark):
+    docs = spark.createDataFrame([(i, "x" * 100, "en") for i in range(50)] + [(50, "y" * 2000, "en")], "doc_id long, text string, lang string")
+    marks = spark.createDataFrame([(i, i % 2) for i in range(51)], "doc_id long, quality int")
+    rows = samples.labelled_sample(docs, marks, "quality", 4, 2, 1000, 1000).collect()
+    for label in (0, 1):
+        assert 0 < sum(len(r.text) for r in rows if r.label == label) <= 1000
+
+
+def test_very_long_texts_take_little_memory():
+    """A text of 12 MB gives what its parts give together, in numpy memory of a few bytes a byte of text."""
+    import tracemalloc
+
+    from tessella.llm.textbytes import Text
+
+    part = prose(random.Random(1), 180_000, 50_000)
+    text = " ".join([part] * 10)
+    whole, one = pa.array([text]), pa.array([part])
+    value = np.random.default_rng(0).normal(0, 1, quality_classifier.BUCKETS + quality_classifier.REPEATS).astype(np.float32)
+    network = toxicity.Network((np.arange(toxicity.BUCKETS) % 90).astype(np.int32), np.random.default_rng(1)).tables()
+    checks = [
+        (lambda a: quality_classifier.scores(a, value, 0.0), lambda x, y: abs(x[0] - y[0]) < 1e-3),
+        (lambda a: toxicity.scores(a, network), lambda x, y: abs(x[0] - y[0]) < 1e-3),
+        (lambda a: simhash.wide_of(Text(a)), lambda x, y: np.bitwise_count(x ^ y).sum() < 5),
+        (lambda a: quality_rules.figures_of(Text(a)), lambda x, y: x["n_words"][0] == 10 * y["n_words"][0] == x["n_repeat_words"][0]),
+        (lambda a: substring.blocks_of(Text(a), 50, 8), lambda x, y: x[2].sum() == 10 * y[2].sum() + 9 * 49),
+    ]
+    for run, same in checks:
+        tracemalloc.start()
+        long = run(whole)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert same(long, run(one)) and peak < 22 * len(text), (peak / len(text), run)
+
+
 def test_classifiers_on_awkward_rows(docs, rows, empty, labels):
     for classify in (quality_classifier.classify, toxicity.classify):
         out = classify(docs, labels).collect()
