@@ -382,7 +382,12 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     edges = found[0]
     for more in found[1:]:
         edges = edges.unionByName(more)
-    named = components_of(nodes, edges.distinct())
+    # a text of a large group has another root in each task: its roots are linked with their smallest, which most
+    # texts of the group have in common, so that few links are left (a text has one root at most a part and anchor)
+    stars = edges.distinct().groupBy("b").agg(F.collect_set("a").alias("roots"))
+    least = F.array_min("roots")
+    both = F.array_append(F.transform("roots", lambda r: F.struct(least.alias("a"), r.alias("b"))), F.struct(least.alias("a"), F.col("b")))
+    named = components_of(nodes, stars.select(F.explode(both).alias("e")).select("e.a", "e.b").where("a <> b").distinct())
     discard(nodes, *found)
     return rows.where("id is not null").join(named, "fp").select("id", "component").unionByName(rows.where("id is null").select("id", F.lit(None).cast("long").alias("component")))
 
