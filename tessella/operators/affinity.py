@@ -1,13 +1,16 @@
 """Affinity graphs between the patches of an image, as edges (image_id, i, j, w).
 
-Pairs are joined within an image, so the work grows with patches squared per image and is spread over
-images; symmetric measures are computed for i <= j and mirrored.
+Measures that are column expressions join pairs within an image; symmetric ones are computed for i <= j and
+mirrored. Neighbours and joint histograms come from blocks of an image's patches against all of them, as matrices in
+grouped Arrow functions, so pairs are never rows of a shuffle and an image's work is spread over its blocks.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,31 +48,94 @@ def measured(patches: DataFrame, distance: Measure, beta: float | None = None) -
     return mirrored(all_pairs(patches).select("image_id", "i", "j", (d if beta is None else V.affinity(d, beta)).alias("w")))
 
 
+#: Patches of an image that one task compares with all of the image's; numbers of a matrix that it holds at a time.
+BLOCK, MATRIX = 4096, 1 << 20
+
+Compare = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], Iterator[tuple[np.ndarray, ...]]]
+
+
+def blocked(patches: DataFrame, compare: Compare, kind: str, block: int = BLOCK) -> DataFrame:
+    """image_id, i, j, w from compare(numbers and vectors of a block, numbers and vectors of the whole image), which
+    yields arrays of i, j and w (of the SQL type ``kind``). Numbers ascend. Each block of an image is a group of its own."""
+    id_type = dict(patches.dtypes)["image_id"]
+    rows = patches.select("image_id", F.col("p").cast("long").alias("p"), F.col("k").cast("array<double>").alias("k"))
+    n = F.ceil(F.col("n") / block).cast("int")
+    rows = rows.join(rows.groupBy("image_id").agg(F.count("*").alias("n")).select("image_id", n.alias("blocks")), "image_id")
+    some = rows.select("image_id", F.pmod("p", "blocks").cast("int").alias("block"), "p", "k")
+    all_of = rows.select(F.col("image_id").alias("image"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("number"), F.col("p").alias("q"), F.col("k").alias("v"))
+    number = pa.int64() if kind == "long" else pa.float64()
+
+    def arrays(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        p = np.asarray(t.column(2))
+        k = t.column(3).combine_chunks()
+        values = (k if isinstance(k, pa.ListArray) else pa.concat_arrays(k.chunks)).flatten() if t.num_rows else pa.array([], pa.float64())
+        order = np.argsort(p, kind="stable")
+        return p[order], np.asarray(values, float).reshape(len(p), -1)[order]
+
+    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        found = list(compare(*arrays(left), *arrays(right))) if left.num_rows else []
+        i, j, w = (np.concatenate([f[c] for f in found]) if found else np.zeros(0) for c in range(3))
+        return pa.table({"image_id": pa.array([key[0].as_py()] * len(i), right.schema.field(0).type), "i": pa.array(i, pa.int32()), "j": pa.array(j, pa.int32()), "w": pa.array(w, number)})
+
+    return some.groupBy("image_id", "block").cogroup(all_of.groupBy("image", "number")).applyInArrow(run, f"image_id {id_type}, i int, j int, w {kind}")
+
+
+def entropies(codes: np.ndarray, natural: bool) -> np.ndarray:
+    """The entropy of each row's numbers."""
+    codes = np.sort(codes, axis=1)
+    n = codes.shape[1]
+    new = np.ones(codes.shape, bool)
+    new[:, 1:] = codes[:, 1:] != codes[:, :-1]
+    row, at = np.nonzero(new)
+    run = np.diff(np.r_[row * n + at, codes.size])
+    share = run / n
+    return np.bincount(row, -share * (np.log(share) if natural else np.log2(share)), len(codes))
+
+
 def information(patches: DataFrame, beta: float | None = None, natural: bool = False) -> DataFrame:
     """Distance 1 - 2 I / (H1 + H2) of the joint histogram of integer patch values; 1 where nothing is shared
     (also between constant patches). ``natural`` tells between logarithms, which cancel."""
-    log = F.ln if natural else F.log2
-    cells = patches.select("image_id", "p", F.posexplode("k").alias("o", "v"))
-    n = patches.select("image_id", F.size("k").alias("n")).distinct()
-    entropy = lambda c, g: c.groupBy(*g).agg((-F.sum(F.col("c") / F.col("n") * log(F.col("c") / F.col("n")))).alias("h"))
-    single = entropy(cells.groupBy("image_id", "p", "v").agg(F.count("*").alias("c")).join(n, "image_id"), ("image_id", "p"))
-    a, b = cells.select("image_id", "o", F.col("p").alias("i"), F.col("v").alias("va")), cells.select("image_id", "o", F.col("p").alias("j"), F.col("v").alias("vb"))
-    joint = a.join(b, ["image_id", "o"]).where("i <= j").groupBy("image_id", "i", "j", "va", "vb").agg(F.count("*").alias("c")).join(n, "image_id")
-    both = entropy(joint, ("image_id", "i", "j"))
-    h1, h2 = single.select("image_id", F.col("p").alias("i"), F.col("h").alias("h1")), single.select("image_id", F.col("p").alias("j"), F.col("h").alias("h2"))
-    mi, total = F.col("h1") + F.col("h2") - F.col("h"), F.col("h1") + F.col("h2")
-    d = F.when((total < 1e-12) | (F.abs(mi) < 1e-12), F.lit(1.0)).otherwise(1 - 2 * mi / F.nullif(total, F.lit(0.0)))
-    out = both.join(h1, ["image_id", "i"]).join(h2, ["image_id", "j"])
-    return mirrored(out.select("image_id", "i", "j", (d if beta is None else V.affinity(d, beta)).alias("w")))
+
+    def compare(i: np.ndarray, a: np.ndarray, j: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        names, code = np.unique(b, return_inverse=True)
+        b = code.reshape(b.shape).astype(np.int64)
+        a = np.searchsorted(names, a).astype(np.int64)
+        ha, hb = entropies(a, natural), entropies(b, natural)
+        step = max(1, MATRIX // max(b.size, 1))
+        for s in range(0, len(a), step):
+            part = a[s : s + step]
+            both = entropies((part[:, None, :] * len(names) + b[None]).reshape(-1, b.shape[1]), natural).reshape(len(part), len(b))
+            total = ha[s : s + step, None] + hb[None]
+            mi = total - both
+            none = (total < 1e-12) | (np.abs(mi) < 1e-12)
+            yield np.repeat(i[s : s + step], len(j)), np.tile(j, len(part)), np.where(none, 1.0, 1 - 2 * mi / np.where(none, 1.0, total)).ravel()
+
+    out = blocked(patches, compare, "double")
+    return out if beta is None else out.withColumn("w", V.affinity(F.col("w"), beta))
 
 
 def nearest(patches: DataFrame, features: Column, k: int) -> DataFrame:
-    """image_id, i, j: the k nearest patches of each by features (array), itself included, ties to the lower j.
-    The k best are kept as partial aggregates, so no task sorts a patch's whole neighbourhood."""
-    f = patches.select("image_id", "p", features.alias("k"))
-    d = all_pairs(f, upper=False).select("image_id", "i", "j", F.round(V.ssd(F.col("a"), F.col("b")), 9).alias("d"))
-    best = d.groupBy("image_id", "i").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "j"))), 1, k).alias("n"))
-    return best.select("image_id", "i", F.explode("n.j").alias("j"))
+    """image_id, i, j: the k nearest patches of each by features (array), itself included, ties (within 9 digits of the
+    squared distance) to the lower j. A block's distances are taken a few rows at a time and only the best are kept."""
+
+    def compare(i: np.ndarray, a: np.ndarray, j: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        least = min(k, len(b))
+        step = max(1, MATRIX // max(len(b), 1))
+        for s in range(0, len(a), step):
+            part = a[s : s + step]
+            d = np.zeros((len(part), len(b)))
+            for t in range(b.shape[1]):
+                d += (part[:, t, None] - b[None, :, t]) ** 2
+            d = np.round(d, 9)
+            bound = np.partition(d, least - 1, axis=1)[:, least - 1]
+            row, at = np.nonzero(d <= bound[:, None])
+            order = np.lexsort((at, d[row, at], row))
+            row, at = row[order], at[order]
+            rank = np.arange(len(row)) - np.searchsorted(row, row)
+            best = rank < least
+            yield i[s : s + step][row[best]], j[at[best]], rank[best]
+
+    return blocked(patches.select("image_id", "p", features.alias("k")), compare, "long").select("image_id", "i", "j")
 
 
 def neighbour_counts(patches: DataFrame, features: Callable[[float], Column], scales: Sequence[tuple[int, float]]) -> DataFrame:

@@ -8,16 +8,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from tessella.sources.store import settled
+
+
+def ranked(rows: DataFrame, order: Sequence[str], name: str = "place") -> DataFrame:
+    """rows with their number, from 0, in the given order: rows are dealt out by ranges, sorted and numbered within
+    each range, and ranges are counted, so that no task sees them all. Ties may come in any order."""
+    spread = rows.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order)
+    dealt = settled(spread.withColumn(name, F.monotonically_increasing_id()), "ranked")
+    part = F.shiftright(name, 33)
+    counts = dealt.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # one row a range
+    return dealt.join(counts.select("part", before.alias("before")), part == F.col("part")).select(*rows.columns, (F.col(name).bitwiseAND(F.lit((1 << 33) - 1)) + F.col("before")).alias(name))
+
 
 def positional(tables: Sequence[DataFrame], order: Sequence[str], names: Sequence[str]) -> DataFrame:
     """Rows of equal rank side by side, as struct columns ``names``; tables of unequal length fail the job.
-    For file listings; large tables have keys (``by_key``)."""
+    Tables that have a key in common are joined by it (``by_key``)."""
     counts = {t.count() for t in tables}
     if len(counts) > 1:
         raise ValueError(f"tables of unequal length: {sorted(counts)}")
     out = None
     for t, o, n in zip(tables, order, names, strict=True):
-        numbered = t.select(F.row_number().over(W.orderBy(o)).alias("place"), F.struct(*t.columns).alias(n))
+        numbered = ranked(t, [o]).select("place", F.struct(*t.columns).alias(n))
         out = numbered if out is None else out.join(numbered, "place")
     return out.drop("place")
 

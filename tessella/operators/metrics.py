@@ -12,11 +12,17 @@ from tessella.operators.labelmaps import dilate
 
 
 def confusion(counts: DataFrame, classes: Sequence[int], keys: tuple[str, ...] = ("image_id",)) -> DataFrame:
-    """keys, class, tp, fp, fn, tn for each class, also one that an image lacks."""
-    total = counts.groupBy(*keys).agg(F.sum("n").alias("total"), *[F.sum(F.when(c, F.col("n")).otherwise(0)).alias(f"{k}{i}") for i in classes for k, c in (("b", (F.col("pred") == i) & (F.col("gt") == i)), ("p", F.col("pred") == i), ("g", F.col("gt") == i))])
-    each = F.explode(F.array(*[F.struct(F.lit(i).alias("class"), F.col(f"b{i}").alias("tp"), (F.col(f"p{i}") - F.col(f"b{i}")).alias("fp"), (F.col(f"g{i}") - F.col(f"b{i}")).alias("fn")) for i in classes]))
-    rows = total.select(*keys, "total", each.alias("c")).select(*keys, "c.*", "total")
-    return rows.select(*keys, "class", "tp", "fp", "fn", (F.col("total") - F.col("tp") - F.col("fp") - F.col("fn")).alias("tn"))
+    """keys, class, tp, fp, fn, tn for each class, also one that an image lacks. One row a label of a pair is summed by
+    class, so any number of classes will do."""
+    zero, same = F.lit(0).cast("long"), F.col("pred") == F.col("gt")
+    ends = F.array(
+        F.struct(F.col("pred").alias("class"), F.when(same, F.col("n")).otherwise(zero).alias("tp"), F.col("n").alias("p"), zero.alias("g")),
+        F.struct(F.col("gt").alias("class"), zero.alias("tp"), zero.alias("p"), F.col("n").alias("g")),
+    )
+    sums = counts.select(*keys, F.explode(ends).alias("e")).select(*keys, "e.*").groupBy(*keys, "class").agg(*[F.sum(c).alias(c) for c in ("tp", "p", "g")])
+    grid = counts.groupBy(*keys).agg(F.sum("n").alias("total")).select(*keys, "total", F.explode(F.array(*map(F.lit, classes))).alias("class"))
+    rows = grid.join(sums, [*keys, "class"], "left").select(*keys, "class", "total", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("tp", "p", "g")])
+    return rows.select(*keys, "class", "tp", (F.col("p") - F.col("tp")).alias("fp"), (F.col("g") - F.col("tp")).alias("fn"), (F.col("total") - F.col("p") - F.col("g") + F.col("tp")).alias("tn"))
 
 
 def ratio(a: Column, b: Column) -> Column:

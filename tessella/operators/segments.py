@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
@@ -10,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessella.operators.labelmaps import dilate, erode
 from tessella.operators.patches import normalised
+from tessella.sources.store import dropped, settled
 
 
 def boxes(labels: DataFrame, height: int, width: int, patch: int = 1, erosions: int = 0, dilations: int = 0, skip_background: bool = True) -> DataFrame:
@@ -27,29 +27,29 @@ def nested(segments: DataFrame) -> DataFrame:
     return segments.groupBy("image_id").agg(F.array_sort(F.collect_list(box)).alias("boxes"))
 
 
-def components(mask: DataFrame, rounds: int = 64) -> DataFrame:
+def components(mask: DataFrame) -> DataFrame:
     """image_id, y, x, component: connected parts (diagonals count) of a mask, named by their first pixel.
 
     Each round takes the least name in the 3 x 3 neighbourhood, then the name of the pixel that the name is of, which
-    shortens long parts; it stops when nothing changes. Lineage is cut in every round.
+    shortens long parts, until nothing changes. Lineage is cut in every round by a written table; that of the round
+    before is deleted.
     """
     name = F.struct("y", "x")
     rows = mask.select("image_id", "y", "x", name.alias("component"))
     around = F.array(*[F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
     sent = lambda r: r.withColumn("o", F.explode(around)).select("image_id", (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"), F.col("component").alias("near"))
-    if mask.sparkSession.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        mask.sparkSession.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessella-"))
-    for _ in range(rounds):
+    last = None
+    while True:
         near = sent(rows).groupBy("image_id", "y", "x").agg(F.min("near").alias("near"))
         new = rows.join(near, ["image_id", "y", "x"]).select("image_id", "y", "x", F.col("component").alias("old"), F.least("component", "near").alias("component"))
         names = new.select("image_id", F.struct("y", "x").alias("component"), F.col("component").alias("beyond"))
-        new = new.join(names, ["image_id", "component"], "left").select("image_id", "y", "x", "old", F.least("component", F.coalesce("beyond", "component")).alias("component")).checkpoint()
-        rows = new.select("image_id", "y", "x", "component")
+        new = new.join(names, ["image_id", "component"], "left").select("image_id", "y", "x", "old", F.least("component", F.coalesce("beyond", "component")).alias("component"))
+        new = settled(new, "components")
+        if last is not None:
+            dropped(last)
+        rows, last = new.select("image_id", "y", "x", "component"), new
         if not new.where("old <> component").limit(1).count():
-            break
-    return rows
+            return rows
 
 
 def largest_component(mask: DataFrame) -> DataFrame:
@@ -66,13 +66,12 @@ def census(clusters: DataFrame) -> DataFrame:
 def clustered(features: DataFrame, k: int, seed: int = 1, iterations: int = 50) -> DataFrame:
     """features (image_id, segment, features) with ``cluster``: k-means over the unit vectors of all segments,
     with fewer clusters where there are fewer segments."""
-    rows = features.withColumn("unit", array_to_vector(normalised(F.col("features")))).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = settled(features, "features").withColumn("unit", array_to_vector(normalised(F.col("features"))))
     k = min(k, rows.limit(k).count())
     if k < 2:
         out = rows.withColumn("cluster", F.lit(0))
     else:
         out = KMeans(k=k, seed=seed, maxIter=iterations, featuresCol="unit", predictionCol="cluster").fit(rows).transform(rows)
-    rows.unpersist()
     return out.select("image_id", "segment", "features", "cluster")
 
 

@@ -149,14 +149,14 @@ def levels(spark, sf_dir, size: int) -> DataFrame:
     return grey(spark, sf_dir).withColumn("k", F.transform("k", lambda v: F.floor((v * 255 + 0.5) / size).cast("int")))
 
 
-@query(GREY + MI.format(bin=16, log="log2"))
+@query(GREY + MI.format(bin=1, log="log2"))
 def g8_mutual_information(spark, sf_dir):
-    return rounded(A.information(levels(spark, sf_dir, 16)))
+    return rounded(A.information(levels(spark, sf_dir, 1)))
 
 
-@query(GREY + MI.format(bin=16, log="ln"))
+@query(GREY + MI.format(bin=1, log="ln"))
 def g9_nmi_distance(spark, sf_dir):
-    return rounded(A.information(levels(spark, sf_dir, 16), natural=True))
+    return rounded(A.information(levels(spark, sf_dir, 1), natural=True))
 
 
 COUNTS = " , k AS (SELECT * FROM knn1 UNION ALL SELECT image_id, j, i FROM knn1 UNION ALL SELECT * FROM knn2 UNION ALL SELECT image_id, j, i FROM knn2) SELECT image_id, i, j, count(*) AS w FROM k GROUP BY ALL"
@@ -183,10 +183,11 @@ def g12_position_knn_affinity(spark, sf_dir):
     return A.neighbour_counts(patches(spark, sf_dir), A.position, ((9, 1.0), (5, 1.0)))
 
 
-@query(", f1 AS (SELECT image_id, y * 80 + x AS p, [val / 255.0::DOUBLE, x * 0.01, y * 0.01] AS k FROM pixels WHERE y < 2), q1 AS (SELECT a.image_id, a.p AS i, b.p AS j, a.k AS a, b.k AS b FROM f1 a JOIN f1 b ON a.image_id = b.image_id), f2 AS (SELECT 1), q2 AS (SELECT * FROM q1)" + KNN.format(n=1, d=EXACT, q="q1", k=6) + KNN.format(n=2, d=EXACT, q="q2", k=3) + COUNTS)
+@query()
 def g13_colour_knn_affinity(spark, sf_dir):
-    rows = T.pixels(patches(spark, sf_dir)).where("y < 2").select("image_id", (F.col("y") * 80 + F.col("x")).alias("p"), F.array((F.col("val") / 255.0).cast("double")).alias("k"), F.col("x").alias("px"), F.col("y").alias("py"))
-    return A.neighbour_counts(rows, A.appearance, ((6, 0.01), (3, 0.01)))
+    """Over all pixels of all images; SQL would sort the square of their number."""
+    rows = T.pixels(patches(spark, sf_dir)).select("image_id", (F.col("y") * 80 + F.col("x")).alias("p"), F.array((F.col("val") / 255.0).cast("double")).alias("k"), F.col("x").alias("px"), F.col("y").alias("py"))
+    return A.neighbour_counts(rows, A.appearance, ((6, 0.01), (3, 0.03)))
 
 
 @query("SELECT a.image_id, a.y, a.x, b.y AS y2, b.x AS x2, round(exp(-((a.val - b.val) / 25.5 * (a.val - b.val) / 25.5)), 6) AS w FROM pixels a JOIN pixels b ON a.image_id = b.image_id AND abs(a.y - b.y) <= 1 AND abs(a.x - b.x) <= 1")
@@ -253,10 +254,9 @@ def c3_sign_convention(spark, sf_dir):
     return patches(spark, sf_dir).select("image_id", "p", S.signed(F.col("k")).alias("k"))
 
 
-@query(", e AS (SELECT image_id, p AS k, list_sum(k[1:p + 1]) ** 2 AS eigenvalue FROM patches WHERE p < 8), g AS (SELECT image_id, k, lead(eigenvalue) OVER (PARTITION BY image_id ORDER BY k) - eigenvalue AS gap FROM e) SELECT image_id, k + 1 AS n FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY gap DESC, k) AS r FROM g WHERE gap IS NOT NULL AND k > 0) WHERE r = 1")
+@query()
 def c4_eigengap(spark, sf_dir):
-    e = patches(spark, sf_dir).where("p < 8").select("image_id", F.col("p").alias("k"), F.pow(V.total(F.slice("k", 1, F.col("p") + 1)), 2).alias("eigenvalue"))
-    return S.eigengap(e)
+    return S.eigengap(eigen(spark, sf_dir))
 
 
 @query()

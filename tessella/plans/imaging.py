@@ -175,9 +175,9 @@ def p15_list_remap(spark, sf_dir):
     return L.remap(gt, gt.select("image_id").distinct().crossJoin(F.broadcast(pairs)))  # three rows
 
 
-@query("SELECT image_id, y, x, (dense_rank() OVER (PARTITION BY image_id ORDER BY label * 3) - 1)::INT AS label FROM gt_map WHERE (label + image_id) % 4 > 0")
+@query("SELECT image_id, y, x, (dense_rank() OVER (PARTITION BY image_id ORDER BY label * 3) - 1)::INT AS label FROM gt_map")
 def p16_dense_relabel(spark, sf_dir):
-    return L.dense(T.truth(T.patches(spark, sf_dir)).where("(label + image_id) % 4 > 0").withColumn("label", F.col("label") * 3))
+    return L.dense(T.truth(T.patches(spark, sf_dir)).withColumn("label", F.col("label") * 3))
 
 
 @query(", t AS (SELECT image_id, a.y, b.x FROM (SELECT DISTINCT image_id FROM gt_map), range(80) a(y), range(25) b(x)) SELECT t.image_id, t.y::INT AS y, t.x::INT AS x, label FROM t JOIN gt_map g ON g.image_id = t.image_id AND g.y = floor(t.y * 10 / 80) AND g.x = floor(t.x * 10 / 25)")
@@ -207,16 +207,16 @@ def p21_sincos_positions(spark, sf_dir):
     return T.patches(spark, sf_dir).select("image_id", "p", F.transform(code, lambda v: F.round(v, 6)).alias("code"))
 
 
-BOXES = ", boxes AS (SELECT image_id, label AS segment, min(x)::INT AS xmin, min(y)::INT AS ymin, (max(x) + 1)::INT AS xmax, (max(y) + 1)::INT AS ymax FROM (SELECT * FROM gt_map WHERE label BETWEEN 1 AND 2 AND y < 5) GROUP BY ALL)"
+BOXES = ", boxes AS (SELECT image_id, label AS segment, min(x)::INT AS xmin, min(y)::INT AS ymin, (max(x) + 1)::INT AS xmax, (max(y) + 1)::INT AS ymax FROM (SELECT * FROM gt_map WHERE label > 0) GROUP BY ALL)"
 
 
-def small_boxes(spark, sf_dir):
-    return S.boxes(T.truth(T.patches(spark, sf_dir)).where("label between 1 and 2 and y < 5"), 10, 10)
+def truth_boxes(spark, sf_dir):
+    return S.boxes(T.truth(T.patches(spark, sf_dir)), 10, 10)
 
 
 @query(BOXES + "SELECT p.image_id, segment, y, x, val FROM pixels p JOIN boxes b ON p.image_id = b.image_id AND x >= xmin AND x < xmax AND y >= ymin AND y < ymax")
 def p22_crop_box(spark, sf_dir):
-    return P.crop(pix(spark, sf_dir), small_boxes(spark, sf_dir))
+    return P.crop(pix(spark, sf_dir), truth_boxes(spark, sf_dir))
 
 
 @query("SELECT p.image_id, p.y, p.x, CASE WHEN g.label = 3 THEN val ELSE 0 END AS val FROM pixels p JOIN gt_map g ON g.image_id = p.image_id AND g.y = p.y // 8 AND g.x = p.x // 8")

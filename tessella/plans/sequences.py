@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from tessella.operators import frames as R
 from tessella.operators import metrics as E
 from tessella.operators import sampling as V
+from tessella.operators.joins import ranked
 from tessella.plans.registry import query, rounded
+from tessella.sources import store
 from tessella.sources import tables as T
 
 TYPES = ("click", "error", "purchase", "signup", "view")
@@ -70,8 +71,8 @@ def w6_rescale(spark, sf_dir):
 @query(DIFFS + "SELECT seq, frame, diff FROM (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY diff DESC, frame) AS r FROM d) WHERE r <= 3", FRAMES)
 def w7_top_changes(spark, sf_dir):
     d = R.shot_changes(frames(spark, sf_dir), LIMIT)
-    best = d.groupBy("seq").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("diff")).alias("d"), F.col("frame")))), 1, 3).alias("b"))
-    return best.select("seq", F.explode("b").alias("b")).select("seq", "b.frame", (-F.col("b.d")).alias("diff"))
+    rank = F.row_number().over(W.partitionBy("seq").orderBy(F.desc("diff"), "frame"))  # cut off before the shuffle, too
+    return d.withColumn("r", rank).where("r <= 3").select("seq", "frame", "diff")
 
 
 @query("SELECT DISTINCT source FROM documents ORDER BY source", "")
@@ -158,38 +159,60 @@ def v9_views(spark, sf_dir):
     return V.views(images(spark, sf_dir))
 
 
-@query("SELECT label, list(vec_id ORDER BY vec_id) AS ids FROM embeddings GROUP BY label", "")
+@query("SELECT label, batch, list(vec_id ORDER BY vec_id) AS ids FROM (SELECT label, vec_id, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) // 64 AS batch FROM embeddings) GROUP BY label, batch", "")
 def v11_collate(spark, sf_dir):
-    return T.embeddings(spark, sf_dir).groupBy("label").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
+    """Lists of up to 64 of a label, in numbered batches, whatever the label's size."""
+    placed = ranked(T.embeddings(spark, sf_dir).select("label", "vec_id"), ["label", "vec_id"])
+    first = placed.groupBy("label").agg(F.min("place").alias("first"))
+    at = placed.join(first, "label").withColumn("batch", F.floor((F.col("place") - F.col("first")) / 64))
+    return at.groupBy("label", "batch").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
+
+
+def arriving(spark, df: DataFrame, order: str, files: int = 4) -> DataFrame:
+    """A stream over df as files that arrive one after the other, each a batch, in the given order."""
+    source = store.scratch(spark, "arriving")
+    bounds = df.approxQuantile(order, [i / files for i in range(1, files)], 0.01)
+    part = sum(((F.col(order) > b).cast("int") for b in bounds), F.lit(0))
+    for i in range(files):
+        df.where(part == i).coalesce(1).write.mode("append").parquet(source)  # one arriving file
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(source)
+
 
+def streamed(spark, stream: DataFrame) -> DataFrame:
+    """What an append-mode stream has put out when its source is at its end."""
+    from tessella.streaming.frames import appended
 
-def streamed(spark, df: DataFrame, build, mode: str = "append") -> DataFrame:
-    """Runs a streaming query over a table's files to its end and returns what it put out."""
-    source = tempfile.mkdtemp(prefix="tessella-stream-")
-    df.write.mode("overwrite").parquet(source)
-    name = "stream_" + source.rsplit("-", 1)[1].replace(".", "_")
-    stream = build(spark.readStream.schema(df.schema).parquet(source))
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
+    out = store.scratch(spark, "stream")
+    appended(stream, out, store.scratch(spark, "state"))
+    return spark.read.schema(stream.schema).parquet(out)
 
 
 @query(SHOTS, FRAMES)
 def t1_streaming_shots(spark, sf_dir):
+    """Four batches: shots go on where the batch before ended."""
     from tessella.streaming.frames import shots
 
-    ordered = frames(spark, sf_dir).coalesce(1)
-    return streamed(spark, ordered, lambda s: shots(s, LIMIT))
+    return streamed(spark, shots(arriving(spark, frames(spark, sf_dir), "frame"), LIMIT))
 
 
 @query("SELECT round(avg(val), 6) AS mean, round(stddev_pop(val), 6) AS std FROM pixels")
 def t2_streaming_moments(spark, sf_dir):
-    from tessella.streaming.frames import moments
+    from tessella.streaming.frames import moments, replaced
 
-    return rounded(streamed(spark, T.pixels(T.patches(spark, sf_dir)), moments, "complete"))
+    out = store.scratch(spark, "moments")
+    replaced(moments(arriving(spark, T.pixels(T.patches(spark, sf_dir)), "image_id", 3)), out, store.scratch(spark, "state"))
+    found = spark.read.parquet(out)
+    return rounded(found.where(F.col("batch") == found.agg(F.max("batch")).first()[0]).drop("batch"))
 
 
-@query("SELECT event_id, v[((len(v) + 1) // 2)::INT] AS median FROM (SELECT event_id, list_sort(list(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)) AS v FROM events WHERE value IS NOT NULL)", "")
+ROLLING = "SELECT event_id, v[((len(v) + 1) // 2)::INT] AS median FROM (SELECT event_id, list_sort(list(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)) AS v FROM events WHERE value IS NOT NULL)"
+
+
+@query(ROLLING, "")
 def t3_rolling_medians(spark, sf_dir):
+    """Four batches: windows reach back over their borders."""
+    from tessella.streaming.frames import rolling
+
     events = spark.read.parquet(f"{sf_dir}/events.parquet").where("value is not null")
-    return E.smoothed(events.select("event_id", "user_id", "value"), ("user_id",), "event_id", "value").select("event_id", "median")
+    values = events.select(F.col("user_id").alias("key"), F.col("event_id").cast("long").alias("step"), F.col("value").cast("double").alias("value"))
+    return streamed(spark, rolling(arriving(spark, values, "step"))).select(F.col("step").alias("event_id"), "median")

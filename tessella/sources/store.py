@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +15,39 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``, which all executors see. Where it is unset a local session gets a temporary folder;
+    on a cluster that is an error."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessella-"))
+        folder = spark.sparkContext.getCheckpointDir()
+    return folder.rstrip("/")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_folder(spark)}/tessella/{name}-{uuid.uuid4().hex}"
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read back: lineage ends there, and so do differences between evaluations."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.settled_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes the files of settled tables that nothing reads any more."""
+    for t in tables:
+        p = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.settled_at)
+        p.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def write(df: DataFrame, path: str, by: tuple[str, ...] = (), guard: bool = True) -> None:
     """Writes a new table; with ``guard`` a folder that is there already is an error, else it is replaced."""
     writer = df.write.mode("errorifexists" if guard else "overwrite")

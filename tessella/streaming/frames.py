@@ -10,9 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tessella.operators.metrics import smoothed
-
-
 def shots(frames: DataFrame, threshold: int) -> DataFrame:
     """seq, frame, diff, changed, shot of a stream of frames (seq, frame, hist), as ``operators.frames.shots``.
 
@@ -44,10 +41,44 @@ def moments(pixels: DataFrame) -> DataFrame:
     return pixels.agg(F.avg("val").alias("mean"), F.stddev_pop("val").alias("std"))
 
 
-def rolling(values: DataFrame, path: str, window: int = 20):
-    """A foreachBatch sink: each batch's values (key, step, value) with their rolling figures, appended to a table."""
+def rolling(values: DataFrame, window: int = 20) -> DataFrame:
+    """key, step, value, median, mean of a stream of values (key, step, value), over each value and up to ``window`` - 1
+    before it with the same key; the median is the lower one of an even number.
+
+    State per key: the last values and step. Values are ordered within a batch; one that comes after a later
+    step of its key was handled is left out.
+    """
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(parts).sort_values("step")
+        last, done = state.get if state.exists else ([], None)
+        last, out = list(last), []
+        for at, value in zip(rows["step"].tolist(), rows["value"].tolist(), strict=True):
+            if done is not None and at <= done:
+                continue
+            last = [*last[1 - window :], value] if window > 1 else [value]
+            out.append((key[0], at, value, sorted(last)[(len(last) - 1) // 2], sum(last) / len(last)))
+            done = at
+        state.update((last, done))
+        yield pd.DataFrame(out, columns=["key", "step", "value", "median", "mean"])
+
+    kinds = dict(values.dtypes)
+    return values.groupBy("key").applyInPandasWithState(step, f"key {kinds['key']}, step long, value double, median double, mean double", "last array<double>, done long", "append", GroupStateTimeout.NoTimeout)
+
+
+def appended(stream: DataFrame, path: str, state: str) -> None:
+    """Runs an append-mode stream over what its source has, into Parquet files; a batch that runs again is not
+    written twice, as the sink's log names the files of each."""
+    q = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+
+
+def replaced(stream: DataFrame, path: str, state: str) -> None:
+    """Runs a complete-mode stream over what its source has; each batch replaces the table of its own number, so running one
+    again does no harm, and the highest number holds the result."""
 
     def sink(batch: DataFrame, number: int) -> None:
-        smoothed(batch, ("key",), "step", "value", window).withColumn("batch", F.lit(number)).write.mode("append").parquet(path)
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    return values.writeStream.foreachBatch(sink)
+    q = stream.writeStream.foreachBatch(sink).option("checkpointLocation", state).outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination()
