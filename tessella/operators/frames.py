@@ -51,4 +51,4 @@ def rescaled(values: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
 def sampled(rows: DataFrame, key: str, n: int, seed: int = 1) -> DataFrame:
     """n rows by a seeded hash of their key: the same on every run."""
-    return rows.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    return rows.orderBy(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(seed).cast("string"))), key).limit(n)

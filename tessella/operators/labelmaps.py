@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ast
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -22,6 +24,14 @@ def dense_names(labels: DataFrame) -> DataFrame:
     return names.select("image_id", (F.row_number().over(W.partitionBy("image_id").orderBy("label")) - 1).cast("int").alias("dense"), "label")
 
 
+def matching(option: str) -> dict[int, int]:
+    """The label map of an option's text, such as "{0: 2, 1: 0}" or "[(0, 2), (1, 0)]": read as a literal, never run."""
+    out = dict(ast.literal_eval(option))
+    if not all(isinstance(x, int) for pair in out.items() for x in pair):
+        raise ValueError(f"no map of labels: {option!r}")
+    return out
+
+
 def remap_strict(labels: DataFrame, mapping: DataFrame) -> DataFrame:
     """Labels replaced by ``mapping`` (old, new); a label that the mapping lacks fails the job."""
     out = labels.join(mapping, labels["label"] == mapping["old"], "left")

@@ -62,8 +62,12 @@ def blur_kernel(height: int, theta: float) -> list[float]:
     """Gaussian weights: size int(height * theta) made odd by one less, deviation a sixth of size - 1."""
     k = int(height * theta)
     k -= 1 - k % 2
-    sigma = (k - 1) / 6
-    w = [math.exp(-((i - k // 2) ** 2) / (2 * sigma * sigma)) if sigma else 1.0 for i in range(k)]
+    return gaussian(k, (k - 1) / 6)
+
+
+def gaussian(size: int, sigma: float) -> list[float]:
+    """Gaussian weights of an odd number of places."""
+    w = [math.exp(-((i - size // 2) ** 2) / (2 * sigma * sigma)) if sigma else 1.0 for i in range(size)]
     return [x / sum(w) for x in w]
 
 
@@ -128,6 +132,17 @@ def equalise(pixels: DataFrame, bins: int = 256) -> DataFrame:
     return at.join(tables, "image_id").select("image_id", "y", "x", F.floor(F.round(value, 9)).cast("int").alias("val"))
 
 
+def offline(pixels: DataFrame, height: int, width: int) -> DataFrame:
+    """The fixed chain that whole datasets are prepared with: blur over 3 x 3 with deviation 5, then local equalisation
+    over 2 x 2 tiles."""
+    return equalise_local(smooth(pixels, height, width), height, width, grid=2)
+
+
+def smooth(pixels: DataFrame, height: int, width: int, size: int = 3, sigma: float = 5.0) -> DataFrame:
+    """Whole values blurred by a kernel of the given size and deviation."""
+    return blur(pixels, gaussian(size, sigma), height, width).select("image_id", "y", "x", F.rint(F.round("val", 9)).cast("int").alias("val"))
+
+
 def preprocess(pixels: DataFrame, height: int, width: int, theta: float | None = None, clahe: bool = False, inverted: bool = False, norm: str = "none", moments: tuple[float, float] | None = None) -> DataFrame:
     """The chain in its fixed order: scale, blur, local equalisation, invert, normalise ("imagenet", "custom"
     per image, "custom_global", "none")."""

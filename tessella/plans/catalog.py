@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessella.plans import evaluation, graphs, imaging, pipelines, sequences
+from tessella.plans import evaluation, graphs, imaging, pipelines, sequences, storing
 from tessella.plans.registry import ORACLE, QUERIES
 
-__all__ = ["ORACLE", "QUERIES", "evaluation", "graphs", "imaging", "pipelines", "sequences"]
+__all__ = ["ORACLE", "QUERIES", "evaluation", "graphs", "imaging", "pipelines", "sequences", "storing"]

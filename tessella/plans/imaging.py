@@ -185,7 +185,10 @@ def p17_nearest_resize(spark, sf_dir):
     return L.resize_nearest(T.truth(T.patches(spark, sf_dir)), 10, 10, 80, 25)
 
 
-@query()
+AXIS = "(SELECT t, floor(s)::INT AS lo, least(79, floor(s) + 1)::INT AS hi, s - floor(s) AS w FROM (SELECT t::INT AS t, greatest(0, least(79, (t + 0.5) * 80 / 50 - 0.5))::DOUBLE AS s FROM range(50) r(t)))"
+
+
+@query(f", ay AS {AXIS}, ax AS {AXIS}, spread AS (SELECT image_id, ay.t AS y, x, sum(CASE WHEN y = lo AND y = hi THEN val WHEN y = lo THEN val * (1 - w) ELSE val * w END) AS val FROM pixels JOIN ay ON y = lo OR y = hi GROUP BY ALL) SELECT image_id, y, ax.t AS x, round(sum(CASE WHEN x = lo AND x = hi THEN val WHEN x = lo THEN val * (1 - w) ELSE val * w END), 6) AS val FROM spread JOIN ax ON x = lo OR x = hi GROUP BY ALL")
 def p18_bilinear_resize(spark, sf_dir):
     return rounded(P.resize_bilinear(pix(spark, sf_dir), 80, 80, 50, 50))
 

@@ -85,7 +85,7 @@ def w9_first_rows(spark, sf_dir):
     return T.embeddings(spark, sf_dir).select("vec_id", "label").orderBy("vec_id").limit(40)
 
 
-@query()
+@query("SELECT vec_id FROM embeddings ORDER BY md5(concat_ws(':', vec_id, 1)), vec_id LIMIT 10", "")
 def w10_seeded_sample(spark, sf_dir):
     return R.sampled(T.embeddings(spark, sf_dir).select("vec_id"), "vec_id", 10)
 
@@ -101,6 +101,14 @@ def w12_distinct(spark, sf_dir):
     return T.embeddings(spark, sf_dir).select("label").distinct()
 
 
+def drawn(n: str, *salt: str, digits: int = 8) -> str:
+    """What sampling.draw() is in SQL."""
+    return f"(('0x' || substr(md5(concat_ws(':', {', '.join(salt)})), 1, {digits}))::BIGINT % ({n}))"
+
+
+IMAGES = ", im AS (SELECT DISTINCT image_id, 80 + image_id * 8 AS height, 80 + image_id * 3 AS width FROM patches), nn AS (SELECT *, unnest(range(floor(height * width / 64)::BIGINT)) AS i FROM im)"
+
+
 def images(spark, sf_dir) -> DataFrame:
     side = lambda m: (80 + F.col("image_id") * m).cast("int")
     return T.patches(spark, sf_dir).select("image_id").distinct().select("image_id", side(8).alias("height"), side(3).alias("width"))
@@ -111,23 +119,43 @@ def v1_grid_patches(spark, sf_dir):
     return V.grid(images(spark, sf_dir), 8)
 
 
-@query()
+TRIPLETS = IMAGES + ", tr AS (SELECT *, " + ", ".join(f"{drawn(f'{side} - 7', repr(k + c), 'image_id', 'i', '1')} AS {k}{c}" for k in "an" for c, side in (("x", "width"), ("y", "height"))) + ", " + ", ".join(f"{drawn('12', repr('p' + c), 'image_id', 'i', '1')} AS p{c}" for c in "xy") + " FROM nn) SELECT image_id, i::INT AS i, {'x': ax::INT, 'y': ay::INT} AS anchor, {'x': least(greatest(ax - 4 + px, 0), width - 8)::INT, 'y': least(greatest(ay - 4 + py, 0), height - 8)::INT} AS positive, {'x': nx::INT, 'y': ny::INT} AS negative FROM tr"
+RANDOM_TRIPLETS = (
+    "WITH n AS (SELECT count(*) AS n FROM embeddings), "
+    f"a AS (SELECT vec_id::BIGINT AS a, {drawn('n - 1', repr('p'), 'vec_id', '1')} AS p0, {drawn('n - 2', repr('n'), 'vec_id', '1')} AS q0 FROM embeddings, n), "
+    "b AS (SELECT a, q0, p0 + (p0 >= a)::INT AS p FROM a), "
+    "c AS (SELECT a, p, q0 + (q0 >= least(a, p))::INT AS q1 FROM b), "
+    "t AS (SELECT a AS anchor, p::BIGINT AS positive, (q1 + (q1 >= greatest(a, p))::INT)::BIGINT AS negative FROM c) "
+)
+CLASS_TRIPLETS = (
+    "WITH r AS (SELECT vec_id AS id, label, row_number() OVER (PARTITION BY label ORDER BY ('0x' || substr(md5(concat_ws(':', vec_id, 1)), 1, 12))::BIGINT, vec_id) - 1 AS r FROM embeddings), "
+    "s AS (SELECT label, count(*) AS n, row_number() OVER (ORDER BY label) - 1 AS c, count(*) OVER () AS classes FROM r GROUP BY label), "
+    f"a AS (SELECT id, r.label, CASE WHEN n = 1 THEN r ELSE (r + 1 + {drawn('greatest(n - 1, 1)', repr('p'), 'id', '1')}) % n END AS pr, (c + 1 + {drawn('greatest(classes - 1, 1)', repr('c'), 'id', '1')}) % classes AS nc FROM r JOIN s USING (label)), "
+    f"b AS (SELECT a.*, s.label AS nlabel, {drawn('n', repr('n'), 'id', '1')} AS nr FROM a JOIN s ON s.c = a.nc) "
+    "SELECT b.id AS anchor, p.id AS positive, q.id AS negative FROM b JOIN r p ON p.label = b.label AND p.r = b.pr JOIN r q ON q.label = b.nlabel AND q.r = b.nr"
+)
+UNIT = "((('0x' || substr(md5(concat_ws(':', image_id, y, x, '{s}', 1)), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656.0::DOUBLE)"
+NOISE = f", m AS (SELECT image_id, avg(val) / (4 + {drawn('4', repr('snr'), 'image_id', '1')}) AS sigma FROM pixels GROUP BY image_id) SELECT image_id, y, x, round(val + sigma * (sqrt(-2 * ln({UNIT.format(s='u')})) * cos(2 * 3.141592653589793::DOUBLE * {UNIT.format(s='v')})), 6) AS val FROM pixels JOIN m USING (image_id)"
+VIEWS = IMAGES + ", v AS (SELECT image_id, view, height AS h, width AS w, greatest(floor(height * CASE WHEN view < 2 THEN 0.7::DOUBLE ELSE 0.3::DOUBLE END), 1)::INT AS height, greatest(floor(width * CASE WHEN view < 2 THEN 0.7::DOUBLE ELSE 0.3::DOUBLE END), 1)::INT AS width FROM im, range(8) r(view)) " + f"SELECT image_id, view::INT AS view, CASE WHEN view < 2 THEN 'global' ELSE 'local' END AS kind, {drawn('h - height + 1', repr('y'), 'image_id', 'view', '1')}::INT AS y, {drawn('w - width + 1', repr('x'), 'image_id', 'view', '1')}::INT AS x, height, width FROM v"
+
+
+@query(IMAGES + f"SELECT image_id, i::INT AS i, {drawn('width - 7', "'x'", 'image_id', 'i', '1')}::INT AS x, {drawn('height - 7', "'y'", 'image_id', 'i', '1')}::INT AS y FROM nn")
 def v2_random_patches(spark, sf_dir):
     return V.random_patches(images(spark, sf_dir), 8)
 
 
-@query()
+@query(TRIPLETS)
 def v3_triplet_patches(spark, sf_dir):
     return V.triplet_patches(images(spark, sf_dir), 8, 4)
 
 
-@query()
+@query(RANDOM_TRIPLETS + "SELECT anchor, positive, negative FROM t", "")
 def v4_random_triplets(spark, sf_dir):
     e = T.embeddings(spark, sf_dir).select(F.col("vec_id").alias("i"))
     return V.random_triplets(e, e.count())
 
 
-@query()
+@query(CLASS_TRIPLETS, "")
 def v5_class_triplets(spark, sf_dir):
     return V.class_triplets(T.embeddings(spark, sf_dir), "vec_id", "label")
 
@@ -144,17 +172,17 @@ def v6_patch_crop(spark, sf_dir):
     return cut.select("image_id", name.alias("name"), (F.col("y") - F.col("ymin")).alias("y"), (F.col("x") - F.col("xmin")).alias("x"), "val")
 
 
-@query()
+@query(RANDOM_TRIPLETS + "SELECT anchor // 64 AS batch, list(anchor ORDER BY anchor) AS anchors, list(positive ORDER BY anchor) AS positives, list(negative ORDER BY anchor) AS negatives FROM t GROUP BY batch", "")
 def v7_triplet_batches(spark, sf_dir):
     return V.collated(v4_random_triplets(spark, sf_dir), 64)
 
 
-@query()
+@query(NOISE)
 def v8_gaussian_noise(spark, sf_dir):
     return rounded(V.noisy(T.pixels(T.patches(spark, sf_dir))))
 
 
-@query()
+@query(VIEWS)
 def v9_views(spark, sf_dir):
     return V.views(images(spark, sf_dir))
 

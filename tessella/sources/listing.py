@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,14 +41,23 @@ def listed(spark: SparkSession, path: str) -> DataFrame:
 
 
 def images(spark: SparkSession, path: str) -> DataFrame:
-    """image_id, y, x, c, val of the images in a folder, channels in red, green, blue order."""
+    """image_id, y, x, c, val of the images in a folder, channels in red, green, blue order. An image is cut into its
+    lines before they are opened into numbers, so no row holds more than a line."""
     rows = spark.read.format("image").load(path).select(stem(F.col("image.origin")).alias("image_id"), "image.*")
-    n = F.expr("sequence(0, height * width * nChannels - 1)")
-    cells = rows.select("image_id", "width", "nChannels", "data", F.explode(n).alias("i"))
-    val = F.conv(F.hex(F.expr("substring(data, i + 1, 1)")), 16, 10).cast("int")
-    c = F.when(F.col("nChannels") >= 3, 2 - F.col("i") % F.col("nChannels")).otherwise(0)
-    place = F.floor(F.col("i") / F.col("nChannels"))
-    return cells.select("image_id", F.floor(place / F.col("width")).cast("int").alias("y"), (place % F.col("width")).cast("int").alias("x"), c.cast("int").alias("c"), val.alias("val")).where("c >= 0")
+    line = F.col("width") * F.col("nChannels")
+    lines = F.transform(F.sequence(F.lit(0), F.col("height") - 1), lambda y: F.struct(y.alias("y"), F.substring("data", y * line + 1, line).alias("line")))
+    cut = rows.where("height > 0").select("image_id", "nChannels", F.explode(lines).alias("l")).select("image_id", "nChannels", "l.*")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for n in range(batch.num_rows):
+                image, channels, y, line = (batch.column(c)[n].as_py() for c in range(4))
+                values = np.frombuffer(line, np.uint8).reshape(-1, channels)
+                values = values[:, 2::-1] if channels >= 3 else values[:, :1]
+                x, c = (np.broadcast_to(a, values.shape).ravel() for a in (np.arange(len(values))[:, None], np.arange(values.shape[1])))
+                yield pa.RecordBatch.from_arrays([pa.array([image] * values.size, pa.string()), pa.array([y] * values.size, pa.int32()), pa.array(x, pa.int32()), pa.array(c, pa.int32()), pa.array(values.ravel(), pa.int32())], ["image_id", "y", "x", "c", "val"])
+
+    return cut.mapInArrow(run, "image_id string, y int, x int, c int, val int")
 
 
 def labelled_folders(files: DataFrame) -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import struct
 import tempfile
 import uuid
+import zlib
 from collections.abc import Callable, Mapping
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -76,6 +80,36 @@ def masks(labels: DataFrame) -> DataFrame:
     return labels.withColumn("label", F.pmod("label", F.lit(256)).cast("int"))
 
 
+def png(values: np.ndarray) -> bytes:
+    """An 8-bit grey image file of a matrix."""
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    height, width = values.shape
+    lines = np.zeros((height, width + 1), np.uint8)  # the first byte of a line says that it is not filtered
+    lines[:, 1:] = values
+    head = struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(lines.tobytes())) + chunk(b"IEND", b"")
+
+
+def write_images(pixels: DataFrame, folder: str) -> DataFrame:
+    """image_id, file: grey images (image_id, y, x, val from 0 to 255), each written as a file of its own; what is missing is
+    0. A task that runs again writes the same files. One image is one group."""
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        from pyarrow import fs
+
+        values = np.zeros((int(rows["y"].max()) + 1, int(rows["x"].max()) + 1), np.uint8)
+        values[rows["y"], rows["x"]] = rows["val"]
+        url = f"{folder}/{key[0]}.png"
+        files, path = fs.FileSystem.from_uri(url if "://" in url else f"file://{url.removeprefix('file:')}")
+        files.create_dir(path.rpartition("/")[0], recursive=True)
+        with files.open_output_stream(path) as out:
+            out.write(png(values))
+        return pd.DataFrame({"image_id": [key[0]], "file": [url]})
+
+    kind = dict(pixels.dtypes)["image_id"]
+    return settled(pixels.select("image_id", "y", "x", "val").groupBy("image_id").applyInPandas(run, f"image_id {kind}, file string"), "files")
+
+
 def log_metrics(df: DataFrame, path: str, run: str) -> None:
     """Appends a run's metrics to the table of all runs."""
     df.withColumn("run", F.lit(run)).write.mode("append").partitionBy("run").parquet(path)
