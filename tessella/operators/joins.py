@@ -60,10 +60,10 @@ def present(wanted: DataFrame, have: DataFrame, key: str = "image_id") -> DataFr
     return wanted.join(have.select(key).distinct(), key, "left_semi")
 
 
-def three_way(images: DataFrame, gt: DataFrame, pred: DataFrame) -> DataFrame:
-    """image_id, image, gt, pred by name; predictions stand in for missing truth."""
-    out = images.join(pred, "image_id").join(gt, "image_id", "left")
-    return out.select("image_id", "image", F.coalesce("gt", "pred").alias("gt"), "pred")
+def three_way(images: DataFrame, gt: DataFrame, pred: DataFrame, keys: Sequence[str] = ("image_id",)) -> DataFrame:
+    """keys, image, gt, pred by name; predictions stand in for missing truth."""
+    out = images.join(pred, list(keys)).join(gt, list(keys), "left")
+    return out.select(*keys, "image", F.coalesce("gt", "pred").alias("gt"), "pred")
 
 
 def parameter_grid(spark: SparkSession, values: Mapping[str, Sequence]) -> DataFrame:

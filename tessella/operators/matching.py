@@ -6,8 +6,6 @@ Matches are image_id, gt, pred, with -1 for a gt that no pred is matched to.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -125,11 +123,3 @@ def consistency(found: DataFrame) -> DataFrame:
     ranked = n.withColumn("r", F.row_number().over(W.partitionBy("gt").orderBy(F.desc("n"), "seen")))
     use = ranked.groupBy("gt").agg(F.min_by(F.struct("pred", "n"), F.when((F.col("r") == 1) & (F.col("pred") == -1), 1000000000).otherwise(F.col("r"))).alias("b"))
     return use.join(total, "gt").select("gt", "b.pred", (F.col("b.n") * 100.0 / F.col("total")).alias("percent"))
-
-
-def permutations_best(value: Iterable) -> float:
-    """The greatest sum of an assignment by trying all; for tests of small grids."""
-    from itertools import permutations
-
-    grid = np.asarray(value)
-    return max(sum(grid[i, j] for i, j in enumerate(p)) for p in permutations(range(len(grid))))

@@ -21,12 +21,6 @@ def boxes(labels: DataFrame, height: int, width: int, patch: int = 1, erosions:
     return mask.groupBy(*keys).agg(*[(f(c) * patch if f is F.min else (f(c) + 1) * patch).alias(f"{c}{n}") for n, f in (("min", F.min), ("max", F.max)) for c in ("x", "y")]).select(*keys, "xmin", "ymin", "xmax", "ymax")
 
 
-def nested(segments: DataFrame) -> DataFrame:
-    """One row per image with its boxes in an array, ordered by segment."""
-    box = F.struct("segment", F.struct("xmin", "ymin", "xmax", "ymax").alias("bbox"))
-    return segments.groupBy("image_id").agg(F.array_sort(F.collect_list(box)).alias("boxes"))
-
-
 def components(mask: DataFrame) -> DataFrame:
     """image_id, y, x, component: connected parts (diagonals count) of a mask, named by their first pixel.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessella.operators import joins as J
 from tessella.operators import labelmaps as L
 from tessella.operators import patches as K
 from tessella.operators import pixels as P
@@ -50,7 +51,8 @@ def s4_eval_scan(spark, sf_dir):
 @query("SELECT p.image_id, p.y, p.x, coalesce(g.label, p.label) AS gt, p.label AS pred FROM pred7 p LEFT JOIN (SELECT * FROM gt_map WHERE image_id % 2 = 0) g USING (image_id, y, x)")
 def s5_pseudolabel_scan(spark, sf_dir):
     gt = T.truth(T.patches(spark, sf_dir)).where("image_id % 2 = 0").withColumnRenamed("label", "gt")
-    return pred(spark, sf_dir).withColumnRenamed("label", "pred").join(gt, ["image_id", "y", "x"], "left").select("image_id", "y", "x", F.coalesce("gt", "pred").alias("gt"), "pred")
+    images = T.patches(spark, sf_dir).select("image_id", F.col("py").alias("y"), F.col("px").alias("x"), F.col("p").alias("image"))
+    return J.three_way(images, gt, pred(spark, sf_dir).withColumnRenamed("label", "pred"), ("image_id", "y", "x")).drop("image")
 
 
 @query("SELECT vec_id, CASE WHEN vec_id % 5 = 0 THEN 'val' ELSE 'train' END AS split FROM embeddings", "")

@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass, field, replace
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,14 +81,14 @@ def run(patches: DataFrame, s: Settings, until: str = STAGES[-1]) -> dict[str, D
     for name in STAGES[n : STAGES.index(until) + 1]:
         out[name] = build[name]()
         if name in ("eigs", "segments"):  # several later stages read these
-            out[name] = out[name].persist(StorageLevel.MEMORY_AND_DISK)
+            out[name] = store.settled(out[name], name)
     return out
 
 
 def evaluate(pred: DataFrame, gt: DataFrame, n_classes: int) -> DataFrame:
     """Per-image macro metrics after matching labels image by image."""
     p, g = L.dense(pred), L.dense(gt)
-    counts = M.contingency(M.pairs(p, g)).persist(StorageLevel.MEMORY_AND_DISK)  # one row a label pair; every matching reads it
+    counts = store.settled(M.contingency(M.pairs(p, g)), "counts")  # one row a label pair; every matching reads it
     found = M.named(M.match(M.iou(counts)), L.dense_names(gt), L.dense_names(pred))
     final = L.remap(pred, M.mapping(found))
     return E.macro(E.scores(E.confusion(M.contingency(M.pairs(final, gt)), range(n_classes))), n_classes)
@@ -102,7 +101,9 @@ def sweep(spark: SparkSession, patches: DataFrame, gt: DataFrame, values: Mappin
     out = None
     for row in trials.collect():  # the parameter grid
         s = replace(base, **row.asDict())
-        score = evaluate(run(patches, s, "segments")["segments"], gt, s.n_classes).agg(F.avg("jaccard").alias("miou"))
-        one = score.select(*[F.lit(v).alias(k) for k, v in row.asDict().items()], "miou")
+        tables = run(patches, s, "segments")
+        score = evaluate(tables["segments"], gt, s.n_classes).agg(F.avg("jaccard").alias("miou"))
+        one = store.settled(score.select(*[F.lit(v).alias(k) for k, v in row.asDict().items()], "miou"), "trial")
+        store.dropped(*[t for t in tables.values() if hasattr(t, "settled_at")])
         out = one if out is None else out.unionByName(one)
     return out

@@ -139,13 +139,21 @@ def test_moments_and_binary_maps(spark):
     assert L.binary_fix(full).first().label == 1 and L.binary_fix(full, exact=True).first().label == 255
 
 
+def permutations_best(value):
+    """The greatest sum of an assignment by trying all; for tests of small grids."""
+    from itertools import permutations
+
+    grid = np.asarray(value)
+    return max(sum(grid[i, j] for i, j in enumerate(p)) for p in permutations(range(len(grid))))
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.integers(1, 6).flatmap(lambda n: st.lists(st.lists(st.floats(0, 1), min_size=n, max_size=n), min_size=n, max_size=n)))
 def test_assignment_is_the_best(grid):
     grid = np.array(grid)
     to = M.assignment(grid)
     assert sorted(to) == list(range(len(grid)))
-    assert abs(grid[np.arange(len(grid)), to].sum() - M.permutations_best(grid)) < 1e-9
+    assert abs(grid[np.arange(len(grid)), to].sum() - permutations_best(grid)) < 1e-9
 
 
 def test_blur_keeps_constants_and_sums(spark):
@@ -187,6 +195,62 @@ def test_increment_adds_only_what_is_missing(spark, tmp_path):
     assert store.stored_until(("features", "eigs", "segments"), {"features": "a", "segments": "c"}) == 1
 
 
+def test_large_images_are_compared_by_blocks(spark):
+    """Cut into blocks or not: neighbours and histograms are the same."""
+    rng = np.random.default_rng(2)
+    p = spark.createDataFrame([("a", i, [float(x) for x in rng.integers(0, 4, 3)]) for i in range(57)] + [("b", 0, [1.0, 2.0, 3.0])], "image_id string, p int, k array<double>")
+    rows = {(r.image_id, r.p): r.k for r in p.collect()}
+    found = {}
+    for r in A.nearest(p, F.col("k"), 4).collect():
+        found.setdefault((r.image_id, r.i), set()).add(r.j)
+    for (image, i), k in rows.items():
+        mine = sorted((sum((x - y) ** 2 for x, y in zip(k, o)), j) for (m, j), o in rows.items() if m == image)
+        assert found[image, i] == {j for _, j in mine[:4]}
+    whole = sorted(map(str, A.information(p).collect()))
+    block, A.BLOCK = A.BLOCK, 10
+    try:
+        cut = A.blocked.__defaults__
+        A.blocked.__defaults__ = (10,)
+        assert sorted(map(str, A.information(p).collect())) == whole
+        parts = {}
+        for r in A.nearest(p, F.col("k"), 4).collect():
+            parts.setdefault((r.image_id, r.i), set()).add(r.j)
+        assert parts == found
+    finally:
+        A.BLOCK, A.blocked.__defaults__ = block, cut
+
+
+def test_ranks_by_ranges(spark):
+    rows = spark.range(1000).select((F.col("id") * 7919 % 1009).alias("v")).repartition(7)
+    got = sorted((r.place, r.v) for r in J.ranked(rows, ["v"]).collect())
+    assert got == list(enumerate(sorted(r.v for r in rows.collect())))
+
+
+def test_long_parts_are_followed_to_their_end(spark):
+    """A snake of 40 rows that touch at their ends only."""
+    width, mask = 12, []
+    for y in range(0, 80, 2):
+        mask += [("a", y, x) for x in range(width)] + [("a", y + 1, width - 1 if y % 4 == 0 else 0)]
+    parts = S.components(spark.createDataFrame(mask, "image_id string, y int, x int")).select("component").distinct().collect()
+    assert [tuple(r.component) for r in parts] == [(0, 0)]
+
+
+def test_label_map_options():
+    assert L.matching("{0: 2, 1: 0}") == L.matching("[(0, 2), (1, 0)]") == {0: 2, 1: 0}
+    for bad in ("__import__('os').getcwd()", "{0: 'a'}"):
+        with pytest.raises(ValueError):
+            L.matching(bad)
+
+
+def test_stores_are_guarded(spark, tmp_path):
+    rows = spark.range(3)
+    store.write(rows, str(tmp_path / "t"))
+    with pytest.raises(Exception, match="ALREADY_EXISTS|already exists"):
+        store.write(rows, str(tmp_path / "t"))
+    store.write(rows.limit(1), str(tmp_path / "t"), guard=False)
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 1
+
+
 def test_listings(spark, tmp_path):
     for n in ("b.png", "a.jpg", "c.txt"):
         (tmp_path / n).write_bytes(b"x")
