@@ -723,5 +723,26 @@ def test_pipeline(spark):
                 copies[r.doc_id] = copies.get(r.doc_id, 0) + 1
             assert max(copies.values()) <= 2
     tokenizer = Tokenizer.from_file(Q.tokenizer_path("byte_bpe_50k.json"))
-    expected = sum(len(brute.encoded(tokenizer, r.text, 0)) // 4 for r in docs.collect())
-    assert corpus_pipeline.run(spark, sf).agg(F.sum("length")).first()[0] == expected
+    ids = {r.doc_id: brute.encoded(tokenizer, r.text, 0) for r in docs.collect()}
+    seen, at = {}, {}
+    for r in sorted(corpus_pipeline.run(spark, sf).collect(), key=lambda r: (r.sequence_id, r.offset)):
+        assert brute.crc(ids[r.doc_id][4 * r.start : 4 * (r.start + r.length)]) == r.ids_crc32 and r.offset == at.get(r.sequence_id, 0)
+        at[r.sequence_id] = r.offset + r.length
+        for i in range(r.start, r.start + r.length):
+            seen.setdefault(r.doc_id, [0] * (len(ids[r.doc_id]) // 4))[i] += 1
+    assert {i: set(n) for i, n in seen.items()} == {i: {n} for i, n in copies.items()} and max(at.values()) <= 1024
+
+
+def test_stages_on_awkward_rows(spark, docs, rows, empty):
+    """Nulls, repeated rows, clashing columns and empty tables: every stage keeps the columns, and packing every id."""
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.01"
+    for name, stage in corpus_pipeline.STAGES:
+        out, none = stage(spark, docs, sf), stage(spark, empty, sf)
+        assert none.count() == 0
+        if name == "packing":
+            assert {str(r.doc_id) for r in out.select("doc_id").distinct().collect()} == {str(r[0]) for r in rows}
+        else:
+            assert out.columns == docs.columns == none.columns and 0 < out.count() <= 2 * len(rows)
+            assert {r.mix for r in out.collect()} <= {"m", None}
