@@ -112,6 +112,20 @@ def m1_hungarian_match(spark, sf_dir):
     return rounded(M.hungarian(ious(spark, sf_dir, 10)))
 
 
+#: The best sum of an assignment in SQL: truth labels one by one, for each set of labels taken (as bits) the best so far.
+BEST = ", p0 AS (SELECT DISTINCT image_id, 0::BIGINT AS taken, 0.0::DOUBLE AS best FROM iou)" + "".join(
+    f", p{g + 1} AS (SELECT image_id, taken, max(best) AS best FROM (SELECT * FROM p{g} UNION ALL SELECT p.image_id, p.taken | (1 << pred), p.best + iou FROM p{g} p JOIN iou i ON i.image_id = p.image_id AND i.gt = {g} AND p.taken & (1 << pred) = 0) GROUP BY ALL)" for g in range(10)
+)
+
+
+@query(IOU10 + BEST + "SELECT image_id, round(max(best), 6) AS total FROM p10 GROUP BY image_id")
+def m1_hungarian_total(spark, sf_dir):
+    """What the matched pairs of each image overlap in sum: no other assignment has more."""
+    scores = ious(spark, sf_dir, 10)
+    found = M.hungarian(scores).select("image_id", "gt", "pred")
+    return scores.join(found, ["image_id", "gt", "pred"]).groupBy("image_id").agg(F.round(F.sum("iou"), 6).alias("total"))
+
+
 NAMES = """,
 gn AS (SELECT image_id, label, (row_number() OVER (PARTITION BY image_id ORDER BY label) - 1)::INT AS dense FROM (SELECT DISTINCT image_id, label * 3 + 1 AS label FROM gt_map)),
 pn AS (SELECT image_id, label, (row_number() OVER (PARTITION BY image_id ORDER BY label) - 1)::INT AS dense FROM (SELECT DISTINCT image_id, label * 2 + 5 AS label FROM pred7))
