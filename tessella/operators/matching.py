@@ -115,6 +115,13 @@ def mapping(found: DataFrame) -> DataFrame:
     return found.select("image_id", F.col("gt").alias("position"), F.col("pred").alias("old"), F.col("gt").alias("new"))
 
 
+def relabelled(counts: DataFrame, mapping: DataFrame) -> DataFrame:
+    """Counts (image_id, pred, gt, n) as they are once preds are replaced as ``labelmaps.remap`` does, without a look at
+    pixels again."""
+    last = mapping.groupBy("image_id", "old").agg(F.max_by("new", "position").alias("new")).withColumnRenamed("old", "pred")
+    return counts.join(last, ["image_id", "pred"], "left").groupBy("image_id", F.coalesce("new", F.lit(0)).alias("pred"), "gt").agg(F.sum("n").alias("n"))
+
+
 def consistency(found: DataFrame) -> DataFrame:
     """gt, pred, percent: which pred each gt has most often over images, and how often. -1 gives way to the
     runner-up if there is one; of equals the first seen, by image."""

@@ -9,6 +9,7 @@ from tessella.operators import labelmaps as L
 from tessella.operators import matching as M
 from tessella.operators import metrics as E
 from tessella.plans.registry import query, rounded
+from tessella.sources import store
 from tessella.sources import tables as T
 
 CLASSES = tuple(range(10))
@@ -69,7 +70,10 @@ def matched(spark: SparkSession, sf_dir: str, anchors: int = 7) -> tuple[DataFra
 
 
 def class_scores(spark: SparkSession, sf_dir: str, anchors: int = 7) -> DataFrame:
-    return E.scores(E.confusion(M.contingency(M.pairs(*matched(spark, sf_dir, anchors))), CLASSES))
+    """From counts of label pairs alone: pixels are read once."""
+    counts = store.settled(M.contingency(M.pairs(*maps(spark, sf_dir, anchors))), "counts")
+    found = M.majority_exclusive(M.iou(counts))
+    return E.scores(E.confusion(M.relabelled(counts, M.mapping(found)), CLASSES))
 
 
 @query(IOU10 + "SELECT image_id, pred, gt, n FROM counts")
