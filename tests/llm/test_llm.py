@@ -54,6 +54,12 @@ def labels(spark):
     return spark.createDataFrame([(i, i % 2, (i + 1) % 2) for i in range(60)] + [(None, 1, 1), (7, None, None), (5, 1, 1)], "doc_id long, quality int, toxic int")
 
 
+@pytest.fixture(autouse=True)
+def fewer_rounds(monkeypatch):
+    """Small tables need no eight rounds of shuffles; results do not depend on their number."""
+    monkeypatch.setattr(simhash, "TOGETHER", 8)
+
+
 def data(table="documents", sf="sf0.01"):
     return duckdb.sql(f"SELECT * FROM '/root/testdata/{sf}/{table}.parquet'").fetchall()
 
