@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.llm.decontamination import ORACLE as DECONTAMINATION_SQL
 from tessella.llm.license_scan import oracle as license_sql
 from tessella.llm.mixing import ORACLE as MIXING_SQL
 from tessella.llm.substring import ORACLE as SUBSTRING_SQL
@@ -98,6 +99,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(documents(spark, sf_dir), labels(spark, sf_dir)).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_license_scan, op3_substring_dedup, op4_token_store, op5_simhash_near_dedup, op6_cost_balanced_packing, op7_exact_topk, op8_quality_rules, op9_source_mixing, op10_toxicity)}
+def op11_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every document: see decontamination.report."""
+    from tessella.llm.decontamination import report
 
-ORACLES: dict[str, str] = {"op2_license_scan": license_sql(), "op3_substring_dedup": SUBSTRING_SQL, "op7_exact_topk": TOPK_SQL, "op9_source_mixing": MIXING_SQL}
+    return report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_license_scan, op3_substring_dedup, op4_token_store, op5_simhash_near_dedup, op6_cost_balanced_packing, op7_exact_topk, op8_quality_rules, op9_source_mixing, op10_toxicity, op11_benchmark_decontamination)}
+
+ORACLES: dict[str, str] = {"op2_license_scan": license_sql(), "op3_substring_dedup": SUBSTRING_SQL, "op7_exact_topk": TOPK_SQL, "op9_source_mixing": MIXING_SQL, "op11_benchmark_decontamination": DECONTAMINATION_SQL}
