@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm.conversation_trie import ORACLE as TRIE_SQL
 from tessella.llm.decontamination import ORACLE as DECONTAMINATION_SQL
+from tessella.llm.lexical_search import ORACLE as SEARCH_SQL
 from tessella.llm.license_scan import oracle as license_sql
 from tessella.llm.mixing import ORACLE as MIXING_SQL
 from tessella.llm.substring import ORACLE as SUBSTRING_SQL
@@ -107,6 +108,14 @@ def op11_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return report(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).withColumnRenamed("id", "doc_id")
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """item_id, rank, doc_id, score of the 50 best documents for every benchmark item: see lexical_search.search."""
+    from tessella.llm.lexical_search import build, search
+
+    found = search(build(documents(spark, sf_dir)), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.withColumnsRenamed({"item": "item_id", "id": "doc_id"})
+
+
 def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per node of the trie of all rebuilt conversations: see conversation_trie.trie."""
     from tessella.llm.conversation_trie import conversations, trie, with_shared_starts
@@ -114,6 +123,6 @@ def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie(with_shared_starts(conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_license_scan, op3_substring_dedup, op4_token_store, op5_simhash_near_dedup, op6_cost_balanced_packing, op7_exact_topk, op8_quality_rules, op9_source_mixing, op10_toxicity, op11_benchmark_decontamination, op13_conversation_trie)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_license_scan, op3_substring_dedup, op4_token_store, op5_simhash_near_dedup, op6_cost_balanced_packing, op7_exact_topk, op8_quality_rules, op9_source_mixing, op10_toxicity, op11_benchmark_decontamination, op12_ranked_search, op13_conversation_trie)}
 
-ORACLES: dict[str, str] = {"op2_license_scan": license_sql(), "op3_substring_dedup": SUBSTRING_SQL, "op7_exact_topk": TOPK_SQL, "op9_source_mixing": MIXING_SQL, "op11_benchmark_decontamination": DECONTAMINATION_SQL, "op13_conversation_trie": TRIE_SQL}
+ORACLES: dict[str, str] = {"op2_license_scan": license_sql(), "op3_substring_dedup": SUBSTRING_SQL, "op7_exact_topk": TOPK_SQL, "op9_source_mixing": MIXING_SQL, "op11_benchmark_decontamination": DECONTAMINATION_SQL, "op12_ranked_search": SEARCH_SQL, "op13_conversation_trie": TRIE_SQL}
