@@ -36,7 +36,9 @@ from tessella.llm.textbytes import chunks
 #: Texts that the top levels are fitted on (about), the longest of them in bytes, and texts of a leaf.
 SAMPLE, SAMPLE_BYTES, LEAF = 4096, 4096, 64
 #: Documents and bytes of text of a group (about), documents of a cluster, rounds of swaps at a level.
-GROUP, GROUP_BYTES, CLUSTER, ROUNDS = 4096, 1 << 23, 256, 5
+GROUP, GROUP_BYTES, CLUSTER, ROUNDS = 2048, 1 << 22, 256, 5
+#: Bytes of clusters that a task holds while it writes or reads them, about: their rows are large.
+ROW_GROUP = 1 << 23
 #: Queries, and terms of queries, that are searched together (about).
 BLOCK, BLOCK_TERMS = 256, 1 << 16
 #: Clusters are visited from this share of a query's highest bound on, round by round.
@@ -226,7 +228,7 @@ def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> In
         return pa.table(columns, [c.split()[0] for c in CLUSTERS.split(", ")])
 
     dealt = rows.mapInArrow(deal, "group long, id long, text string")
-    return Index(stash(dealt.groupBy("group").applyInArrow(clusters, CLUSTERS), "index"), n_docs, n_terms)
+    return Index(stash(dealt.groupBy("group").applyInArrow(clusters, CLUSTERS), "index", **{"parquet.block.size": str(ROW_GROUP)}), n_docs, n_terms)
 
 
 def queries_of(items: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -26,19 +26,19 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/tessella/{name}-{uuid.uuid4().hex}"
 
 
-def stash(df: DataFrame, name: str) -> DataFrame:
+def stash(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it back.
 
     Later stages then depend on shared files only, so a lost executor costs no more than its own tasks,
     and joins see plain scans, which adaptive execution can split when a key is hot. The shuffle files of
-    the written query are dropped when it ends.
+    the written query are dropped when it ends. ``options`` are those of the writer.
     """
     spark = df.sparkSession
     path = new_folder(spark, name)
     before = spark.conf.get(CLEANUP, None)
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").options(**options).parquet(path)
     finally:
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
