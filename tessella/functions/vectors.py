@@ -23,8 +23,8 @@ def mean(a: Column) -> Column:
 
 
 def centred(a: Column) -> Column:
-    m = mean(a)
-    return F.transform(a, lambda x: x - m)
+    """A vector less its mean, which is taken once."""
+    return F.transform(F.array(mean(a)), lambda m: F.transform(a, lambda x: x - m))[0]
 
 
 def variance(a: Column) -> Column:
@@ -64,55 +64,5 @@ def sam_distance(a: Column, b: Column) -> Column:
     return F.acos(F.least(F.greatest(c, F.lit(-1.0)), F.lit(1.0)))
 
 
-def window(a: Column, size: int, y: int, x: int, d: int = 1) -> Column:
-    """The square of side 2 d + 1 around (y, x) of a size x size patch in row-major order."""
-    return F.flatten(F.array(*[F.slice(a, (y + r) * size + x - d + 1, 2 * d + 1) for r in range(-d, d + 1)]))
-
-
-def lncc_distance(a: Column, b: Column, size: int, d: int = 1) -> Column:
-    """1 less the mean local correlation over 3 x 3 windows around pixels d to size - d - 2; the rest of the patch counts as 0."""
-    spots = [F.coalesce(correlation(window(a, size, y, x, d), window(b, size, y, x, d)), F.lit(0.0)) for y in range(d, size - d - 1) for x in range(d, size - d - 1)]
-    return 1 - total(F.array(*spots)) / F.lit(float(size * size))
-
-
-def ssim_distance(a: Column, b: Column, size: int, side: int = 7, span: float = 1.0) -> Column:
-    """1 less the mean structural similarity over side x side windows that lie in the patch, with sample variances."""
-    c1, c2, n, d = (0.01 * span) ** 2, (0.03 * span) ** 2, side * side, side // 2
-    spots = []
-    for y in range(d, size - d):
-        for x in range(d, size - d):
-            u, v = window(a, size, y, x, d), window(b, size, y, x, d)
-            mu, mv = mean(u), mean(v)
-            vu, vv, cov = (F.lit(n / (n - 1)) * (dot(p, q) / n - mp * mq) for p, q, mp, mq in ((u, u, mu, mu), (v, v, mv, mv), (u, v, mu, mv)))
-            spots.append((2 * mu * mv + c1) * (2 * cov + c2) / ((mu * mu + mv * mv + c1) * (vu + vv + c2)))
-    return 1 - total(F.array(*spots)) / F.lit(float(len(spots)))
-
-
-def high_pass(a: Column, size: int) -> Column:
-    """A patch less its neighbours: 8 times each inner pixel minus the eight around it."""
-    return F.array(*[9 * F.element_at(a, y * size + x + 1) - total(window(a, size, y, x)) for y in range(1, size - 1) for x in range(1, size - 1)])
-
-
-def scc_distance(a: Column, b: Column, size: int) -> Column:
-    """1 less the correlation of the high-pass filtered patches, which is 0 if either is constant."""
-    return cc_distance(high_pass(a, size), high_pass(b, size))
-
-
-def halved(a: Column, size: int) -> Column:
-    """A patch of half the side, of means of 2 x 2 pixels."""
-    at = lambda y, x: F.element_at(a, y * size + x + 1)
-    return F.array(*[(at(y, x) + at(y, x + 1) + at(y + 1, x) + at(y + 1, x + 1)) / 4 for y in range(0, size - 1, 2) for x in range(0, size - 1, 2)])
-
-
-def ms_ssim_distance(a: Column, b: Column, size: int, scales: int = 2) -> Column:
-    """1 less the product of the structural similarities over halved scales, in equal powers."""
-    out = F.lit(1.0)
-    for _ in range(scales):
-        s = 1 - ssim_distance(a, b, size, min(7, size - 1 + size % 2))
-        out = out * F.pow(F.greatest(s, F.lit(0.0)), F.lit(1 / scales))
-        a, b, size = halved(a, size), halved(b, size), size // 2
-    return 1 - out
-
-
 def affinity(distance: Column, beta: float) -> Column:
     return F.exp(-F.lit(float(beta)) * distance)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessella.functions import vectors as V
 from tessella.operators import affinity as A
 from tessella.operators import joins as J
+from tessella.operators import local_statistics as L
 from tessella.operators import spectral as S
 from tessella.plans.registry import query, rounded
 from tessella.sources import store
@@ -123,14 +124,35 @@ def g4_cc_affinity(spark, sf_dir):
     return upper(spark, sf_dir, V.cc_distance, 1.0)
 
 
-@query()
+#: Whole grey levels.
+LEVELS = ", levels AS (SELECT image_id, p, list_transform(k, lambda v: floor(v * 255 + 0.5)) AS k FROM grey)"
+
+
+def windows_sql(name: str, table: str, size: int, side: int, first: int, last: int) -> str:
+    """Windows whose upper left corners lie in rows and columns ``first`` to ``last`` - 1, and pairs of them."""
+    rows = ", ".join(f"k[(y + {r}) * {size} + x + 1:(y + {r}) * {size} + x + {side}]" for r in range(side))
+    n = side * side
+    return f""", {name}w AS (SELECT image_id, p, y, x, w, list_sum(w) AS s, {n} * list_dot_product(w, w) - list_sum(w) * list_sum(w) AS v FROM (SELECT image_id, p, y, x, flatten([{rows}]) AS w FROM {table}, range({first}, {last}) a(y), range({first}, {last}) b(x))),
+{name} AS (SELECT a.image_id, a.p AS i, b.p AS j, a.s AS sa, b.s AS sb, a.v AS va, b.v AS vb, {n} * list_dot_product(a.w, b.w) - a.s * b.s AS c FROM {name}w a JOIN {name}w b USING (image_id, y, x))"""
+
+
+def ssim_sql(name: str, windows: str, side: int) -> str:
+    n, c1, c2 = side * side, (L.LUMINANCE * 255) ** 2, (L.CONTRAST * 255) ** 2
+    return f", {name} AS (SELECT image_id, i, j, avg((2 * (sa / {n}) * (sb / {n}) + {c1}::DOUBLE) * (2 * c / {n * (n - 1)} + {c2}::DOUBLE) / (((sa / {n}) * (sa / {n}) + (sb / {n}) * (sb / {n}) + {c1}::DOUBLE) * ((va + vb) / {n * (n - 1)} + {c2}::DOUBLE))) AS s FROM {windows} GROUP BY ALL)"
+
+
+def measured_levels(spark, sf_dir, distance: L.Distance) -> DataFrame:
+    return L.pairwise(levels(spark, sf_dir, 1), distance)
+
+
+@query(GREY + LEVELS + windows_sql("c", "levels", T.PATCH, 3, 0, T.PATCH - 3) + f"SELECT image_id, i, j, round(1 - sum(CASE WHEN va > 0 AND vb > 0 THEN c / sqrt(va * vb) ELSE 0 END) / {T.PATCH**2}, 6) AS w FROM c GROUP BY ALL")
 def g5_lncc_distance(spark, sf_dir):
-    return rounded(A.measured(grey(spark, sf_dir), lambda a, b: V.lncc_distance(a, b, T.PATCH)))
+    return rounded(measured_levels(spark, sf_dir, L.lncc))
 
 
-@query()
+@query(GREY + LEVELS + windows_sql("c", "levels", T.PATCH, 7, 0, T.PATCH - 6) + ssim_sql("m", "c", 7) + "SELECT image_id, i, j, round(1 - s, 6) AS w FROM m")
 def g6_ssim_distance(spark, sf_dir):
-    return rounded(A.measured(grey(spark, sf_dir), lambda a, b: V.ssim_distance(a, b, T.PATCH)))
+    return rounded(measured_levels(spark, sf_dir, lambda a, b: L.ssim(a, b, 255.0)))
 
 
 @query(GP + "SELECT image_id, i, j, round(acos(least(greatest(list_dot_product(a, b) / (sqrt(list_dot_product(a, a)) * sqrt(list_dot_product(b, b))), -1), 1)), 4) AS w FROM q WHERE i <> j")
@@ -219,11 +241,17 @@ def g17_laplacian(spark, sf_dir):
     return rounded(A.laplacian(fused(spark, sf_dir)))
 
 
-@query()
+HALF = ", half AS (SELECT image_id, p, list_transform(range(16), lambda o: (k[o // 4 * 16 + o % 4 * 2 + 1] + k[o // 4 * 16 + o % 4 * 2 + 2] + k[o // 4 * 16 + o % 4 * 2 + 9] + k[o // 4 * 16 + o % 4 * 2 + 10]) / 4) AS k FROM levels)"
+SHARP = ", sharp AS (SELECT image_id, p, list_transform(range(36), lambda o: 9 * k[(o // 6 + 1) * 8 + o % 6 + 2] - list_sum(flatten([k[(o // 6 + r) * 8 + o % 6 + 1:(o // 6 + r) * 8 + o % 6 + 3] for r in [0, 1, 2]]))) AS k FROM levels)"
+
+
+@query(
+    GREY + LEVELS + HALF + SHARP + windows_sql("one", "levels", 8, 7, 0, 2) + windows_sql("two", "half", 4, 3, 0, 2) + ssim_sql("m1", "one", 7) + ssim_sql("m2", "two", 3) + windows_sql("whole", "sharp", 6, 6, 0, 1)
+    + "SELECT w.image_id, w.i, w.j, round(1 - CASE WHEN va > 0 AND vb > 0 THEN c / sqrt(va * vb) ELSE 0 END, 6) AS scc, round(1 - sqrt(greatest(m1.s, 0)) * sqrt(greatest(m2.s, 0)), 6) AS ms_ssim FROM whole w JOIN m1 USING (image_id, i, j) JOIN m2 USING (image_id, i, j)"
+)
 def g18_scc_and_ms_ssim(spark, sf_dir):
-    all_grey = grey(spark, sf_dir)
-    scc = A.measured(all_grey, lambda a, b: V.scc_distance(a, b, T.PATCH)).withColumnRenamed("w", "scc")
-    return rounded(scc.join(A.measured(all_grey, lambda a, b: V.ms_ssim_distance(a, b, T.PATCH)).withColumnRenamed("w", "ms_ssim"), ["image_id", "i", "j"]))
+    scc = measured_levels(spark, sf_dir, L.scc).withColumnRenamed("w", "scc")
+    return rounded(scc.join(measured_levels(spark, sf_dir, lambda a, b: L.ms_ssim(a, b, 255.0)).withColumnRenamed("w", "ms_ssim"), ["image_id", "i", "j"]))
 
 
 def eigen(spark, sf_dir, kind="laplacian_normalised") -> DataFrame:

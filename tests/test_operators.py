@@ -286,17 +286,6 @@ def test_clusters_and_refinement(spark):
     assert C.graph_segments(halves, 0.1, 2).select("label").distinct().count() == 2
 
 
-@pytest.mark.parametrize("name", ["g5_lncc_distance", "g6_ssim_distance", "g18_scc_and_ms_ssim"])
-def test_costly_measures_reach_all_pairs(spark, name):
-    from tessella.plans.catalog import QUERIES
-
-    sf = "/root/testdata/sf0.01"
-    pairs = QUERIES["j5_all_pairs"](spark, sf)
-    both = pairs.union(pairs.select("image_id", "j", "i")).distinct()
-    out = QUERIES[name](spark, sf).select("image_id", "i", "j")
-    assert out.count() == both.count() and both.exceptAll(out).count() == 0
-
-
 def test_sweep_reads_all_images(spark, monkeypatch):
     from tessella.plans import pipeline, pipelines
     from tessella.sources import tables
