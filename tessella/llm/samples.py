@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 
 def held_out(doc_id: Column, modulus: int, held: int) -> Column:
@@ -21,8 +20,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, modulus:
     """id, label, text (and the column ``also``) of up to ``per_class`` documents of each label, 0 and 1.
 
     Documents are those whose labels are not held out, taken in order of a hash of the id, so that a sample
-    is the same on every run; nothing else of it depends on the table's size. Texts that would take the bytes of a
-    label's texts, in that order, beyond ``class_bytes`` are left out. Null labels and ids are left out; of several
+    is the same on every run; nothing else of it depends on the table's size. A text that would take the bytes of
+    what a label has so far, in that order, beyond ``class_bytes`` is skipped, and those after it are looked at all the same. Null labels and ids are left out; of several
     labels of an id the largest counts, of several texts the smallest.
     """
     marks = marked(labels, label_col, modulus, held)
@@ -35,5 +34,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, modulus:
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *rest)
     first = F.min(F.struct("text", *[also] * bool(also))).alias("r")
     rows = rows.join(F.broadcast(chosen), "id").groupBy("id", "label").agg(first).select("id", "label", "r.*")  # at most 2 * per_class ids
-    size = F.sum(F.octet_length("text").cast("long")).over(W.partitionBy("label").orderBy(order, "id").rowsBetween(W.unboundedPreceding, 0))
-    return rows.withColumn("bytes", size).where(F.col("bytes") <= class_bytes).drop("bytes")
+    rows = rows.withColumns({"place": order, "bytes": F.octet_length("text").cast("long")})
+    line = F.sort_array(F.collect_list(F.struct("place", "id", "bytes")))  # at most per_class rows
+    none = F.struct(F.lit(0).cast("long").alias("total"), F.array().cast("array<long>").alias("ids"))
+    take = lambda s, r: F.when(s["total"] + r["bytes"] <= class_bytes, F.struct((s["total"] + r["bytes"]).alias("total"), F.array_append(s["ids"], r["id"]).alias("ids"))).otherwise(s)
+    kept = rows.groupBy("label").agg(line.alias("line")).select(F.explode(F.aggregate("line", none, take)["ids"]).alias("id"))
+    return rows.join(F.broadcast(kept), "id", "left_semi").drop("place", "bytes")

@@ -618,6 +618,17 @@ def test_samples_are_bounded_by_bytes(spark):
         assert 0 < sum(len(r.text) for r in rows if r.label == label) <= 1000
 
 
+@pytest.mark.parametrize("place", ["first", "third", "last"])
+def test_a_long_text_is_skipped_wherever_it_comes(spark, place):
+    ids = [r.doc_id for r in spark.range(60).withColumnRenamed("id", "doc_id").where(~samples.held_out(F.col("doc_id"), 4, 2)).orderBy(F.xxhash64("doc_id", F.lit(7))).collect()]
+    long = {"first": ids[0], "third": ids[2], "last": ids[-1]}[place]
+    row = lambda i: (i, "y" * 5000 if i == long else f"w{i} " * 20)
+    marks = spark.createDataFrame([(i, 1) for i in ids], "doc_id long, quality int")
+    take = lambda rows: {r.id for r in samples.labelled_sample(spark.createDataFrame(rows, "doc_id long, text string"), marks, "quality", 4, 2, 1000, 1000).collect()}
+    kept = take([row(i) for i in ids])
+    assert len(kept) >= 10 and kept == take([row(i) for i in ids if i != long])
+
+
 def test_very_long_texts_take_little_memory():
     """A text of 12 MB gives what its parts give together, in numpy memory of a few bytes a byte of text."""
     import tracemalloc
