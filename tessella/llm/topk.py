@@ -25,21 +25,30 @@ SHARD, TILE, GRID, FAN_IN = 8192, 1024, 8, 64
 MATRIX_BYTES = 1 << 23
 #: Scores end here; what lies beyond counts as this much.
 HIGHEST = (1 << 63) - 1
+#: The score of no candidate.
+NONE = -(1 << 63)
 
 
-def best(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> Iterator[tuple[int, list[tuple]]]:
-    """For each query (a row of scores) its k highest (score, id), ties to the smaller id, without its own id."""
-    for q in range(len(scores)):
-        row = scores[q]
-        fine = ids != own[q]
-        row, left = row[fine], ids[fine]
-        if len(row) > k:
-            least = row[np.argpartition(row, len(row) - k)[len(row) - k]] if row.dtype != object else sorted(row)[-k]
-            at = np.flatnonzero(row >= least)
-            row, left = row[at], left[at]
-        order = sorted(range(len(row)), key=lambda i: (-row[i], left[i]))[:k]
-        if order:
-            yield q, [(int(row[i]), int(left[i])) for i in order]
+def best(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Scores and ids of the k highest (score, id) of each row of scores, ties to the smaller id, without the row's own id; rows
+    with fewer end in scores of ``NONE``."""
+    scores = np.where(ids == own[:, None], NONE, scores)
+    top, names = np.full((len(scores), k), NONE), np.zeros((len(scores), k), np.int64)
+    least = max(scores.shape[1] - k, 0)
+    row, at = np.nonzero(scores >= np.partition(scores, least, axis=1)[:, least, None])
+    order = np.lexsort((ids[at], ~scores[row, at], row))
+    row, at = row[order], at[order]
+    rank = np.arange(len(row)) - np.searchsorted(row, row)
+    row, at, rank = row[rank < k], at[rank < k], rank[rank < k]
+    top[row, rank], names[row, rank] = scores[row, at], ids[at]
+    return top, names
+
+
+def merged(one: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k best of two lists for each row."""
+    scores, ids = (np.concatenate(x, axis=1) for x in zip(one, other, strict=True))
+    order = np.lexsort((ids, ~scores), axis=1)[:, :k]
+    return np.take_along_axis(scores, order, 1), np.take_along_axis(ids, order, 1)
 
 
 def packed(rows: DataFrame, size: int, name: str) -> DataFrame:
@@ -93,10 +102,10 @@ def top_k(table: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0,
             yield np.frombuffer(ids, "<i8"), np.frombuffer(vectors, "<f8").reshape(-1, width)
 
     def multiply(key: tuple, candidates: pa.Table, queries: pa.Table) -> pa.Table:
-        tops: dict[int, list[tuple[int, int]]] = {}
         asking = list(matrices(queries))
+        tops = [(np.full((len(own), k), NONE), np.zeros((len(own), k), np.int64)) for own, _ in asking]
         for ids, a in matrices(candidates):
-            for own, q in asking:
+            for (own, q), (top, names) in zip(asking, tops, strict=True):
                 b = a
                 if float(np.abs(a).max()) * float(np.abs(q).max()) * width >= 2.0**53:
                     whole = np.frompyfunc(int, 1, 1)
@@ -105,9 +114,14 @@ def top_k(table: DataFrame, is_query: Column, k: int = 5, scale: float = 256.0,
                     scores = q[i : i + 128] @ b.T
                     if scores.dtype == object:
                         scores = np.minimum(np.maximum(scores, -HIGHEST), HIGHEST)
-                    for n, top in best(scores, ids, own[i : i + 128], k):
-                        tops[int(own[i + n])] = sorted(tops.get(int(own[i + n]), []) + [(-s, c) for s, c in top])[:k]
-        return pa.Table.from_pylist([{"query_id": x, "group": key[0].as_py(), "best": [{"score": s, "id": c} for s, c in top]} for x, top in tops.items()], schema=schema)
+                    some = slice(i, i + 128)
+                    top[some], names[some] = merged((top[some], names[some]), best(scores.astype(np.int64), ids, own[some], k), k)
+        top, names = (np.concatenate([np.zeros((0, k), np.int64), *[t[c] for t in tops]]) for c in (0, 1))
+        found = top > NONE
+        own = np.concatenate([np.zeros(0, np.int64), *[x for x, _ in asking]])[found.any(1)]
+        offsets = np.r_[0, np.cumsum(found.sum(1)[found.any(1)])]
+        hits = pa.StructArray.from_arrays([pa.array(-top[found]), pa.array(names[found])], ["score", "id"])
+        return pa.table([pa.array(own), pa.array(np.full(len(own), key[0].as_py()), pa.int32()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), hits)], schema=schema)
 
     pairs = left.groupBy("shard", "tile").cogroup(right.groupBy("shard", "tile"))
     lists = pairs.applyInArrow(multiply, "query_id long, group int, best array<struct<score: long, id: long>>")
