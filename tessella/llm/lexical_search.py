@@ -19,13 +19,14 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from contextlib import contextmanager
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
@@ -37,8 +38,8 @@ from tessella.llm.textbytes import chunks
 SAMPLE, SAMPLE_BYTES, LEAF = 4096, 4096, 64
 #: Documents and bytes of text of a group (about), documents of a cluster, rounds of swaps at a level.
 GROUP, GROUP_BYTES, CLUSTER, ROUNDS = 2048, 1 << 22, 256, 5
-#: Bytes of clusters that a task holds while it writes or reads them, about: their rows are large.
-ROW_GROUP = 1 << 23
+#: Bytes (about) and number of clusters that a task holds while it writes or reads them.
+ROW_GROUP, ROWS, BATCH = 1 << 23, 32, "spark.sql.execution.arrow.maxRecordsPerBatch"
 #: Queries, and terms of queries, that are searched together (about).
 BLOCK, BLOCK_TERMS = 256, 1 << 16
 #: Clusters are visited from this share of a query's highest bound on, round by round.
@@ -247,6 +248,17 @@ def queries_of(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(run, "item long, terms array<string>").groupBy("item").agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("terms"))
 
 
+@contextmanager
+def few_rows(spark: SparkSession, n: int = ROWS):
+    """Arrow batches of n rows while the index is scanned: a cluster is a large row."""
+    before = spark.conf.get(BATCH)
+    spark.conf.set(BATCH, n)
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH, before)
+
+
 def lists(column: pa.Array) -> Iterator[pa.Array]:
     """The values of each list of a column."""
     for i in range(len(column)):
@@ -388,7 +400,8 @@ def search(index: Index, items: DataFrame, k: int = 50, id_col: str = "item_id",
     for b in range(blocks):
         block = asked.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == b).collect()
         if block:
-            found, _ = searched(index, block, k)
+            with few_rows(asked.sparkSession):
+                found, _ = searched(index, block, k)
             out = found if out is None else out.unionByName(found)
     discard(asked)
     return out
