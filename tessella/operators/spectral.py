@@ -1,7 +1,7 @@
 """Spectral segmentation: eigenvectors of image graphs, clusters of patches, refinement.
 
-Linear algebra of one image runs in one grouped pandas function: a dense matrix of n patches, so n stays
-bounded by image size (about 5000 for common ones), and images spread over tasks.
+Matrices of images of up to ``DENSE`` patches are decomposed in grouped pandas functions, one image a group; those of
+larger images, and kernels over the segments of all images, by block Lanczos over tables (``eigen``).
 """
 
 from __future__ import annotations
@@ -15,14 +15,55 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from tessella.operators import eigen as E
+from tessella.sources.store import settled
+
+#: Patches of an image up to which its matrix is decomposed in one task (32 MB).
+DENSE = 2048
+
 KINDS = ("laplacian", "laplacian_normalised", "affinity", "affinity_svd")
 
 
-def eigenvectors(edges: DataFrame, n_vectors: int, kind: str = "laplacian_normalised") -> DataFrame:
+def eigenvectors(edges: DataFrame, n_vectors: int, kind: str = "laplacian_normalised", dense: int = DENSE) -> DataFrame:
     """image_id, k, eigenvalue, vec (in order of patch): smallest of (D - W) v = lambda D v or of D - W; for "affinity" the largest
-    of W, for "affinity_svd" its left singular vectors."""
+    of W, for "affinity_svd" its left singular vectors. Images of more than ``dense`` patches go through tables."""
     if kind not in KINDS:
         raise ValueError(f"unknown matrix {kind!r}")
+    edges = settled(edges.select("image_id", "i", "j", F.col("w").cast("double").alias("w")), "edges")
+    large = settled(edges.groupBy("image_id").agg((F.greatest(F.max("i"), F.max("j")) + 1).alias("n")).where(F.col("n") > dense), "large")
+    if large.limit(1).count():
+        within, beyond = edges.join(large, "image_id", "left_anti"), edges.join(large, "image_id", "left_semi")
+        return dense_eigenvectors(within, n_vectors, kind).unionByName(large_eigenvectors(beyond, large, n_vectors, kind))
+    return dense_eigenvectors(edges, n_vectors, kind)
+
+
+def large_eigenvectors(edges: DataFrame, sizes: DataFrame, n_vectors: int, kind: str) -> DataFrame:
+    """As ``eigenvectors``, without a matrix in any task: see ``eigen``."""
+    graph = edges.withColumnRenamed("image_id", "g")
+    if kind == "laplacian_normalised":
+        values, vectors = E.normalised_laplacian(graph, n_vectors)
+    else:
+        # all matrices over the largest degree, so that their norms are about 1
+        degree = graph.groupBy("g", "i").agg(F.sum("w").alias("d"), F.sum(F.abs("w")).alias("a"))
+        top = settled(degree.groupBy("g").agg(F.max("a").alias("top")), "degrees")
+        parts = graph.select("g", "i", "j", "w")
+        if kind == "laplacian":  # 2 top - (D - W)
+            own = degree.join(top, "g").select("g", "i", F.col("i").alias("j"), (2 * F.col("top") - F.when(F.col("d") < 1e-12, 1.0).otherwise(F.col("d"))).alias("w"))
+            parts = parts.unionByName(own)
+        scaled = settled(parts.join(top, "g").select("g", "i", "j", (F.col("w") / F.col("top")).alias("w")), "scaled")
+        once = lambda b: E.edge_product(scaled, b)
+        twice = lambda b: lambda v: once(b)(once(b)(v).withColumnRenamed("u", "v"))
+        values, vectors = E.largest(degree.select("g", "i"), twice if kind == "affinity_svd" else once, n_vectors)
+        back = {"laplacian": lambda x, t: 2 * t - x * t, "affinity": lambda x, t: x * t, "affinity_svd": lambda x, t: F.sqrt(F.greatest(x, F.lit(0.0))) * t}[kind]
+        values = values.join(top, "g").select("g", F.transform("values", lambda x: back(x, F.col("top"))).alias("values"))
+    entries = vectors.select("g", "i", F.posexplode("v").alias("k", "x"))
+    listed = entries.groupBy("g", "k").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("c")).select("g", "k", F.col("c.x").alias("vec"))
+    rows = values.select("g", F.posexplode("values").alias("k", "eigenvalue")).join(listed, ["g", "k"])
+    return rows.join(sizes.select(F.col("image_id").alias("g"), "n"), "g").where("k < n").select(F.col("g").alias("image_id"), "k", "eigenvalue", "vec")
+
+
+def dense_eigenvectors(edges: DataFrame, n_vectors: int, kind: str) -> DataFrame:
+    """As ``eigenvectors``, from a matrix for each image in one task."""
 
     def solve(rows: pd.DataFrame) -> pd.DataFrame:
         n = int(max(rows["i"].max(), rows["j"].max())) + 1
@@ -44,7 +85,7 @@ def eigenvectors(edges: DataFrame, n_vectors: int, kind: str = "laplacian_normal
         return pd.DataFrame({"image_id": rows["image_id"].iloc[0], "k": np.arange(k, dtype=np.int32), "eigenvalue": values[:k], "vec": list(vectors.T[:k])})
 
     kind_of = dict(edges.dtypes)["image_id"]
-    return edges.select("image_id", "i", "j", F.col("w").cast("double").alias("w")).groupBy("image_id").applyInPandas(solve, f"image_id {kind_of}, k int, eigenvalue double, vec array<double>")
+    return edges.groupBy("image_id").applyInPandas(solve, f"image_id {kind_of}, k int, eigenvalue double, vec array<double>")
 
 
 def signed(vec: Column) -> Column:
