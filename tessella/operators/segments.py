@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
@@ -21,36 +23,115 @@ def boxes(labels: DataFrame, height: int, width: int, patch: int = 1, erosions:
     return mask.groupBy(*keys).agg(*[(f(c) * patch if f is F.min else (f(c) + 1) * patch).alias(f"{c}{n}") for n, f in (("min", F.min), ("max", F.max)) for c in ("x", "y")]).select(*keys, "xmin", "ymin", "xmax", "ymax")
 
 
-def components(mask: DataFrame) -> DataFrame:
-    """image_id, y, x, component: connected parts (diagonals count) of a mask, named by their first pixel.
+#: Rows of an image that a task labels together.
+STRIP = 128
+
+
+def rooted(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest of n items that pairs (a, b) lead to from each."""
+    root = np.arange(n)
+    while len(a):
+        low = np.minimum(root[a], root[b])
+        for at in (a, b):
+            np.minimum.at(root, root[at], low)
+        while (root[root] != root).any():
+            root = root[root]
+        apart = root[a] != root[b]
+        a, b = a[apart], b[apart]
+    return root
+
+
+def touching(row: np.ndarray, first: np.ndarray, last: np.ndarray, label: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of runs (sorted by row and first column) of one label in neighbouring rows whose columns meet, or are up to
+    ``reach`` apart."""
+    width = int(last.max(initial=0)) + 3
+    begin, end = row * width + first + 1, row * width + last + 1
+    lo, hi = np.searchsorted(end, begin + width - reach), np.searchsorted(begin, end + width + reach, "right")
+    n = np.maximum(hi - lo, 0)
+    a = np.repeat(np.arange(len(row)), n)
+    b = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    same = label[a] == label[b]
+    return a[same], b[same]
+
 
-    Each round takes the least name in the 3 x 3 neighbourhood, then the name of the pixel that the name is of, which
-    shortens long parts, until nothing changes. Lineage is cut in every round by a written table; that of the round
-    before is deleted.
+def linked(edges: DataFrame) -> DataFrame:
+    """image_id, part, component: the smallest part that edges (image_id, a, b) lead to.
+
+    In a round each part joins the one of least hash among itself and its neighbours, whose choice is followed three times;
+    then edges within what has joined go and the rest are between fewer parts, a third on a long path. Hashes are new
+    in every round. Lineage ends with each round's tables.
+    """
+    left = settled(edges.select("image_id", "a", "b"), "links")
+    names = settled(left.select("image_id", F.explode(F.array("a", "b")).alias("part")).distinct().withColumn("component", F.col("part")), "parts")
+    number = 0
+    while left.limit(1).count():
+        number += 1
+        both = left.select("image_id", F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("image_id", "e.a", "e.b")
+        place = lambda c: F.struct(F.xxhash64("image_id", c, F.lit(number)), c)  # noqa: B023, E731
+        best = both.groupBy("image_id", "a").agg(F.min_by("b", place("b")).alias("b"))
+        to = settled(best.select("image_id", "a", F.when(place("b") < place("a"), F.col("b")).otherwise(F.col("a")).alias("to")), "joined")
+        for _ in range(3):
+            before = to
+            to = settled(to.join(before.select("image_id", F.col("a").alias("to"), F.col("to").alias("further")), ["image_id", "to"]).select("image_id", "a", F.col("further").alias("to")), "joined")
+            dropped(before)
+        used = left, names, to
+        ends = left.join(to, ["image_id", "a"]).select("image_id", F.col("to").alias("c"), F.col("b").alias("a")).join(to, ["image_id", "a"])
+        left = settled(ends.select("image_id", F.col("c").alias("a"), F.col("to").alias("b")).where("a <> b").distinct(), "links")
+        names = settled(names.join(to.select("image_id", F.col("a").alias("component"), "to"), ["image_id", "component"], "left").select("image_id", "part", F.coalesce("to", "component").alias("component")), "parts")
+        dropped(*used)
+    least = names.groupBy("image_id", "component").agg(F.min("part").alias("least"))
+    return names.join(least, ["image_id", "component"]).select("image_id", "part", F.col("least").alias("component"))
+
+
+def runs(mask: DataFrame, diagonals: bool = True, strip: int = STRIP) -> DataFrame:
+    """image_id, label, y, x, last, component (y, x): the runs of pixels (from column x to ``last``) of a map (image_id, y, x, label) with
+    the first pixel of their connected part of one label; diagonals count unless told otherwise.
+
+    Strips of rows are labelled where they are, each with the first row of the next one; what two strips call the runs
+    of that row links their parts, so that only parts that cross strips are ever joined.
     """
-    name = F.struct("y", "x")
-    rows = mask.select("image_id", "y", "x", name.alias("component"))
-    around = F.array(*[F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
-    sent = lambda r: r.withColumn("o", F.explode(around)).select("image_id", (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"), F.col("component").alias("near"))
-    last = None
-    while True:
-        near = sent(rows).groupBy("image_id", "y", "x").agg(F.min("near").alias("near"))
-        new = rows.join(near, ["image_id", "y", "x"]).select("image_id", "y", "x", F.col("component").alias("old"), F.least("component", "near").alias("component"))
-        names = new.select("image_id", F.struct("y", "x").alias("component"), F.col("component").alias("beyond"))
-        new = new.join(names, ["image_id", "component"], "left").select("image_id", "y", "x", "old", F.least("component", F.coalesce("beyond", "component")).alias("component"))
-        new = settled(new, "components")
-        if last is not None:
-            dropped(last)
-        rows, last = new.select("image_id", "y", "x", "component"), new
-        if not new.where("old <> component").limit(1).count():
-            return rows
+    kind = dict(mask.dtypes)["image_id"]
+    own = F.floor(F.col("y") / strip).cast("int")
+    strips = F.when((F.col("y") % strip == 0) & (F.col("y") > 0), F.array(own - 1, own)).otherwise(F.array(own))
+    rows = mask.select("image_id", F.explode(strips).alias("strip"), F.col("y").cast("long").alias("y"), F.col("x").cast("long").alias("x"), F.col("label").cast("long").alias("label"))
+
+    def run(key: tuple, table: pa.Table) -> pa.Table:
+        y, x, label = (np.asarray(table[c]) for c in ("y", "x", "label"))
+        order = np.lexsort((x, y))
+        y, x, label = y[order], x[order], label[order]
+        new = np.r_[True, (y[1:] != y[:-1]) | (x[1:] > x[:-1] + 1) | (label[1:] != label[:-1])]
+        at = np.flatnonzero(new)
+        row, first, name = y[at], x[at], label[at]
+        last = x[np.r_[at[1:], len(x)] - 1]
+        root = rooted(len(at), *touching(row, first, last, name, int(diagonals)))
+        out = [name, row, first, last, row[root], first[root]]
+        return pa.table({"image_id": pa.array([key[0].as_py()] * len(at), table.schema.field("image_id").type), "strip": pa.array(np.full(len(at), key[1].as_py()), pa.int32()), **{c: pa.array(v.astype(np.int32)) for c, v in zip(("label", "y", "x", "last", "py", "px"), out, strict=True)}})
+
+    found = rows.groupBy("image_id", "strip").applyInArrow(run, f"image_id {kind}, strip int, label int, y int, x int, last int, py int, px int")
+    found = settled(found.select("image_id", "strip", "label", "y", "x", "last", F.struct(F.col("py").alias("y"), F.col("px").alias("x")).alias("part")), "runs")
+    below = found.where(F.col("strip") == own).select("image_id", "y", "x", F.col("part").alias("a"))
+    above = found.where(F.col("strip") < own).select("image_id", "y", "x", F.col("part").alias("b"))
+    names = linked(below.join(above, ["image_id", "y", "x"]).where("a <> b").select("image_id", "a", "b").distinct())
+    mine = found.where(F.col("strip") == own).join(names, ["image_id", "part"], "left")
+    return mine.select("image_id", "label", "y", "x", "last", F.coalesce("component", "part").alias("component"))
+
+
+def filled(rows: DataFrame, *columns: str) -> DataFrame:
+    """image_id, y, x and ``columns`` of each pixel of runs."""
+    return rows.select("image_id", "y", F.explode(F.sequence("x", "last")).alias("x"), *columns)
+
+
+def components(mask: DataFrame) -> DataFrame:
+    """image_id, y, x, component: connected parts (diagonals count) of a mask, named by their first pixel."""
+    return filled(runs(mask.withColumn("label", F.lit(1))), "component")
 
 
 def largest_component(mask: DataFrame) -> DataFrame:
     """image_id, y, x of each mask's largest connected part, the first of equals."""
-    parts = components(mask)
-    best = parts.groupBy("image_id", "component").agg(F.count("*").alias("n")).groupBy("image_id").agg(F.min_by("component", F.struct(-F.col("n"), F.col("component"))).alias("component"))
-    return parts.join(best, ["image_id", "component"], "left_semi").select("image_id", "y", "x")
+    parts = runs(mask.withColumn("label", F.lit(1)))
+    size = F.sum(F.col("last") - F.col("x") + 1)
+    best = parts.groupBy("image_id", "component").agg(size.alias("n")).groupBy("image_id").agg(F.min_by("component", F.struct(-F.col("n"), F.col("component"))).alias("component"))
+    return filled(parts.join(best, ["image_id", "component"], "left_semi"))
 
 
 def census(clusters: DataFrame) -> DataFrame:

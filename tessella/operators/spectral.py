@@ -193,32 +193,6 @@ def density_clusters(features: DataFrame, min_samples: int, xi: float = 0.05, ke
     return features.select(key, "p", "k").groupBy(key).applyInPandas(solve, f"{key} {dict(features.dtypes)[key]}, p int, cluster int")
 
 
-def refine(labels: DataFrame, pixels: DataFrame, n_labels: int, w1: float = 6.0, alpha: float = 40.0, beta: float = 13.0, w2: float = 3.0, gamma: float = 3.0, iterations: int = 5, certain: float = 0.7) -> DataFrame:
-    """Label map sharpened by mean-field inference in a dense conditional random field, image by image: labels
-    agree between pixels that are near and alike (w1, alpha, beta) or near (w2, gamma). Exact pair sums, so
-    for maps of a few thousand pixels."""
-
-    def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["y", "x"])
-        at, val = rows[["y", "x"]].to_numpy(float), rows["val"].to_numpy(float)
-        space = ((at[:, None] - at[None]) ** 2).sum(2)
-        k = w1 * np.exp(-space / (2 * alpha**2) - (val[:, None] - val[None]) ** 2 / (2 * beta**2)) + w2 * np.exp(-space / (2 * gamma**2))
-        np.fill_diagonal(k, 0)
-        k /= np.sqrt(np.outer(k.sum(1), k.sum(1))) + 1e-20
-        unary = np.full((len(rows), n_labels), -np.log((1 - certain) / max(n_labels - 1, 1)))
-        unary[np.arange(len(rows)), rows["label"]] = -np.log(certain)
-        q = np.exp(-unary)
-        q /= q.sum(1, keepdims=True)
-        for _ in range(iterations):
-            e = -unary + (w1 + w2) * (k @ q)
-            q = np.exp(e - e.max(1, keepdims=True))
-            q /= q.sum(1, keepdims=True)
-        return pd.DataFrame({"image_id": rows["image_id"], "y": rows["y"], "x": rows["x"], "label": q.argmax(1).astype(np.int32)})
-
-    both = labels.join(pixels, ["image_id", "y", "x"])
-    return both.groupBy("image_id").applyInPandas(solve, f"image_id {dict(labels.dtypes)['image_id']}, y int, x int, label int")
-
-
 def superpixels(pixels: DataFrame, n_segments: int = 15, compactness: float = 0.1, iterations: int = 10) -> DataFrame:
     """Label map of SLIC superpixels: k-means of value and scaled position from a regular grid of centres."""
 

@@ -11,6 +11,7 @@ from tessella.operators import eigen as E
 from tessella.operators import joins as J
 from tessella.operators import local_statistics as L
 from tessella.operators import patches as K
+from tessella.operators import randomfield as R
 from tessella.operators import spectral as S
 from tessella.plans.registry import query, rounded
 from tessella.sources import store
@@ -345,7 +346,7 @@ def c13_single_region(spark, sf_dir):
 def c14_crf(spark, sf_dir):
     p = patches(spark, sf_dir)
     val = p.select("image_id", F.col("py").alias("y"), F.col("px").alias("x"), (F.element_at("k", 1) * 255).alias("val"))
-    return S.refine(T.truth(p), val, 10)
+    return R.refined(T.truth(p), val, 10)
 
 
 @query()

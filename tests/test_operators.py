@@ -16,6 +16,7 @@ from tessella.operators import labelmaps as L
 from tessella.operators import matching as M
 from tessella.operators import metrics as E
 from tessella.operators import pixels as P
+from tessella.operators import randomfield
 from tessella.operators import sampling as Z
 from tessella.operators import segments as S
 from tessella.operators import spectral as C
@@ -281,7 +282,7 @@ def test_clusters_and_refinement(spark):
     assert got[:5] == [got[0]] * 5 and got[5:] == [got[5]] * 5 and got[0] != got[5]
     m = label_map(spark, ["0000", "0100", "0000", "0000"])
     flat = m.select("image_id", "y", "x", F.lit(5.0).alias("val"))
-    assert {r.label for r in C.refine(m, flat, 2).collect()} == {0}
+    assert {r.label for r in randomfield.refined(m, flat, 2).collect()} == {0}
     halves = m.select("image_id", "y", "x", F.when(F.col("x") < 2, 0).otherwise(255).alias("val"))
     assert C.graph_segments(halves, 0.1, 2).select("label").distinct().count() == 2
 
