@@ -193,25 +193,6 @@ def density_clusters(features: DataFrame, min_samples: int, xi: float = 0.05, ke
     return features.select(key, "p", "k").groupBy(key).applyInPandas(solve, f"{key} {dict(features.dtypes)[key]}, p int, cluster int")
 
 
-def superpixels(pixels: DataFrame, n_segments: int = 15, compactness: float = 0.1, iterations: int = 10) -> DataFrame:
-    """Label map of SLIC superpixels: k-means of value and scaled position from a regular grid of centres."""
-
-    def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["y", "x"])
-        h, w = rows["y"].max() + 1, rows["x"].max() + 1
-        step = max(np.sqrt(h * w / n_segments), 1)
-        val = rows["val"].to_numpy(float) / 255
-        x = np.column_stack([val, rows[["y", "x"]].to_numpy(float) * compactness / step])
-        ys, xs = np.arange(step / 2, h, step).astype(int), np.arange(step / 2, w, step).astype(int)
-        centres = x[(ys[:, None] * w + xs[None]).ravel()]
-        for _ in range(iterations):
-            label = ((x[:, None] - centres[None]) ** 2).sum(2).argmin(1)
-            centres = np.array([x[label == c].mean(0) if (label == c).any() else centres[c] for c in range(len(centres))])
-        return pd.DataFrame({"image_id": rows["image_id"], "y": rows["y"], "x": rows["x"], "label": label.astype(np.int32)})
-
-    return pixels.groupBy("image_id").applyInPandas(solve, f"image_id {dict(pixels.dtypes)['image_id']}, y int, x int, label int")
-
-
 def graph_segments(pixels: DataFrame, scale: float = 1.0, min_size: int = 20) -> DataFrame:
     """Label map of Felzenszwalb's graph segmentation: pixels merge along their lightest edges while an edge
     is no heavier than either part's inner difference plus scale over its size; small parts then merge."""

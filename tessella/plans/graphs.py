@@ -13,6 +13,7 @@ from tessella.operators import local_statistics as L
 from tessella.operators import patches as K
 from tessella.operators import randomfield as R
 from tessella.operators import spectral as S
+from tessella.operators.superpixels import superpixels
 from tessella.plans.registry import query, rounded
 from tessella.sources import store
 from tessella.sources import tables as T
@@ -351,7 +352,7 @@ def c14_crf(spark, sf_dir):
 
 @query()
 def c15_slic(spark, sf_dir):
-    return S.superpixels(T.pixels(patches(spark, sf_dir)))
+    return superpixels(T.pixels(patches(spark, sf_dir)))
 
 
 @query()
