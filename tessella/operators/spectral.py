@@ -191,36 +191,3 @@ def density_clusters(features: DataFrame, min_samples: int, xi: float = 0.05, ke
         return pd.DataFrame({key: rows[key], "p": rows["p"], "cluster": label.astype(np.int32)})
 
     return features.select(key, "p", "k").groupBy(key).applyInPandas(solve, f"{key} {dict(features.dtypes)[key]}, p int, cluster int")
-
-
-def graph_segments(pixels: DataFrame, scale: float = 1.0, min_size: int = 20) -> DataFrame:
-    """Label map of Felzenszwalb's graph segmentation: pixels merge along their lightest edges while an edge
-    is no heavier than either part's inner difference plus scale over its size; small parts then merge."""
-
-    def solve(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["y", "x"]).reset_index(drop=True)
-        h, w = int(rows["y"].max()) + 1, int(rows["x"].max()) + 1
-        v, ids = rows["val"].to_numpy(float).reshape(h, w) / 255, np.arange(h * w).reshape(h, w)
-        a = np.r_[ids[:, :-1].ravel(), ids[:-1].ravel()]
-        b = np.r_[ids[:, 1:].ravel(), ids[1:].ravel()]
-        cost = np.abs(v.ravel()[a] - v.ravel()[b])
-        parent, size, inner = np.arange(h * w), np.ones(h * w), np.zeros(h * w)
-
-        def root(i: int) -> int:
-            while parent[i] != i:
-                parent[i] = parent[parent[i]]
-                i = parent[i]
-            return i
-
-        order = np.argsort(cost, kind="stable")
-        for small in (False, True):
-            for e in order:
-                i, j = root(a[e]), root(b[e])
-                if i == j:
-                    continue
-                if min(size[i], size[j]) < min_size if small else cost[e] <= min(inner[i] + scale / size[i], inner[j] + scale / size[j]):
-                    parent[j], size[i], inner[i] = i, size[i] + size[j], cost[e]
-        label = np.unique([root(i) for i in range(h * w)], return_inverse=True)[1]
-        return pd.DataFrame({"image_id": rows["image_id"], "y": rows["y"], "x": rows["x"], "label": label.astype(np.int32)})
-
-    return pixels.groupBy("image_id").applyInPandas(solve, f"image_id {dict(pixels.dtypes)['image_id']}, y int, x int, label int")

@@ -13,6 +13,7 @@ from tessella.operators import local_statistics as L
 from tessella.operators import patches as K
 from tessella.operators import randomfield as R
 from tessella.operators import spectral as S
+from tessella.operators.graphsegments import graph_segments
 from tessella.operators.superpixels import superpixels
 from tessella.plans.registry import query, rounded
 from tessella.sources import store
@@ -357,4 +358,4 @@ def c15_slic(spark, sf_dir):
 
 @query()
 def c15_felzenszwalb(spark, sf_dir):
-    return S.graph_segments(T.pixels(patches(spark, sf_dir)), 1.0, 50)
+    return graph_segments(T.pixels(patches(spark, sf_dir)), 1.0, 50)

@@ -20,6 +20,7 @@ from tessella.operators import randomfield
 from tessella.operators import sampling as Z
 from tessella.operators import segments as S
 from tessella.operators import spectral as C
+from tessella.operators.graphsegments import graph_segments
 from tessella.sources import listing, store
 
 GT = ["0011", "0011", "0221", "0221"]
@@ -284,7 +285,7 @@ def test_clusters_and_refinement(spark):
     flat = m.select("image_id", "y", "x", F.lit(5.0).alias("val"))
     assert {r.label for r in randomfield.refined(m, flat, 2).collect()} == {0}
     halves = m.select("image_id", "y", "x", F.when(F.col("x") < 2, 0).otherwise(255).alias("val"))
-    assert C.graph_segments(halves, 0.1, 2).select("label").distinct().count() == 2
+    assert graph_segments(halves, 0.1, 2).select("label").distinct().count() == 2
 
 
 def test_sweep_reads_all_images(spark, monkeypatch):
