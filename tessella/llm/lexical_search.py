@@ -37,9 +37,11 @@ from tessella.llm.textbytes import chunks
 #: Texts that the top levels are fitted on (about), the longest of them in bytes, and texts of a leaf.
 SAMPLE, SAMPLE_BYTES, LEAF = 4096, 4096, 64
 #: Documents and bytes of text of a group (about), documents of a cluster, rounds of swaps at a level.
-GROUP, GROUP_BYTES, CLUSTER, ROUNDS = 2048, 1 << 22, 256, 5
+GROUP, GROUP_BYTES, CLUSTER, ROUNDS = 2048, 1 << 21, 256, 5
 #: Bytes (about) and number of clusters that a task holds while it writes or reads them.
 ROW_GROUP, ROWS, BATCH = 1 << 23, 32, "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Texts of a batch while the index is built.
+TEXTS = 512
 #: Queries, and terms of queries, that are searched together (about).
 BLOCK, BLOCK_TERMS = 256, 1 << 16
 #: Clusters are visited from this share of a query's highest bound on, round by round.
@@ -157,6 +159,11 @@ def values(tf: np.ndarray, length: np.ndarray, n_docs: int, n_terms: int) -> np.
 
 def build(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Index:
     """The index of all documents that have a term: whole texts, every row a document of its own."""
+    with few_rows(docs.sparkSession, TEXTS):
+        return built(docs, id_col, text_col)
+
+
+def built(docs: DataFrame, id_col: str, text_col: str) -> Index:
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")).alias("text"))
     spark = docs.sparkSession
     model = spark.sparkContext.broadcast(fitted(rows))
@@ -250,7 +257,7 @@ def queries_of(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 @contextmanager
 def few_rows(spark: SparkSession, n: int = ROWS):
-    """Arrow batches of n rows while the index is scanned: a cluster is a large row."""
+    """Arrow batches of n rows meanwhile: a text can be a large row, and a cluster is one."""
     before = spark.conf.get(BATCH)
     spark.conf.set(BATCH, n)
     try:
