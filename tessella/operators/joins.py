@@ -66,9 +66,9 @@ def three_way(images: DataFrame, gt: DataFrame, pred: DataFrame, keys: Sequence[
     return out.select(*keys, "image", F.coalesce("gt", "pred").alias("gt"), "pred")
 
 
-def parameter_grid(spark: SparkSession, values: Mapping[str, Sequence]) -> DataFrame:
-    """All combinations of the parameters' values, one column each: a sweep's trials. Value lists are short."""
-    out = spark.range(1).select()
+def parameter_grid(over: DataFrame, values: Mapping[str, Sequence]) -> DataFrame:
+    """Each row of ``over`` with all combinations of the parameters' values, one column each: a sweep's trials. Value lists are
+    short."""
     for name, options in values.items():
-        out = out.withColumn(name, F.explode(F.array(*map(F.lit, options))))
-    return out
+        over = over.withColumn(name, F.explode(F.array(*map(F.lit, options))))
+    return over

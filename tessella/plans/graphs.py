@@ -100,9 +100,11 @@ def j11_stencil_join(spark, sf_dir):
     return gt.join(sent, ["image_id", "y", "x", "label"]).groupBy("image_id", "y", "x").agg(F.count("*").alias("n"))
 
 
-@query("SELECT k::INT AS k, b::DOUBLE AS beta, n AS norm FROM (VALUES (5), (10), (15)) a(k), (VALUES (0.5), (1.0)) b(b), (VALUES ('none'), ('custom')) c(n)", "")
+@query("SELECT image_id, label, k::INT AS k, b::DOUBLE AS beta, n AS norm FROM (SELECT DISTINCT image_id, label FROM gt_map), (VALUES (5), (10), (15)) a(k), (VALUES (0.5), (1.0)) b(b), (VALUES ('none'), ('custom')) c(n)")
 def j12_parameter_grid(spark, sf_dir):
-    return J.parameter_grid(spark, {"k": [5, 10, 15], "beta": [0.5, 1.0], "norm": ["none", "custom"]})
+    """A trial for each segment of each image and each setting."""
+    over = T.truth(patches(spark, sf_dir)).select("image_id", "label").distinct()
+    return J.parameter_grid(over, {"k": [5, 10, 15], "beta": [0.5, 1.0], "norm": ["none", "custom"]})
 
 
 @query(PP + ", e AS (SELECT image_id, i, j, list_dot_product(a, b) AS w FROM q) SELECT image_id, i, j, round(w / max(w) OVER (PARTITION BY image_id), 6) AS w FROM e QUALIFY w > 0")
@@ -263,20 +265,23 @@ def eigen(spark, sf_dir, kind="laplacian_normalised") -> DataFrame:
     return S.eigenvectors(A.cosine_graph(patches(spark, sf_dir)), 5, kind)
 
 
-@query("SELECT DISTINCT image_id, n::INT AS k, true AS solves, n > 0 OR true AS ordered FROM patches, range(5) r(n)")
+@query(
+    PP + ", e AS (SELECT image_id, i, j, list_dot_product(a, b) AS w FROM q), w AS (SELECT image_id, i, j, w / max(w) OVER (PARTITION BY image_id) AS w FROM e QUALIFY w > 0), d AS (SELECT image_id, i, sum(w) AS d FROM w GROUP BY ALL), m AS (SELECT w.image_id, i, j, CASE WHEN i = j THEN 1 ELSE 0 END - w / sqrt(d.d * f.d) AS m FROM w JOIN d USING (image_id, i) JOIN d f ON f.image_id = w.image_id AND f.i = w.j)"
+    " SELECT image_id, count(DISTINCT i) AS n, round(sum(CASE WHEN i = j THEN m ELSE 0 END), 6) AS total, round(sum(m * m), 6) AS squares, true AS solves, true AS ordered FROM m GROUP BY image_id"
+)
 def c1_generalised_eigenproblem(spark, sf_dir):
-    """For each eigenpair: whether (D - W) v = lambda D v within 1e-8, and values ascend."""
+    """For each image all eigenpairs: how many, their sum and sum of squares (the trace and norm of the matrix), whether each has
+    (D - W) v = lambda D v within 1e-8, and whether values ascend."""
     edges = store.settled(A.cosine_graph(patches(spark, sf_dir)), "graph")  # read by all that follows
-    e = store.settled(S.eigenvectors(edges, 5), "eigen")
+    e = store.settled(S.eigenvectors(edges, T.GRID * T.GRID), "eigen")
     v = e.select("image_id", "k", "eigenvalue", F.posexplode("vec").alias("p", "v"))
     d = A.degrees(edges).select("image_id", F.col("i").alias("p"), "d")
     lap = A.laplacian(edges).select("image_id", F.col("i").alias("row"), F.col("j").alias("p"), "w")
     left = lap.join(v, ["image_id", "p"]).groupBy("image_id", "k", F.col("row").alias("p")).agg(F.sum(F.col("w") * F.col("v")).alias("left"))
-    off = left.join(v, ["image_id", "k", "p"]).join(d, ["image_id", "p"]).groupBy("image_id", "k").agg((F.max(F.abs(F.col("left") - F.col("eigenvalue") * F.col("d") * F.col("v"))) < 1e-8).alias("solves"))
-    from pyspark.sql.window import Window as W
-
-    rise = e.select("image_id", "k", (F.col("eigenvalue") >= F.coalesce(F.lag("eigenvalue").over(W.partitionBy("image_id").orderBy("k")), F.lit(-1.0))).alias("ordered"))
-    return off.join(rise, ["image_id", "k"])
+    off = left.join(v, ["image_id", "k", "p"]).join(d, ["image_id", "p"]).groupBy("image_id").agg((F.max(F.abs(F.col("left") - F.col("eigenvalue") * F.col("d") * F.col("v"))) < 1e-8).alias("solves"))
+    line = F.transform(F.array_sort(F.collect_list(F.struct("k", "eigenvalue"))), lambda x: x["eigenvalue"])
+    found = e.groupBy("image_id").agg(F.count("*").alias("n"), F.round(F.sum("eigenvalue"), 6).alias("total"), F.round(F.sum(F.col("eigenvalue") * F.col("eigenvalue")), 6).alias("squares"), line.alias("line"))
+    return found.join(off, "image_id").select("image_id", "n", "total", "squares", "solves", (F.col("line") == F.array_sort("line")).alias("ordered"))
 
 
 @query()

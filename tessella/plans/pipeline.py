@@ -97,7 +97,7 @@ def evaluate(pred: DataFrame, gt: DataFrame, n_classes: int) -> DataFrame:
 def sweep(spark: SparkSession, patches: DataFrame, gt: DataFrame, values: Mapping[str, list], base: Settings = Settings()) -> DataFrame:
     """One row a trial: its parameters and the mean IoU of its segments. Trials are few and run one after another; a trial's
     images run in parallel."""
-    trials = parameter_grid(spark, values)
+    trials = parameter_grid(spark.range(1).select(), values)
     out = None
     for row in trials.collect():  # the parameter grid
         s = replace(base, **row.asDict())

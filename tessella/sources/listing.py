@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 EXTENSIONS = (".jpg", ".jpeg", ".png", ".bmp", ".tif", ".tiff")
 
@@ -34,10 +35,15 @@ def filtered(files: DataFrame, extensions: tuple[str, ...] = ()) -> DataFrame:
 
 
 def listed(spark: SparkSession, path: str) -> DataFrame:
-    """image_id, file: the lines of a list file, in its order as far as one reader keeps it (``place``)."""
-    rows = spark.read.text(path, wholetext=True)
-    lines = rows.select(F.posexplode(F.split(F.col("value"), "\r?\n")).alias("place", "file")).where("file <> ''")
-    return lines.select(stem(F.col("file")).alias("image_id"), "file", "place")
+    """image_id, file, place: the lines of a list file, or of a folder of them by name, numbered in order; empty lines count
+    but are left out. Long files are read in blocks: lines are numbered within their block, after those of the blocks before."""
+    block = F.struct(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"))
+    rows = spark.read.text(path).select(F.regexp_replace("value", "\r$", "").alias("file"), block.alias("block"), F.monotonically_increasing_id().alias("at"))
+    size = rows.groupBy("block").agg(F.count("*").alias("n"))
+    before = size.select("block", F.coalesce(F.sum("n").over(W.orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0).cast("long")).alias("before"))  # a row a block
+    place = F.col("before") + F.row_number().over(W.partitionBy("block").orderBy("at")) - 1
+    numbered = rows.join(before, "block").select("file", place.cast("int").alias("place"))
+    return numbered.where("file <> ''").select(stem(F.col("file")).alias("image_id"), "file", "place")
 
 
 def images(spark: SparkSession, path: str) -> DataFrame:

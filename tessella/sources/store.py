@@ -111,5 +111,5 @@ def write_images(pixels: DataFrame, folder: str) -> DataFrame:
 
 
 def log_metrics(df: DataFrame, path: str, run: str) -> None:
-    """Appends a run's metrics to the table of all runs."""
-    df.withColumn("run", F.lit(run)).write.mode("append").partitionBy("run").parquet(path)
+    """Puts a run's metrics into the table of all runs; a run that is logged again replaces itself, the others stay."""
+    df.withColumn("run", F.lit(run)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").parquet(path)

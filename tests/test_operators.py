@@ -261,6 +261,41 @@ def test_listings(spark, tmp_path):
     assert [r.file for r in listing.listed(spark, str(tmp_path / "list.lst")).orderBy("place").collect()] == ["z.png", "y.png"]
 
 
+def test_long_lists_are_read_in_blocks(spark, tmp_path):
+    lines = [f"f{(7 * i) % 5000}.png" if i % 50 else "" for i in range(5000)]
+    for n in range(3):
+        (tmp_path / f"part-{n}.txt").write_text("\r\n".join(lines[n * 2000 : n * 2000 + 2000]) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    try:
+        rows = listing.listed(spark, str(tmp_path))
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 3
+        assert [(r.place, r.file) for r in rows.orderBy("place").collect()] == [(i, f) for i, f in enumerate(lines) if f]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+@pytest.mark.parametrize("d", [0, 1, 2, 7])
+def test_boundaries_within_a_distance(spark, d):
+    rng = np.random.default_rng(d)
+    points = {n: {(int(y), int(x)) for y, x in rng.integers(0, 15, (k, 2))} for n, k in (("a", 9), ("b", 2), ("c", 0))}
+    edges = {n: {(int(y), int(x)) for y, x in rng.integers(0, 15, (30, 2))} for n in points}
+    table = lambda m: spark.createDataFrame([(n, y, x) for n, ps in m.items() for y, x in ps], "image_id string, y int, x int")
+    images = spark.createDataFrame([(n,) for n in points], "image_id string")
+    got = {r.image_id: r.rate for r in E.boundary_hits(table(edges), table(points), d, 15, 15, images).collect()}
+    for n, ps in edges.items():
+        hit = sum(any(max(abs(y - a), abs(x - b)) <= d for a, b in points[n]) for y, x in ps)
+        assert abs(got[n] - hit / len(ps)) < 1e-12
+
+
+def test_a_run_that_is_logged_again_replaces_itself(spark, tmp_path):
+    path = str(tmp_path / "log")
+    rows = spark.range(3).withColumnRenamed("id", "m")
+    for run, df in (("a", rows), ("b", rows.limit(1)), ("a", rows.where("m > 1"))):
+        store.log_metrics(df, path, run)
+    assert sorted((r.run, r.m) for r in spark.read.parquet(path).collect()) == [("a", 2), ("b", 0)]
+
+
 def test_triplets_differ(spark):
     rows = Z.random_triplets(spark.range(50).withColumnRenamed("id", "i"), 50).collect()
     assert len(rows) == 50 and all(len({r.anchor, r.positive, r.negative}) == 3 for r in rows)
