@@ -1,8 +1,9 @@
 """Affinity graphs between the patches of an image, as edges (image_id, i, j, w).
 
 Measures that are column expressions join pairs within an image; symmetric ones are computed for i <= j and
-mirrored. Neighbours and joint histograms come from blocks of an image's patches against all of them, as matrices in
-grouped Arrow functions, so pairs are never rows of a shuffle and an image's work is spread over its blocks.
+mirrored. Neighbours and joint histograms come from blocks of an image's patches against all of them, in grouped Arrow
+functions, so pairs are never rows of a shuffle and an image's work is spread over its blocks; neighbours go by an index
+of cells, histograms by matrices.
 """
 
 from __future__ import annotations
@@ -114,26 +115,72 @@ def information(patches: DataFrame, beta: float | None = None, natural: bool = F
     return out if beta is None else out.withColumn("w", V.affinity(F.col("w"), beta))
 
 
+#: Patches of a cell of the neighbour index.
+CELL = 24
+
+
+def cells(x: np.ndarray, size: int = CELL) -> list[np.ndarray]:
+    """Rows of x in cells of up to ``size``, halved along the widest side as often as it takes."""
+    out, todo = [], [np.arange(len(x))]
+    while todo:
+        rows = todo.pop()
+        if len(rows) <= size:
+            out.append(rows)
+            continue
+        axis = int(np.ptp(x[rows], axis=0).argmax())
+        order = rows[np.argsort(x[rows, axis], kind="stable")]
+        todo += [order[: len(order) // 2], order[len(order) // 2 :]]
+    return out
+
+
+def squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances of each row of a to each of b, to 9 digits."""
+    d = np.zeros((len(a), len(b)))
+    for t in range(b.shape[1]):
+        d += (a[:, t, None] - b[None, :, t]) ** 2
+    return np.round(d, 9)
+
+
+def closest(a: np.ndarray, b: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+    """Rows of a, their k nearest rows of b with ranks (ties to the lower row), and how many distances that took.
+
+    Both are cut into cells with bounding boxes. For a cell of a, cells of b are opened from the nearest box on, twice as
+    many at a time, until the distance to the next box is above the k-th distance of every row.
+    """
+    k = min(k, len(b))
+    known = cells(b)
+    low, high = (np.array([f(b[c], axis=0) for c in known]) for f in (np.min, np.max))
+    size = np.array([len(c) for c in known])
+    for rows in cells(a):
+        part = a[rows]
+        gap = np.maximum(np.maximum(low - part.max(0), part.min(0) - high), 0)
+        bound = (gap * gap).sum(1)
+        order = np.argsort(bound, kind="stable")
+        far = bound[order]
+        take, step = int(np.searchsorted(np.cumsum(size[order]), k)) + 1, 1
+        near, d, opened = np.zeros(0, np.int64), np.zeros((len(rows), 0)), 0
+        while True:
+            new = np.concatenate([known[c] for c in order[opened:take]])
+            near, d, opened = np.r_[near, new], np.hstack([d, squares(part, b[new])]), take
+            worst = np.partition(d, k - 1, axis=1)[:, k - 1]
+            if opened == len(order) or far[opened] > worst.max() + 1e-9:
+                break
+            take, step = min(int(np.searchsorted(far, worst.max() + 1e-9, "right")), opened + step, len(order)), 2 * step
+        row, at = np.nonzero(d <= worst[:, None])
+        first = np.lexsort((near[at], d[row, at], row))
+        row, at = row[first], at[first]
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        best = rank < k
+        yield rows[row[best]], near[at[best]], rank[best], d.size
+
+
 def nearest(patches: DataFrame, features: Column, k: int) -> DataFrame:
     """image_id, i, j: the k nearest patches of each by features (array), itself included, ties (within 9 digits of the
-    squared distance) to the lower j. A block's distances are taken a few rows at a time and only the best are kept."""
+    squared distance) to the lower j: by an index of cells, which opens as few as give the certain answer."""
 
     def compare(i: np.ndarray, a: np.ndarray, j: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-        least = min(k, len(b))
-        step = max(1, MATRIX // max(len(b), 1))
-        for s in range(0, len(a), step):
-            part = a[s : s + step]
-            d = np.zeros((len(part), len(b)))
-            for t in range(b.shape[1]):
-                d += (part[:, t, None] - b[None, :, t]) ** 2
-            d = np.round(d, 9)
-            bound = np.partition(d, least - 1, axis=1)[:, least - 1]
-            row, at = np.nonzero(d <= bound[:, None])
-            order = np.lexsort((at, d[row, at], row))
-            row, at = row[order], at[order]
-            rank = np.arange(len(row)) - np.searchsorted(row, row)
-            best = rank < least
-            yield i[s : s + step][row[best]], j[at[best]], rank[best]
+        for row, at, rank, _ in closest(a, b, k):
+            yield i[row], j[at], rank
 
     return blocked(patches.select("image_id", "p", features.alias("k")), compare, "long").select("image_id", "i", "j")
 
