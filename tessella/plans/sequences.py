@@ -196,14 +196,16 @@ def v11_collate(spark, sf_dir):
     return at.groupBy("label", "batch").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
 
 
-def arriving(spark, df: DataFrame, order: str, files: int = 4) -> DataFrame:
-    """A stream over df as files that arrive one after the other, each a batch, in the given order."""
+def arriving(spark, df: DataFrame, order: str, files: int = 4, last: DataFrame | None = None) -> DataFrame:
+    """A stream over df in batches of four files, in the given order; ``last`` comes after all of it."""
     source = store.scratch(spark, "arriving")
     bounds = df.approxQuantile(order, [i / files for i in range(1, files)], 0.01)
     part = sum(((F.col(order) > b).cast("int") for b in bounds), F.lit(0))
     for i in range(files):
-        df.where(part == i).coalesce(1).write.mode("append").parquet(source)  # one arriving file
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(source)
+        df.where(part == i).repartition(4).write.mode("append").parquet(source)
+    if last is not None:
+        last.write.mode("append").parquet(source)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 4).parquet(source)
 
 
 def streamed(spark, stream: DataFrame) -> DataFrame:
@@ -215,12 +217,21 @@ def streamed(spark, stream: DataFrame) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(out)
 
 
+DELAY = "10 days"
+
+
+def late(rows: DataFrame, step: str) -> DataFrame:
+    """rows with a time (``at``) of a day a step, and ``order``: their arrival, up to seven steps late."""
+    return rows.withColumns({"at": F.timestamp_seconds((F.col(step) + 1) * 86400), "order": (F.col(step) + F.pmod(F.xxhash64(step), F.lit(8))).cast("long")})
+
+
 @query(SHOTS, FRAMES)
 def t1_streaming_shots(spark, sf_dir):
-    """Four batches: shots go on where the batch before ended."""
-    from tessella.streaming.frames import shots
+    """Four batches of frames that come late and out of order: shots go on where the batch before ended."""
+    from tessella.streaming.frames import closing, shots
 
-    return streamed(spark, shots(arriving(spark, frames(spark, sf_dir), "frame"), LIMIT))
+    rows = late(frames(spark, sf_dir), "frame")
+    return streamed(spark, shots(arriving(spark, rows, "order", last=closing(rows, "seq", "at", DELAY)), LIMIT, DELAY))
 
 
 @query("SELECT round(avg(val), 6) AS mean, round(stddev_pop(val), 6) AS std FROM pixels")
@@ -238,9 +249,10 @@ ROLLING = "SELECT event_id, v[((len(v) + 1) // 2)::INT] AS median FROM (SELECT e
 
 @query(ROLLING, "")
 def t3_rolling_medians(spark, sf_dir):
-    """Four batches: windows reach back over their borders."""
-    from tessella.streaming.frames import rolling
+    """Four batches of late values: windows reach back over their borders."""
+    from tessella.streaming.frames import closing, rolling
 
     events = spark.read.parquet(f"{sf_dir}/events.parquet").where("value is not null")
     values = events.select(F.col("user_id").alias("key"), F.col("event_id").cast("long").alias("step"), F.col("value").cast("double").alias("value"))
-    return streamed(spark, rolling(arriving(spark, values, "step"))).select(F.col("step").alias("event_id"), "median")
+    rows = late(values, "step")
+    return streamed(spark, rolling(arriving(spark, rows, "order", last=closing(rows, "key", "at", DELAY)), delay=DELAY)).select(F.col("step").alias("event_id"), "median")
