@@ -8,7 +8,10 @@ subfolder is part of the image's name, not a loop.
 from __future__ import annotations
 
 from collections.abc import Mapping
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
+from functools import reduce
+from types import MappingProxyType
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +28,16 @@ from tessella.operators.joins import parameter_grid
 from tessella.sources import store
 
 STAGES = ("eigs", "segments", "boxes", "clusters", "semantic")
+#: The settings that each stage reads itself; those of the stages before it reach it as well.
+READS = {
+    "eigs": ("vectors", "cosine", "ssd", "beta"),
+    "segments": ("height", "width", "segments", "adaptive"),
+    "boxes": ("erosions", "dilations"),
+    "clusters": ("clusters", "seed"),
+    "semantic": ("shift",),
+}
+#: Trials of a sweep that run at a time.
+AT_ONCE = 4
 
 
 @dataclass(frozen=True)
@@ -65,8 +78,14 @@ def segmented(patches: DataFrame, eigen: DataFrame, s: Settings) -> DataFrame:
     return L.background_first(C.label_map(labels, s.width), s.height, s.width)
 
 
-def run(patches: DataFrame, s: Settings, until: str = STAGES[-1]) -> dict[str, DataFrame]:
-    """Tables of the stages up to ``until`` by name, stored ones read from ``s.stored``."""
+def fingerprint(s: Settings, stage: str) -> tuple:
+    """All settings that a stage's table depends on: trials that agree in it share the table."""
+    return stage, *[getattr(s, name) for earlier in STAGES[: STAGES.index(stage) + 1] for name in READS[earlier]]
+
+
+def run(patches: DataFrame, s: Settings, until: str = STAGES[-1], made: Mapping[tuple, DataFrame] = MappingProxyType({})) -> dict[str, DataFrame]:
+    """Tables of the stages up to ``until`` by name, stored ones read from ``s.stored``, and those that are ``made`` already, by
+    their fingerprint, from there."""
     spark = patches.sparkSession
     n = store.stored_until(STAGES, s.stored)
     out: dict[str, DataFrame] = {name: spark.read.parquet(s.stored[name]) for name in STAGES[:n]}
@@ -79,6 +98,9 @@ def run(patches: DataFrame, s: Settings, until: str = STAGES[-1]) -> dict[str, D
         "semantic": lambda: S.semantic(out["segments"], out["clusters"], s.shift),
     }
     for name in STAGES[n : STAGES.index(until) + 1]:
+        if fingerprint(s, name) in made:
+            out[name] = made[fingerprint(s, name)]
+            continue
         out[name] = build[name]()
         if name in ("eigs", "segments"):  # several later stages read these
             out[name] = store.settled(out[name], name)
@@ -95,15 +117,21 @@ def evaluate(pred: DataFrame, gt: DataFrame, n_classes: int) -> DataFrame:
 
 
 def sweep(spark: SparkSession, patches: DataFrame, gt: DataFrame, values: Mapping[str, list], base: Settings = Settings()) -> DataFrame:
-    """One row a trial: its parameters and the mean IoU of its segments. Trials are few and run one after another; a trial's
-    images run in parallel."""
-    trials = parameter_grid(spark.range(1).select(), values)
-    out = None
-    for row in trials.collect():  # the parameter grid
-        s = replace(base, **row.asDict())
-        tables = run(patches, s, "segments")
-        score = evaluate(tables["segments"], gt, s.n_classes).agg(F.avg("jaccard").alias("miou"))
-        one = store.settled(score.select(*[F.lit(v).alias(k) for k, v in row.asDict().items()], "miou"), "trial")
-        store.dropped(*[t for t in tables.values() if hasattr(t, "settled_at")])
-        out = one if out is None else out.unionByName(one)
-    return out
+    """One row a trial: its parameters and the mean IoU of its segments. A stage's table is made once for all trials whose
+    settings up to it are the same; ``AT_ONCE`` tables or trials run at a time, each over all its images."""
+    rows = [r.asDict() for r in parameter_grid(spark.range(1).select(), values).collect()]  # the parameter grid
+    trials = [replace(base, **r) for r in rows]
+    made: dict[tuple, DataFrame] = {}
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        for stage in ("eigs", "segments"):
+            wanted = {fingerprint(s, stage): s for s in trials}
+            made |= dict(zip(wanted, pool.map(lambda s, stage=stage: run(patches, s, stage, made)[stage], wanted.values()), strict=True))
+
+        def score(trial: tuple[dict, Settings]) -> DataFrame:
+            row, s = trial
+            found = evaluate(made[fingerprint(s, "segments")], gt, s.n_classes).agg(F.avg("jaccard").alias("miou"))
+            return store.settled(found.select(*[F.lit(v).alias(k) for k, v in row.items()], "miou"), "trial")
+
+        out = list(pool.map(score, zip(rows, trials, strict=True)))
+    store.dropped(*[t for t in made.values() if hasattr(t, "settled_at")])
+    return reduce(DataFrame.unionByName, out)

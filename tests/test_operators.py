@@ -332,3 +332,20 @@ def test_sweep_reads_all_images(spark, monkeypatch):
     pipelines.h2_parameter_sweep(spark, "/root/testdata/sf0.01")
     images = tables.patches(spark, "/root/testdata/sf0.01").select("image_id").distinct().count()
     assert images > 2 and [d.select("image_id").distinct().count() for d in seen] == [images] * 2
+
+
+def test_a_sweep_makes_shared_stages_once(spark, monkeypatch):
+    from tessella.operators import spectral
+    from tessella.plans import pipeline
+    from tessella.sources import tables
+
+    made = []
+    eigenvectors = spectral.eigenvectors
+    monkeypatch.setattr(spectral, "eigenvectors", lambda *a: made.append(a[1]) or eigenvectors(*a))
+    p = tables.patches(spark, "/root/testdata/sf0.001").where("image_id < 2")
+    gt = tables.truth(p)
+    got = {(r["vectors"], r["segments"]): r["miou"] for r in pipeline.sweep(spark, p, gt, {"vectors": [3, 5], "segments": [3, 6]}).collect()}
+    assert sorted(made) == [3, 5] and len(got) == 4
+    for (v, n), miou in got.items():
+        alone = pipeline.evaluate(pipeline.run(p, pipeline.Settings(vectors=v, segments=n), "segments")["segments"], gt, 10)
+        assert abs(alone.agg({"jaccard": "avg"}).first()[0] - miou) < 1e-9
