@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from tessella.operators import augment as U
 from tessella.operators import frames as R
 from tessella.operators import metrics as E
 from tessella.operators import sampling as V
@@ -187,6 +188,61 @@ def v9_views(spark, sf_dir):
     return V.views(images(spark, sf_dir))
 
 
+SMALL = U.Views(side_global=24, side_local=10)
+
+
+def colours(spark, sf_dir) -> DataFrame:
+    """Images of three channels: grey values, and the same shifted along rows and along columns."""
+    p = T.pixels(T.patches(spark, sf_dir))
+    side = T.PATCH * T.GRID
+    moved = lambda c, by, name: p.withColumn(c, (F.col(c) + by) % side).withColumnRenamed("val", name)
+    return p.withColumnRenamed("val", "r").join(moved("x", 27, "g"), ["image_id", "y", "x"]).join(moved("y", 27, "b"), ["image_id", "y", "x"])
+
+
+def chain_sql(v: U.Views) -> str:
+    """SQL of augment.augmented() without blur over square images of T.PATCH * T.GRID pixels."""
+    n, lo, hi = T.PATCH * T.GRID, U.RATIO[0], U.RATIO[1]
+    pick = lambda n, what: drawn(str(n), repr(what), "image_id", "view", str(v.seed))
+    wide = f"view < {v.n_global}"
+    area = f"(CASE WHEN {wide} THEN {v.area_global[0]}::DOUBLE ELSE {v.area_local[0]}::DOUBLE END + {pick(1001, 'area')} / 1000.0::DOUBLE * CASE WHEN {wide} THEN {v.area_global[1] - v.area_global[0]}::DOUBLE ELSE {v.area_local[1] - v.area_local[0]}::DOUBLE END) * {n * n}"
+    ratio = f"exp(ln({lo}::DOUBLE) + {pick(1001, 'ratio')} / 1000.0::DOUBLE * (ln({hi}::DOUBLE) - ln({lo}::DOUBLE)))"
+    around = lambda most, what: f"CASE WHEN {pick(10, 'jitter')} < {v.jitter} THEN ({pick(2001, what)} - 1000) / 1000.0::DOUBLE * {most}::DOUBLE ELSE 0 END"
+    length = lambda x: f"greatest(least(floor(sqrt(round({x}, 6)) + 0.5), {n}), 1)::INT"
+    clip = lambda x: f"greatest(least({x}, 1.0::DOUBLE), 0.0::DOUBLE)"
+    grey = f"(r * {U.GREY[0]}::DOUBLE + g * {U.GREY[1]}::DOUBLE + b * {U.GREY[2]}::DOUBLE)"
+    each = lambda f: ", ".join(f"{f(c)} AS {c}" for c in U.CHANNELS)
+    turn = lambda k: f"((({k} + hue) % 6) + 6) % 6"
+    value = lambda c, k: f"CASE WHEN fh = 0 THEN {c} ELSE high - (high - low) * greatest(least({turn(k)}, 4 - {turn(k)}, 1), 0) END AS {c}"
+    keep = "image_id, view, y, x, fb, fc, fs, fh, gr, so"
+    return f""", rgb AS (SELECT p.image_id, p.y, p.x, p.val / 255.0::DOUBLE AS r, g.val / 255.0::DOUBLE AS g, b.val / 255.0::DOUBLE AS b FROM pixels p JOIN pixels g ON g.image_id = p.image_id AND g.y = p.y AND (g.x + 27) % {n} = p.x JOIN pixels b ON b.image_id = p.image_id AND b.x = p.x AND (b.y + 27) % {n} = p.y),
+iv AS (SELECT image_id, view::INT AS view FROM (SELECT DISTINCT image_id FROM patches), range({v.n_global + v.n_local}) r(view)),
+sz AS (SELECT *, {length(f"({area}) / ({ratio})")} AS h, {length(f"({area}) * ({ratio})")} AS w FROM iv),
+pl AS (SELECT *, CASE WHEN {wide} THEN {v.side_global} ELSE {v.side_local} END AS side, {pick(f"{n} - h + 1", "top")} AS t, {pick(f"{n} - w + 1", "left")} AS l, {pick(10, "flip")} < {v.flip} AS flip,
+  1 + {around(v.brightness, "brightness")} AS fb, 1 + {around(v.contrast, "contrast")} AS fc, 1 + {around(v.saturation, "saturation")} AS fs, {around(v.hue, "hue")} AS fh, {pick(10, "grey")} < {v.grey} AS gr, view = 1 AND {pick(10, "solarise")} < {v.solarise} AS so FROM sz),
+o AS (SELECT *, unnest(range(side)) AS ox FROM (SELECT *, unnest(range(side)) AS oy FROM pl)),
+s0 AS (SELECT o.image_id, view, oy AS y, ox AS x, fb, fc, fs, fh, gr, so, r, g, b FROM o JOIN rgb ON rgb.image_id = o.image_id AND rgb.y = t + floor((oy + 0.5) * h / side)::INT AND rgb.x = l + floor((CASE WHEN flip THEN side - 1 - ox ELSE ox END + 0.5) * w / side)::INT),
+s1 AS (SELECT {keep}, {each(lambda c: clip(f"{c} * fb"))} FROM s0),
+s2 AS (SELECT {keep}, {each(lambda c: f"CASE WHEN fc = 1 THEN {c} ELSE {clip(f'{c} * fc + mean * (1 - fc)')} END")} FROM s1 JOIN (SELECT image_id, view, avg({grey}) AS mean FROM s1 GROUP BY ALL) USING (image_id, view)),
+s3 AS (SELECT {keep}, {each(lambda c: clip(f"{c} * fs + {grey} * (1 - fs)"))} FROM s2),
+s4 AS (SELECT *, greatest(r, g, b) AS high, least(r, g, b) AS low FROM s3),
+s5 AS (SELECT *, 6 * fh + CASE WHEN high = low THEN 0 WHEN high = r THEN (g - b) / (high - low) WHEN high = g THEN 2 + (b - r) / (high - low) ELSE 4 + (r - g) / (high - low) END AS hue FROM s4),
+s6 AS (SELECT {keep}, {value("r", 5)}, {value("g", 3)}, {value("b", 1)} FROM s5),
+s7 AS (SELECT {keep}, {each(lambda c: f"CASE WHEN gr THEN {grey} ELSE {c} END")} FROM s6)
+SELECT image_id, view, y::INT AS y, x::INT AS x, {each(lambda c: f"round(CASE WHEN so AND {c} >= 0.5 THEN 1 - {c} ELSE {c} END, 6)")} FROM s7"""
+
+
+@query(chain_sql(SMALL))
+def v9_augmented_views(spark, sf_dir):
+    """All steps but the blur."""
+    return rounded(U.augmented(colours(spark, sf_dir), SMALL, blurred=False))
+
+
+@query()
+def v9_blurred_views(spark, sf_dir):
+    """The whole chain."""
+    return rounded(U.augmented(colours(spark, sf_dir), SMALL))
+
+
 @query("SELECT label, batch, list(vec_id ORDER BY vec_id) AS ids FROM (SELECT label, vec_id, (row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1) // 64 AS batch FROM embeddings) GROUP BY label, batch", "")
 def v11_collate(spark, sf_dir):
     """Lists of up to 64 of a label, in numbered batches, whatever the label's size."""
