@@ -109,7 +109,7 @@ def equalise_local(pixels: DataFrame, height: int, width: int, clip: float = 40.
     below = F.filter("steps", lambda s: s["val"] <= F.col("val"))
     own = F.coalesce(F.try_element_at(below, F.lit(-1))["own"], F.lit(0))
     value = F.least((own + F.col("spread") * (F.col("val") + 1)) * (bins - 1) / area, F.lit(float(bins - 1)))
-    return joined.groupBy("image_id", "y", "x").agg(F.rint(F.sum(value * F.col("w"))).cast("int").alias("val"))
+    return joined.groupBy("image_id", "y", "x").agg(F.rint(F.round(F.sum(value * F.col("w")), 9)).cast("int").alias("val"))
 
 
 def equalise(pixels: DataFrame, bins: int = 256) -> DataFrame:

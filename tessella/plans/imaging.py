@@ -125,7 +125,18 @@ def p8_gaussian_blur(spark, sf_dir):
     return rounded(P.blur(pix(spark, sf_dir), P.blur_kernel(80, 0.07), 80, 80))
 
 
-@query()
+def equalise_local_sql(source: str) -> str:
+    """SQL of pixels.equalise_local() over images of 80 x 80 in 2 x 2 tiles of 40: a bin holds 250 of 1600 pixels at most."""
+    side = lambda c, on: f"(CASE WHEN {on} = 1 THEN f{c} - floor(f{c}) ELSE 1 - (f{c} - floor(f{c})) END)"
+    return f""", tn AS (SELECT image_id, y // 40 AS ty, x // 40 AS tx, val, count(*) AS n FROM {source} GROUP BY ALL),
+tc AS (SELECT image_id, ty, tx, val AS lv, sum(greatest(n - 250, 0)) OVER (PARTITION BY image_id, ty, tx) / 256.0::DOUBLE AS spread, sum(least(n, 250)) OVER (PARTITION BY image_id, ty, tx ORDER BY val) AS upto FROM tn),
+tl AS (SELECT image_id, ty, tx, v::INT AS val, coalesce(max(upto) FILTER (lv <= v), 0) AS own, max(spread) AS spread FROM tc, range(256) r(v) GROUP BY ALL),
+sp AS (SELECT image_id, y, x, val, (y + 0.5) / 40.0::DOUBLE - 0.5 AS fy, (x + 0.5) / 40.0::DOUBLE - 0.5 AS fx FROM {source}),
+cr AS (SELECT image_id, y, x, val, least(greatest(floor(fy) + a, 0), 1)::INT AS ty, least(greatest(floor(fx) + b, 0), 1)::INT AS tx, {side("y", "a")} * {side("x", "b")} AS w FROM sp, range(2) r(a), range(2) s(b))
+SELECT image_id, y, x, round_even(round(sum(least((own + spread * (val + 1)) * 255 / 1600.0::DOUBLE, 255.0::DOUBLE) * w), 9), 0)::INT AS val FROM cr JOIN tl USING (image_id, ty, tx, val) GROUP BY ALL"""
+
+
+@query(equalise_local_sql("pixels"))
 def p9_clahe(spark, sf_dir):
     return P.equalise_local(pix(spark, sf_dir), 80, 80)
 

@@ -10,6 +10,7 @@ from tessella.operators import metrics as E
 from tessella.operators import pixels as P
 from tessella.plans import pipeline
 from tessella.plans.evaluation import APPLIED, EXCLUSIVE, IOU, PAIRS, class_scores
+from tessella.plans.imaging import equalise_local_sql
 from tessella.plans.registry import query, rounded
 from tessella.sources import listing, store
 from tessella.sources import tables as T
@@ -104,12 +105,16 @@ NEAR = "CASE WHEN {c} + d < 0 THEN -({c} + d) WHEN {c} + d > 79 THEN 158 - ({c}
 WEIGHT = "exp(-(d * d) / 50.0::DOUBLE) / (1 + 2 * exp(-1 / 50.0::DOUBLE))"
 
 
-@query(f", o AS (SELECT d::INT AS d FROM range(-1, 2) r(d)), bx AS (SELECT p.image_id, p.y, p.x, sum(q.val * {WEIGHT}) AS val FROM pixels p, o JOIN pixels q ON q.image_id = p.image_id AND q.y = p.y AND q.x = {NEAR.format(c='p.x')} GROUP BY ALL) SELECT p.image_id, p.y, p.x, round_even(round(sum(q.val * {WEIGHT}), 9), 0)::INT AS val FROM bx p, o JOIN bx q ON q.image_id = p.image_id AND q.x = p.x AND q.y = {NEAR.format(c='p.y')} GROUP BY ALL")
+SOFT = f", o AS (SELECT d::INT AS d FROM range(-1, 2) r(d)), bx AS (SELECT p.image_id, p.y, p.x, sum(q.val * {WEIGHT}) AS val FROM pixels p, o JOIN pixels q ON q.image_id = p.image_id AND q.y = p.y AND q.x = {NEAR.format(c='p.x')} GROUP BY ALL)"
+SOFT_PIXELS = f"SELECT p.image_id, p.y, p.x, round_even(round(sum(q.val * {WEIGHT}), 9), 0)::INT AS val FROM bx p, o JOIN bx q ON q.image_id = p.image_id AND q.x = p.x AND q.y = {NEAR.format(c='p.y')} GROUP BY ALL"
+
+
+@query(f"{SOFT} {SOFT_PIXELS}")
 def h5_offline_blur(spark, sf_dir):
     return P.smooth(T.pixels(T.patches(spark, sf_dir)), 80, 80)
 
 
-@query()
+@query(f"{SOFT}, soft AS ({SOFT_PIXELS})" + equalise_local_sql("soft"))
 def h5_offline_preprocess(spark, sf_dir):
     return P.offline(T.pixels(T.patches(spark, sf_dir)), 80, 80)
 
