@@ -289,6 +289,20 @@ def c2_affinity_eigenvalues(spark, sf_dir):
     return rounded(eigen(spark, sf_dir, "affinity").unionByName(eigen(spark, sf_dir, "affinity_svd")).select("image_id", "k", "eigenvalue"))
 
 
+@query(
+    PP + ", e AS (SELECT image_id, i, j, list_dot_product(a, b) AS w FROM q), w AS (SELECT image_id, i, j, w / max(w) OVER (PARTITION BY image_id) AS w FROM e QUALIFY w > 0)"
+    " SELECT image_id, count(DISTINCT i) AS n, round(sum(CASE WHEN i = j THEN w ELSE 0 END), 6) AS total, round(sum(w * w), 6) AS squares, round(sum(w * w), 6) AS singular_squares FROM w GROUP BY image_id"
+)
+def c2_affinity_spectrum(spark, sf_dir):
+    """All eigenvalues and singular values of each image's affinities: their sum is the trace, their squares are the norm's."""
+    edges = store.settled(A.cosine_graph(patches(spark, sf_dir)), "graph")
+    n = T.GRID * T.GRID
+    values, singular = S.eigenvectors(edges, n, "affinity"), S.eigenvectors(edges, n, "affinity_svd")
+    squares = F.round(F.sum(F.col("eigenvalue") * F.col("eigenvalue")), 6)
+    found = values.groupBy("image_id").agg(F.count("*").alias("n"), F.round(F.sum("eigenvalue"), 6).alias("total"), squares.alias("squares"))
+    return found.join(singular.groupBy("image_id").agg(squares.alias("singular_squares")), "image_id")
+
+
 @query("SELECT image_id, p, CASE WHEN pos > 0.5 AND pos < 1 THEN list_transform(k, lambda v: -v) ELSE k END AS k FROM (SELECT *, len(list_filter(k, lambda v: v > 0)) / len(k) AS pos FROM patches)")
 def c3_sign_convention(spark, sf_dir):
     return patches(spark, sf_dir).select("image_id", "p", S.signed(F.col("k")).alias("k"))

@@ -94,6 +94,15 @@ def a8_dispatched_metrics(spark, sf_dir):
     return rounded(pipeline.evaluate(*mixed(spark, sf_dir), 10))
 
 
+@query(MIXED_IOU + APPLIED.format(pred="mixed") + "SELECT image_id, " + ", ".join(f"round(sum({m}) / 9, 6) AS {m}" for m in E.METRICS) + " FROM sc WHERE class BETWEEN 1 AND 9 GROUP BY image_id")
+def h3_stored_maps_evaluated(spark, sf_dir):
+    """Label maps that were stored by another run, evaluated with nothing else computed."""
+    paths = {name: store.scratch(spark, name) for name in ("predicted", "true")}
+    for rows, path in zip(mixed(spark, sf_dir), paths.values(), strict=True):
+        store.write(store.masks(rows), path)
+    return rounded(pipeline.evaluate(*[spark.read.parquet(p) for p in paths.values()], 10))
+
+
 @query("SELECT image_id, y, x, (9 - label)::INT AS label FROM gt_map")
 def v10_label_map_option(spark, sf_dir):
     """A label map given as the text of an option."""
