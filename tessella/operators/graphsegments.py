@@ -4,12 +4,17 @@ Taken one after the other, edges from light to heavy join parts of an image whil
 part allows: its own heaviest edge, plus a scale over its size. An edge that is the lightest of both its parts comes before
 all others of these parts, so all such edges are decided at once, and with them what follows from the larger part on. If a part's lightest edge is heavier than it allows, so
 are all the others, for good, and they go. Of several edges between two parts only the lightest can ever count. A round
-thus settles a good share of the parts, and all of them lie in tables: edges between parts, and parts. Edges of equal weight
+thus settles a good share of the parts, and all of them lie in tables: edges between parts, and parts. The few edges that an
+image has left in the end are taken in one task. Edges of equal weight
 come in an order of hashes, in which no long chain has to wait for its first link.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -17,6 +22,12 @@ from pyspark.sql.window import Window as W
 from tessella.operators.segments import linked
 from tessella.sources.store import dropped, settled
 
+#: Edges of an image that a task takes one after the other, when rounds have left no more.
+FEW = 4096
+
+#: Whether an edge of a weight joins two parts, by size and heaviest edge of each.
+Fits = Callable[[float, int, float, int, float], bool]
+
 
 def decided(edges: DataFrame, parts: DataFrame, joins: Column, never: Column) -> tuple[DataFrame, DataFrame, DataFrame]:
     """One round over edges (image_id, a, b, e: weight and order) and parts (image_id, part, size, inner): the edges and parts that
@@ -56,16 +67,52 @@ def decided(edges: DataFrame, parts: DataFrame, joins: Column, never: Column) ->
     return out
 
 
-def rounds(edges: DataFrame, parts: DataFrame, joins: Column, never: Column) -> tuple[DataFrame, DataFrame | None]:
-    """Parts after as many rounds as there are edges for, and all that has been joined."""
-    done = None
+def finished(edges: DataFrame, parts: DataFrame, fits: Fits) -> DataFrame:
+    """What is joined (image_id, a, b) when the few edges that images have left are taken one after the other."""
+    kind = dict(edges.dtypes)["image_id"]
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        size, inner, parent, out = {}, {}, {}, []
+        for side in ("a", "b"):
+            names = list(zip(rows[f"{side}y"], rows[f"{side}x"], strict=True))
+            rows[side] = names
+            size |= dict(zip(names, rows[f"{side}size"], strict=True))
+            inner |= dict(zip(names, rows[f"{side}inner"], strict=True))
+
+        def root(part: tuple) -> tuple:
+            while part in parent:
+                part = parent[part]
+            return part
+
+        for r in rows.sort_values(["weight", "order", "ay", "ax", "by", "bx"]).itertuples(index=False):
+            a, b = root(r.a), root(r.b)
+            if a != b and fits(r.weight, size[a], inner[a], size[b], inner[b]):
+                if size[a] < size[b]:
+                    a, b = b, a
+                parent[b], size[a], inner[a] = a, size[a] + size[b], r.weight
+                out.append((key[0], *a, *b))
+        return pd.DataFrame(out, columns=["image_id", "ay", "ax", "by", "bx"])
+
+    for side in ("a", "b"):
+        own = parts.select("image_id", F.col("part").alias(side), F.col("size").alias(f"{side}size"), F.col("inner").alias(f"{side}inner"))
+        edges = edges.join(own, ["image_id", side])
+    flat = edges.select("image_id", *[F.col(f"{c}.{d}").alias(f"{c}{d}") for c in "ab" for d in "yx"], "asize", "ainner", "bsize", "binner", "e.weight", "e.order")
+    joined = flat.groupBy("image_id").applyInPandas(run, f"image_id {kind}, ay int, ax int, by int, bx int")
+    return joined.select("image_id", F.struct(F.col("ay").alias("y"), F.col("ax").alias("x")).alias("a"), F.struct(F.col("by").alias("y"), F.col("bx").alias("x")).alias("b"))
+
+
+def rounds(edges: DataFrame, parts: DataFrame, joins: Column, never: Column, fits: Fits) -> DataFrame | None:
+    """All that is joined, by as many rounds as leave no image more than ``FEW`` edges; these are then gone through."""
+    done: list[DataFrame] = []
     edges, parts = settled(edges, "edges"), settled(parts, "parts")
     while edges.limit(1).count():
+        few = edges.groupBy("image_id").agg(F.count("*").alias("n")).where(F.col("n") <= FEW).select("image_id")
+        done.append(settled(finished(edges.join(few, "image_id", "left_semi"), parts, fits), "merged"))
         before = edges, parts
-        edges, parts, merged = decided(edges, parts, joins, never)
+        edges, parts, merged = decided(edges.join(few, "image_id", "left_anti"), parts, joins, never)
         dropped(*before)
-        done = merged if done is None else done.unionByName(merged)
-    return parts, done
+        done.append(merged)
+    return reduce(DataFrame.unionByName, done) if done else None
 
 
 def renamed(names: DataFrame, joined: DataFrame | None) -> DataFrame:
@@ -90,7 +137,7 @@ def graph_segments(pixels: DataFrame, scale: float = 1.0, min_size: int = 20) ->
     allowed = lambda inner, size: F.col(inner) + scale / F.col(size)
     parts = names.select("image_id", "part", F.lit(1).cast("long").alias("size"), F.lit(0.0).alias("inner"))
     fits = F.col("e.weight") <= F.least(allowed("hub_inner", "hub_size"), allowed("to_inner", "to_size"))
-    parts, joined = rounds(edges, parts, fits, (F.col("least.weight") > allowed("inner", "size")) | (F.col("to_least.weight") > allowed("to_inner", "to_size")))
+    joined = rounds(edges, parts, fits, (F.col("least.weight") > allowed("inner", "size")) | (F.col("to_least.weight") > allowed("to_inner", "to_size")), lambda w, s, i, t, j: w <= min(i + scale / s, j + scale / t))
     names = settled(renamed(names, joined), "names")
     own = names.select("image_id", place.alias("p"), "part")
     left = edges.join(own.select("image_id", F.col("p").alias("a"), F.col("part").alias("ra")), ["image_id", "a"]).join(own.select("image_id", F.col("p").alias("b"), F.col("part").alias("rb")), ["image_id", "b"])
@@ -99,7 +146,7 @@ def graph_segments(pixels: DataFrame, scale: float = 1.0, min_size: int = 20) ->
     small = size.where(F.col("size") < min_size).select("image_id", "part")
     near = left.join(small.withColumnRenamed("part", "a"), ["image_id", "a"], "left_semi").unionByName(left.join(small.withColumnRenamed("part", "b"), ["image_id", "b"], "left_semi")).distinct()
     is_small = lambda c: F.least(c, "to_size") < min_size
-    _, joined = rounds(near, size.withColumn("inner", F.lit(0.0)), is_small("hub_size"), ~is_small("size")) if small.limit(1).count() else (None, None)
+    joined = rounds(near, size.withColumn("inner", F.lit(0.0)), is_small("hub_size"), ~is_small("size"), lambda w, s, i, t, j: min(s, t) < min_size) if small.limit(1).count() else None
     names = renamed(names, joined)
     number = names.select("image_id", "part").distinct().withColumn("label", (F.row_number().over(W.partitionBy("image_id").orderBy("part")) - 1).cast("int"))
     return names.join(number, ["image_id", "part"]).select("image_id", "y", "x", "label")

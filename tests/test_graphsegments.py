@@ -1,6 +1,7 @@
 """Graph segmentation against its edges taken one after the other."""
 
 import numpy as np
+import pytest
 
 from tessella.operators import graphsegments as G
 
@@ -28,7 +29,9 @@ def plain(val, order, scale, min_size):
     return {(i // w, i % w): number[r] for i, r in enumerate(roots)}
 
 
-def test_rounds_are_one_edge_after_the_other(spark):
+@pytest.mark.parametrize("few", [0, 100])
+def test_rounds_are_one_edge_after_the_other(spark, monkeypatch, few):
+    monkeypatch.setattr(G, "FEW", few)
     rng = np.random.default_rng(9)
     y, x = np.mgrid[:11, :13]
     images = {"noise": rng.integers(0, 256, (11, 13)), "disc": np.clip(np.where((y - 5) ** 2 + (x - 6) ** 2 < 15, 200, 40) + rng.integers(-6, 7, (11, 13)), 0, 255), "flat": np.full((9, 5), 7), "slope": 3 * x + y}
