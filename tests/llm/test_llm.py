@@ -16,6 +16,7 @@ from tessella.llm import queries as Q
 from tests.comparing import duck, duck_rows, spark_rows
 from tests.llm import brute
 
+PARTS_AT_A_TIME = simhash.TOGETHER
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, spans int, mix string, id string, key string"
 
 
@@ -87,6 +88,13 @@ def test_near_copies(docs, rows, empty):
     assert kept[0].asDict().keys() == dict.fromkeys(docs.columns).keys()
 
 
+def test_near_copies_with_as_many_parts_at_a_time_as_in_use(docs, rows, monkeypatch):
+    assert PARTS_AT_A_TIME == 2
+    monkeypatch.setattr(simhash, "TOGETHER", PARTS_AT_A_TIME)
+    expected = brute.near_copies([(r[0], r[1]) for r in rows], simhash.LIMIT)
+    assert all(r.component == (None if r.id is None else expected[r.id]) for r in simhash.near_copies(docs).collect())
+
+
 def test_wide_fingerprints():
     rng = random.Random(4)
     texts = ["", "one", "Two WORDS", prose(rng, 5), "a b c d e a b c d e a b c d e", *(prose(rng, rng.randrange(6, 3000)) for _ in range(20))]
