@@ -111,9 +111,9 @@ class Windows:
 MARKS = {"hits": "array<struct<start: long, stop: long>>", "items": "array<string>", "n_words": "long"}
 
 
-def scan(rows: DataFrame, windows: Broadcast, names: list[str | None], text_col: str) -> DataFrame:
-    """rows with the columns of MARKS, to which the windows of one part add theirs."""
-    schema = rows.schema if "hits" in rows.columns else rows.withColumns({c: F.lit(None).cast(kind) for c, kind in MARKS.items()}).schema
+def scan(rows: DataFrame, windows: Broadcast, names: list[str | None], text_col: str, prefix: str) -> DataFrame:
+    """rows with the columns of MARKS, their names after ``prefix``, to which the windows of one part add theirs."""
+    schema = rows.schema if f"{prefix}hits" in rows.columns else rows.withColumns({f"{prefix}{c}": F.lit(None).cast(kind) for c, kind in MARKS.items()}).schema
     place, width = rows.columns.index(text_col), len(schema) - 3
     span = pa.struct([("start", pa.int64()), ("stop", pa.int64())])
 
@@ -185,15 +185,15 @@ def parts_of(items: DataFrame, id_col: str, text_col: str, n: int, limit: int) -
         parts = max(2 * parts, -(-found["all"] // limit))
 
 
-def contamination(docs: DataFrame, items: DataFrame, n: int = N, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", limit: int = BROADCAST_BYTES) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, n: int = N, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", limit: int = BROADCAST_BYTES, prefix: str = "") -> DataFrame:
     """docs with three more columns: ``hits`` (spans of words, from 0, that windows of items cover; they do not touch),
     ``items`` (ids, as strings, of the items that have a window there, sorted by bytes) and ``n_words``.
 
     Null texts have no words. Items of null id mark words, but are not listed; items that repeat an id are one item;
-    items without words have no windows. An empty table of items, or of documents, marks nothing. docs may not have
-    columns of these three names.
+    items without words have no windows. An empty table of items, or of documents, marks nothing. The three
+    names come after ``prefix`` and must be new: Spark tells no case of letters apart.
     """
-    taken = set(MARKS) & set(docs.columns)
+    taken = {f"{prefix}{c}".lower() for c in MARKS} & {c.lower() for c in docs.columns}
     if taken:
         raise ValueError(f"docs have columns {sorted(taken)}")
     spark = docs.sparkSession
@@ -206,7 +206,7 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = N, text_col: str =
         number = {x: i for i, x in enumerate(names)}
         listed = [(r["text"], number[x], r["begins"]) for r in mine for x in [*r["items"], *[None] * bool(r["unnamed"])]]
         windows = spark.sparkContext.broadcast(Windows(*([x[c] for x in listed] for c in range(3)), n))
-        rows = scan(rows, windows, names, text_col)
+        rows = scan(rows, windows, names, text_col, prefix)
         if part + 1 < parts:  # marks of one scan are what the next begins with
             rows = stash(rows, "marked")
             if before is not None:
@@ -227,10 +227,12 @@ def without_spans(text: str, hits: list[dict]) -> str:
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, whole: bool = False, text_col: str = "text", **how) -> DataFrame:
-    """docs without the documents that have a hit if ``whole``, else without the spans; other columns as they are."""
-    found = contamination(docs, items, text_col=text_col, **how)
+    """docs without the documents that have a hit if ``whole``, else without the spans; other columns as they are, whatever their
+    names."""
+    prefix = "marks of " + " ".join(docs.columns) + " "
+    found = contamination(docs, items, text_col=text_col, prefix=prefix, **how)
     if whole:
-        return found.where(F.size("hits") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
+        return found.where(F.size(F.col(f"`{prefix}hits`")) == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
     place, schema = docs.columns.index(text_col), docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -98,5 +98,10 @@ def test_spans_and_documents_go(spark, rows):
 
 def test_names_of_marks_are_taken(spark, rows):
     docs, items = tables(spark, rows)
+    clashing = docs.withColumnsRenamed({"start": "n_words", "item_id": "HITS"})
     with pytest.raises(ValueError, match="n_words"):
-        D.contamination(docs.withColumnRenamed("start", "n_words"), items)
+        D.contamination(clashing, items)
+    assert D.contamination(clashing, items, prefix="my ").columns[-3:] == ["my hits", "my items", "my n_words"]
+    for whole in (False, True):
+        kept = D.decontaminated(clashing, items, whole)
+        assert kept.columns == clashing.columns and kept.count() == D.decontaminated(docs, items, whole).count()
