@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tessella.operators.labelmaps import dilate
 
 
 def confusion(counts: DataFrame, classes: Sequence[int], keys: tuple[str, ...] = ("image_id",)) -> DataFrame:

@@ -8,7 +8,6 @@ from pyspark.sql.window import Window as W
 
 from tessella.operators import augment as U
 from tessella.operators import frames as R
-from tessella.operators import metrics as E
 from tessella.operators import sampling as V
 from tessella.operators.joins import ranked
 from tessella.plans.registry import query, rounded
