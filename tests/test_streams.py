@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.operators import frames as R
+from tessella.plans.catalog import QUERIES
 from tessella.streaming import frames as S
 
 SCHEMA = "seq string, frame long, hist array<long>, at timestamp"
@@ -51,3 +52,11 @@ def test_idle_sequences_leave(spark, stream, tmp_path):
     # the first sequence was forgotten, so its last frame is a first one again
     assert [r for r in got if r[0] == "a"] == [("a", 0, 0, True, 0), ("a", 45, 0, True, 0)]
     assert [r[4] for r in got if r[0] == "b"] == [0] * 4
+
+
+def test_steps_far_on_have_times_that_python_has(spark, tmp_path):
+    rows = [(10**9 + i, i % 2, float(i % 7)) for i in range(60)]
+    spark.createDataFrame(rows, "event_id long, user_id int, value double").write.parquet(str(tmp_path / "events.parquet"))
+    got = sorted(tuple(r) for r in QUERIES["t3_rolling_medians"](spark, str(tmp_path)).collect())
+    last = lambda n: sorted([v for i, u, v in rows[: n + 1] if u == n % 2][-20:])
+    assert got == [(i, last(n)[(len(last(n)) - 1) // 2]) for n, (i, _, _) in enumerate(rows)]
