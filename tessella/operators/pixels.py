@@ -72,7 +72,8 @@ def gaussian(size: int, sigma: float) -> list[float]:
 
 
 def blur(pixels: DataFrame, kernel: Sequence[float], height: int, width: int) -> DataFrame:
-    """Separable blur in two passes; the border reflects without repeating the edge."""
+    """Separable blur in two passes; the border reflects without repeating the edge. Pixels that an image lacks have no part in
+    it and get no value."""
     half = len(kernel) // 2
     offsets = F.array(*[F.struct(F.lit(i - half).alias("d"), F.lit(w).alias("w")) for i, w in enumerate(kernel)])
     for along, n in (("y", height), ("x", width)):
@@ -83,7 +84,9 @@ def blur(pixels: DataFrame, kernel: Sequence[float], height: int, width: int) ->
         keep = F.filter(F.transform(lands, lambda v, i: F.struct(v.alias("v"), i.alias("i"))), lambda s: (s["v"] >= 0) & (s["v"] < n) & ((s["i"] == 0) | ((s["i"] == 1) & (own > 0)) | ((s["i"] == 2) & (own < n - 1))))
         rows = pixels.withColumn("o", F.explode(offsets)).withColumn("t", F.explode(keep))
         rest = "x" if along == "y" else "y"
-        pixels = rows.groupBy("image_id", rest, F.col("t.v").alias(along)).agg(F.sum(F.col("val") * F.col("o.w")).alias("val")).select("image_id", "y", "x", "val")
+        own = (F.col("o.d") == 0) & (F.col("t.i") == 0)  # sent by the pixel itself, so it is there
+        sums = rows.groupBy("image_id", rest, F.col("t.v").alias(along)).agg(F.sum(F.col("val") * F.col("o.w")).alias("val"), F.max(own).alias("own"))
+        pixels = sums.where("own").select("image_id", "y", "x", "val")
     return pixels
 
 
