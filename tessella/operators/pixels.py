@@ -23,8 +23,10 @@ def sizes(pixels: DataFrame) -> DataFrame:
     return pixels.groupBy("image_id").agg((F.max("y") + 1).alias("height"), (F.max("x") + 1).alias("width"))
 
 
-def crop_to_grid(pixels: DataFrame, patch: int) -> DataFrame:
-    """Pixels of whole patches only."""
+def crop_to_grid(pixels: DataFrame, patch: int, size: tuple[int, int] | None = None) -> DataFrame:
+    """Pixels of whole patches only, in images of the given height and width, or of the size that their pixels take up."""
+    if size:
+        return pixels.where((F.col("y") < size[0] // patch * patch) & (F.col("x") < size[1] // patch * patch))
     g = geometry(sizes(pixels), patch).select("image_id", "height_pad", "width_pad")
     return pixels.join(g, "image_id").where("y < height_pad and x < width_pad").select(*pixels.columns)
 
