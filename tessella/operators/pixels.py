@@ -73,12 +73,12 @@ def gaussian(size: int, sigma: float) -> list[float]:
     return [x / sum(w) for x in w]
 
 
-def blur(pixels: DataFrame, kernel: Sequence[float], height: int, width: int) -> DataFrame:
-    """Separable blur in two passes; the border reflects without repeating the edge. Pixels that an image lacks have no part in
+def blur(pixels: DataFrame, kernel: Sequence[float], height: int, width: int, passes: str = "yx") -> DataFrame:
+    """Separable blur in two passes, in the given order; the border reflects without repeating the edge. Pixels that an image lacks have no part in
     it and get no value."""
     half = len(kernel) // 2
     offsets = F.array(*[F.struct(F.lit(i - half).alias("d"), F.lit(w).alias("w")) for i, w in enumerate(kernel)])
-    for along, n in (("y", height), ("x", width)):
+    for along, n in sorted((("y", height), ("x", width)), key=lambda p: passes.index(p[0])):
         # where a value lands: directly, and mirrored over either edge
         t = F.col(along) + F.col("o.d")
         lands = F.array(t, F.lit(0) - F.col(along) + F.col("o.d"), F.lit(2 * n - 2) - F.col(along) + F.col("o.d"))
@@ -144,8 +144,8 @@ def offline(pixels: DataFrame, height: int, width: int) -> DataFrame:
 
 
 def smooth(pixels: DataFrame, height: int, width: int, size: int = 3, sigma: float = 5.0) -> DataFrame:
-    """Whole values blurred by a kernel of the given size and deviation."""
-    return blur(pixels, gaussian(size, sigma), height, width).select("image_id", "y", "x", F.rint(F.round("val", 9)).cast("int").alias("val"))
+    """Whole values blurred by a kernel of the given size and deviation, rows first."""
+    return blur(pixels, gaussian(size, sigma), height, width, "xy").select("image_id", "y", "x", F.rint(F.round("val", 9)).cast("int").alias("val"))
 
 
 def preprocess(pixels: DataFrame, height: int, width: int, theta: float | None = None, clahe: bool = False, inverted: bool = False, norm: str = "none", moments: tuple[float, float] | None = None) -> DataFrame:
