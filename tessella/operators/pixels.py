@@ -216,12 +216,14 @@ def masked(pixels: DataFrame, mask: DataFrame) -> DataFrame:
     return pixels.join(m, ["image_id", "y", "x"], "left").select("image_id", "y", "x", F.when(F.col("inside"), F.col("val")).otherwise(0).alias("val"))
 
 
-def crop_borders(pixels: DataFrame, sequence: Column) -> DataFrame:
+def crop_borders(pixels: DataFrame, sequence: Column, size: tuple[int, int] | None = None, dark: bool = True) -> DataFrame:
     """Black borders cut alike from all images of a sequence: the least margin on each side of any of them. An
-    image without light pixels has margins of 0. Adds ``seq``."""
+    image without light pixels has margins of 0; without ``dark`` it has no say, and a sequence of such leaves nothing.
+    Images are of the given height and width, or of the size that their pixels take up. Adds ``seq``."""
     lit = F.col("val") > 0
-    ends = pixels.groupBy("image_id").agg(F.max("y").alias("ye"), F.max("x").alias("xe"), *[f(F.when(lit, F.col(c))).alias(f"{c}{n}") for c in ("y", "x") for n, f in ((0, F.min), (1, F.max))])
-    margins = ends.select("image_id", sequence.alias("seq"), F.coalesce("y0", F.lit(0)).alias("top"), F.coalesce(F.col("ye") - F.col("y1"), F.lit(0)).alias("bottom"), F.coalesce("x0", F.lit(0)).alias("left"), F.coalesce(F.col("xe") - F.col("x1"), F.lit(0)).alias("right"), "ye", "xe")
+    ends = pixels.groupBy("image_id").agg(*[(F.lit(size[i] - 1) if size else F.max(c)).alias(f"{c}e") for i, c in enumerate("yx")], *[f(F.when(lit, F.col(c))).alias(f"{c}{n}") for c in ("y", "x") for n, f in ((0, F.min), (1, F.max))])
+    margin = lambda c: F.coalesce(c, F.lit(0)) if dark else c
+    margins = ends.select("image_id", sequence.alias("seq"), margin(F.col("y0")).alias("top"), margin(F.col("ye") - F.col("y1")).alias("bottom"), margin(F.col("x0")).alias("left"), margin(F.col("xe") - F.col("x1")).alias("right"), "ye", "xe")
     least = margins.groupBy("seq").agg(*[F.min(c).alias(c) for c in ("top", "bottom", "left", "right")])
     both = margins.select("image_id", "seq", "ye", "xe").join(least, "seq")
     return pixels.join(both, "image_id").where("y >= top and y <= ye - bottom and x >= left and x <= xe - right").select("image_id", "seq", (F.col("y") - F.col("top")).alias("y"), (F.col("x") - F.col("left")).alias("x"), "val")
