@@ -104,9 +104,10 @@ def soft(rows: DataFrame, v: Views) -> DataFrame:
     return out
 
 
-def augmented(pixels: DataFrame, v: Views = Views(), blurred: bool = True) -> DataFrame:
-    """image_id, view, y, x, r, g, b (0 to 1) of all views of images (image_id, y, x, r, g, b from 0 to 255)."""
-    images = pixels.groupBy("image_id").agg((F.max("y") + 1).alias("height"), (F.max("x") + 1).alias("width"))
+def augmented(pixels: DataFrame, v: Views = Views(), blurred: bool = True, size: tuple[int, int] | None = None) -> DataFrame:
+    """image_id, view, y, x, r, g, b (0 to 1) of all views of images (image_id, y, x, r, g, b from 0 to 255) of the given height
+    and width, or of the size that their pixels take up. Where an image has no pixel its views have none."""
+    images = pixels.groupBy("image_id").agg(*[(F.lit(size[i]) if size else F.max(c) + 1).alias(name) for i, (c, name) in enumerate((("y", "height"), ("x", "width")))])
     plan = plans(images, v)
     along = lambda name: F.explode(F.sequence(F.lit(0), F.col("side") - 1)).alias(name)
     out = plan.select("*", along("oy")).select("*", along("ox"))
