@@ -16,7 +16,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.sources.store import dropped, settled
+from tessella.sources.store import dropped, shuffled
 
 #: A lattice's unit, as a share of its kernel's standard deviation, and how many deviations the kernel reaches.
 UNIT, REACH = 0.6, 3.5
@@ -107,13 +107,13 @@ def refined(labels: DataFrame, pixels: DataFrame, n_labels: int, kernels: tuple[
     total = sum(k.weight for k in kernels)
     doubt = math.log(certain) - math.log((1 - certain) / max(n_labels - 1, 1))
     unary = F.transform(F.sequence(F.lit(0), F.lit(n_labels - 1)), lambda n: F.when(n == F.col("label"), doubt).otherwise(0.0))
-    rows = settled(labels.join(pixels, keys).select(*keys, F.col("val").cast("double").alias("val"), unary.alias("unary")), "field")
+    rows = shuffled(labels.hint("merge").join(pixels, keys).select(*keys, F.col("val").cast("double").alias("val"), unary.alias("unary")), "field")
     norm = messages(rows.withColumn("m", F.array(F.lit(1.0))), kernels, 1)
-    rows = settled(rows.join(norm, keys).select(*keys, "val", "unary", F.sqrt(F.greatest(F.col("got")[0], F.lit(1e-20))).alias("root"), softmax(F.col("unary")).alias("q")), "field")
+    rows = shuffled(rows.join(norm, keys).select(*keys, "val", "unary", F.sqrt(F.greatest(F.col("got")[0], F.lit(1e-20))).alias("root"), softmax(F.col("unary")).alias("q")), "field")
     for _ in range(iterations):
-        sent = settled(rows.withColumn("m", F.transform("q", lambda q: q / F.col("root"))), "sent")
+        sent = shuffled(rows.withColumn("m", F.transform("q", lambda q: q / F.col("root"))), "sent")
         got = messages(sent, kernels, n_labels)
         scores = F.transform(F.arrays_zip("unary", "got"), lambda z: z["unary"] + total * z["got"] / F.col("root"))
-        before, rows = rows, settled(sent.join(got, keys).withColumn("scores", scores).select(*keys, "val", "unary", "root", softmax(F.col("scores")).alias("q")), "field")
+        before, rows = rows, shuffled(sent.join(got, keys).withColumn("scores", scores).select(*keys, "val", "unary", "root", softmax(F.col("scores")).alias("q")), "field")
         dropped(before, sent)
     return rows.select(*keys, (F.array_position("q", F.array_max("q")) - 1).cast("int").alias("label"))

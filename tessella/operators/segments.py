@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tessella.operators.labelmaps import dilate, erode
 from tessella.operators.patches import normalised
-from tessella.sources.store import dropped, settled
+from tessella.sources.store import dropped, settled, shuffled
 
 
 def boxes(labels: DataFrame, height: int, width: int, patch: int = 1, erosions: int = 0, dilations: int = 0, skip_background: bool = True) -> DataFrame:
@@ -61,23 +61,23 @@ def linked(edges: DataFrame) -> DataFrame:
     then edges within what has joined go and the rest are between fewer parts, a third on a long path. Hashes are new
     in every round. Lineage ends with each round's tables.
     """
-    left = settled(edges.select("image_id", "a", "b"), "links")
-    names = settled(left.select("image_id", F.explode(F.array("a", "b")).alias("part")).distinct().withColumn("component", F.col("part")), "parts")
+    left = shuffled(edges.select("image_id", "a", "b"), "links")
+    names = shuffled(left.select("image_id", F.explode(F.array("a", "b")).alias("part")).distinct().withColumn("component", F.col("part")), "parts")
     number = 0
     while left.limit(1).count():
         number += 1
         both = left.select("image_id", F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("image_id", "e.a", "e.b")
         place = lambda c: F.struct(F.xxhash64("image_id", c, F.lit(number)), c)  # noqa: B023, E731
         best = both.groupBy("image_id", "a").agg(F.min_by("b", place("b")).alias("b"))
-        to = settled(best.select("image_id", "a", F.when(place("b") < place("a"), F.col("b")).otherwise(F.col("a")).alias("to")), "joined")
+        to = shuffled(best.select("image_id", "a", F.when(place("b") < place("a"), F.col("b")).otherwise(F.col("a")).alias("to")), "joined")
         for _ in range(3):
             before = to
-            to = settled(to.join(before.select("image_id", F.col("a").alias("to"), F.col("to").alias("further")), ["image_id", "to"]).select("image_id", "a", F.col("further").alias("to")), "joined")
+            to = shuffled(to.join(before.select("image_id", F.col("a").alias("to"), F.col("to").alias("further")), ["image_id", "to"]).select("image_id", "a", F.col("further").alias("to")), "joined")
             dropped(before)
         used = left, names, to
         ends = left.join(to, ["image_id", "a"]).select("image_id", F.col("to").alias("c"), F.col("b").alias("a")).join(to, ["image_id", "a"])
-        left = settled(ends.select("image_id", F.col("c").alias("a"), F.col("to").alias("b")).where("a <> b").distinct(), "links")
-        names = settled(names.join(to.select("image_id", F.col("a").alias("component"), "to"), ["image_id", "component"], "left").select("image_id", "part", F.coalesce("to", "component").alias("component")), "parts")
+        left = shuffled(ends.select("image_id", F.col("c").alias("a"), F.col("to").alias("b")).where("a <> b").distinct(), "links")
+        names = shuffled(names.join(to.select("image_id", F.col("a").alias("component"), "to"), ["image_id", "component"], "left").select("image_id", "part", F.coalesce("to", "component").alias("component")), "parts")
         dropped(*used)
     least = names.groupBy("image_id", "component").agg(F.min("part").alias("least"))
     return names.join(least, ["image_id", "component"]).select("image_id", "part", F.col("least").alias("component"))
@@ -108,7 +108,7 @@ def runs(mask: DataFrame, diagonals: bool = True, strip: int = STRIP) -> DataFra
         return pa.table({"image_id": pa.array([key[0].as_py()] * len(at), table.schema.field("image_id").type), "strip": pa.array(np.full(len(at), key[1].as_py()), pa.int32()), **{c: pa.array(v.astype(np.int32)) for c, v in zip(("label", "y", "x", "last", "py", "px"), out, strict=True)}})
 
     found = rows.groupBy("image_id", "strip").applyInArrow(run, f"image_id {kind}, strip int, label int, y int, x int, last int, py int, px int")
-    found = settled(found.select("image_id", "strip", "label", "y", "x", "last", F.struct(F.col("py").alias("y"), F.col("px").alias("x")).alias("part")), "runs")
+    found = shuffled(found.select("image_id", "strip", "label", "y", "x", "last", F.struct(F.col("py").alias("y"), F.col("px").alias("x")).alias("part")), "runs")
     below = found.where(F.col("strip") == own).select("image_id", "y", "x", F.col("part").alias("a"))
     above = found.where(F.col("strip") < own).select("image_id", "y", "x", F.col("part").alias("b"))
     names = linked(below.join(above, ["image_id", "y", "x"]).where("a <> b").select("image_id", "a", "b").distinct())
