@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.operators.segments import filled, runs
-from tessella.sources.store import dropped, settled
+from tessella.sources.store import dropped, shuffled
 
 
 def grid(pixels: DataFrame, n_segments: int) -> DataFrame:
@@ -55,22 +55,22 @@ def whole(labels: DataFrame) -> DataFrame:
     """A label map in which every label is one connected part (by sides): of each label the largest part stays, the first of
     equals; others take, round by round, the label that they share the longest border with, the lower of equals. What
     touches nothing stays."""
-    parts = settled(runs(labels, diagonals=False), "parts")
+    parts = shuffled(runs(labels, diagonals=False), "parts")
     size = parts.groupBy("image_id", "label", "component").agg(F.sum(F.col("last") - F.col("x") + 1).alias("n"))
     main = size.groupBy("image_id", "label").agg(F.min_by("component", F.struct(-F.col("n"), F.col("component"))).alias("main"))
     names = size.join(main, ["image_id", "label"]).select("image_id", "component", "label", (F.col("component") == F.col("main")).alias("done"))
-    names = settled(names, "names")
+    names = shuffled(names, "names")
     pixels = filled(parts, "component")
     offset = F.explode(F.array(F.struct(F.lit(1).alias("dy"), F.lit(0).alias("dx")), F.struct(F.lit(0).alias("dy"), F.lit(1).alias("dx"))))
     sent = pixels.withColumn("o", offset).select("image_id", (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"), F.col("component").alias("b"))
     border = pixels.withColumnRenamed("component", "a").join(sent, ["image_id", "y", "x"]).where("a <> b").groupBy("image_id", "a", "b").agg(F.count("*").alias("n"))
     both = border.unionByName(border.select("image_id", F.col("b").alias("a"), F.col("a").alias("b"), "n"))
     loose = names.where("not done").select("image_id", F.col("component").alias("a"))
-    border = settled(both.join(loose, ["image_id", "a"], "left_semi"), "border")
+    border = shuffled(both.join(loose, ["image_id", "a"], "left_semi"), "border")
     while names.where("not done").limit(1).count():
         near = border.join(names.where("done").select("image_id", F.col("component").alias("b"), "label"), ["image_id", "b"]).groupBy("image_id", "a", "label").agg(F.sum("n").alias("n"))
         adopted = near.groupBy("image_id", F.col("a").alias("component")).agg(F.min_by("label", F.struct(-F.col("n"), F.col("label"))).alias("by"))
-        new = settled(names.join(adopted, ["image_id", "component"], "left").select("image_id", "component", F.when(~F.col("done") & F.col("by").isNotNull(), F.col("by")).otherwise(F.col("label")).alias("label"), F.col("done").alias("was"), (F.col("done") | F.col("by").isNotNull()).alias("done")), "names")
+        new = shuffled(names.join(adopted, ["image_id", "component"], "left").select("image_id", "component", F.when(~F.col("done") & F.col("by").isNotNull(), F.col("by")).otherwise(F.col("label")).alias("label"), F.col("done").alias("was"), (F.col("done") | F.col("by").isNotNull()).alias("done")), "names")
         dropped(names)
         names = new
         if not new.where("done and not was").limit(1).count():
@@ -80,14 +80,14 @@ def whole(labels: DataFrame) -> DataFrame:
 
 def superpixels(pixels: DataFrame, n_segments: int = 15, compactness: float = 0.1, iterations: int = 10) -> DataFrame:
     """Label map (image_id, y, x, label) of superpixels of images (image_id, y, x, val from 0 to 255): see the module."""
-    rows = settled(pixels.select("image_id", "y", "x", "val"), "pixels")
-    centres = settled(grid(rows, n_segments), "centres")
+    rows = shuffled(pixels.select("image_id", "y", "x", "val"), "pixels")
+    centres = shuffled(grid(rows, n_segments), "centres")
     rows = rows.withColumn("label", F.lit(0))
     for i in range(iterations):
-        new = settled(assigned(rows, centres, compactness), "assigned")
+        new = shuffled(assigned(rows, centres, compactness), "assigned")
         if i:
             dropped(rows)
         rows, before = new, centres
-        centres = settled(moved(centres, rows), "centres")
+        centres = shuffled(moved(centres, rows), "centres")
         dropped(before)
     return whole(rows.select("image_id", "y", "x", "label"))

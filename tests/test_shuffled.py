@@ -3,10 +3,11 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.operators import randomfield, segments
+from tessella.operators import randomfield, segments, superpixels
 
 WORK = {
     "c14_crf": (randomfield, lambda p: randomfield.refined(p.select("image_id", "y", "x", (F.col("x") % 3).alias("label")), p, 3, iterations=1)),
+    "c15_slic": (superpixels, lambda p: superpixels.superpixels(p, 4, iterations=2)),
 }
 
 
