@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tessella.operators.segments import linked
-from tessella.sources.store import dropped, settled
+from tessella.sources.store import dropped, shuffled
 
 #: Edges of an image that a task takes one after the other, when rounds have left no more.
 FEW = 4096
@@ -42,9 +42,9 @@ def decided(edges: DataFrame, parts: DataFrame, joins: Column, never: Column) ->
     both = edges.select("image_id", "e", F.explode(F.array(F.struct(F.col("a").alias("part"), F.col("b").alias("to")), F.struct(F.col("b").alias("part"), F.col("a").alias("to")))).alias("p")).select("image_id", "e", "p.*")
     known = both.groupBy("image_id", "part").agg(F.min("e").alias("least"))
     other = both.join(known.select("image_id", "part", "least"), ["image_id", "part"]).where("e > least").groupBy("image_id", "part").agg(F.min("e").alias("second"))
-    known = settled(known.join(other, ["image_id", "part"], "left").join(parts, ["image_id", "part"]), "lightest")
+    known = shuffled(known.join(other, ["image_id", "part"], "left").join(parts, ["image_id", "part"]), "lightest")
     beyond = known.select("image_id", F.col("part").alias("to"), *[F.col(c).alias(f"to_{c}") for c in ("size", "inner", "least", "second")])
-    seen = settled(both.join(known.drop("second"), ["image_id", "part"]).join(beyond, ["image_id", "to"]), "seen")
+    seen = shuffled(both.join(known.drop("second"), ["image_id", "part"]).join(beyond, ["image_id", "to"]), "seen")
     larger = F.struct("size", "part") > F.struct(F.col("to_size").alias("size"), F.col("to").alias("part"))
     hubs = seen.where((F.col("e") == F.col("least")) & (F.col("e") == F.col("to_least")) & larger).select("image_id", "part")
     line = W.partitionBy("image_id", "part").orderBy("e")
@@ -53,7 +53,7 @@ def decided(edges: DataFrame, parts: DataFrame, joins: Column, never: Column) ->
     own = own.select("*", (F.col("size") + F.coalesce(F.sum("to_size").over(before), F.lit(0).cast("long"))).alias("hub_size"), F.coalesce(F.lag("e.weight").over(line), "inner").alias("hub_inner"), F.min("to_second").over(before).alias("bound"))
     fine = (F.col("e") == F.col("to_least")) & (F.col("bound").isNull() | (F.col("e") < F.col("bound"))) & joins
     own = own.withColumn("fine", fine).withColumn("taken", F.min("fine").over(line.rowsBetween(W.unboundedPreceding, 0))).where("taken")
-    merged = settled(own.select("image_id", "part", "to", (F.col("hub_size") + F.col("to_size")).alias("size"), F.col("e.weight").alias("inner")), "merged")
+    merged = shuffled(own.select("image_id", "part", "to", (F.col("hub_size") + F.col("to_size")).alias("size"), F.col("e.weight").alias("inner")), "merged")
     gone = merged.select("image_id", F.col("to").alias("old"), F.col("part").alias("new"))
     left = seen.where(~never & (F.col("part") < F.col("to"))).select("image_id", F.col("part").alias("a"), F.col("to").alias("b"), "e")
     for end in ("a", "b"):
@@ -62,7 +62,7 @@ def decided(edges: DataFrame, parts: DataFrame, joins: Column, never: Column) ->
     grown = merged.groupBy("image_id", "part").agg(F.max("size").alias("s"), F.max("inner").alias("i"))
     stay = parts.join(gone.select("image_id", F.col("old").alias("part")), ["image_id", "part"], "left_anti").join(grown, ["image_id", "part"], "left")
     stay = stay.select("image_id", "part", F.coalesce("s", "size").alias("size"), F.coalesce("i", "inner").alias("inner"))
-    out = settled(left, "edges"), settled(stay, "parts"), merged.select("image_id", F.col("part").alias("a"), F.col("to").alias("b"))
+    out = shuffled(left, "edges"), shuffled(stay, "parts"), merged.select("image_id", F.col("part").alias("a"), F.col("to").alias("b"))
     dropped(known, seen)
     return out
 
@@ -104,12 +104,12 @@ def finished(edges: DataFrame, parts: DataFrame, fits: Fits) -> DataFrame:
 def rounds(edges: DataFrame, parts: DataFrame, joins: Column, never: Column, fits: Fits) -> DataFrame | None:
     """All that is joined, by as many rounds as leave no image more than ``FEW`` edges; these are then gone through."""
     done: list[DataFrame] = []
-    edges, parts = settled(edges, "edges"), settled(parts, "parts")
+    edges, parts = shuffled(edges, "edges"), shuffled(parts, "parts")
     while edges.limit(1).count():
         few = edges.groupBy("image_id").agg(F.count("*").alias("n")).where(F.col("n") <= FEW).select("image_id")
-        done.append(settled(finished(edges.join(few, "image_id", "left_semi"), parts, fits), "merged"))
+        done.append(shuffled(finished(edges.join(few, "image_id", "left_semi"), parts, fits), "merged"))
         before = edges, parts
-        edges, parts, merged = decided(edges.join(few, "image_id", "left_anti"), parts, joins, never)
+        edges, parts, merged = decided(edges.join(few, "image_id", "left_anti").hint("merge"), parts, joins, never)
         dropped(*before)
         done.append(merged)
     return reduce(DataFrame.unionByName, done) if done else None
@@ -128,17 +128,17 @@ def graph_segments(pixels: DataFrame, scale: float = 1.0, min_size: int = 20) ->
     touch by sides are joined along edges of their difference; then parts under ``min_size`` join along their lightest
     edges."""
     place = F.struct("y", "x")
-    rows = settled(pixels.select("image_id", "y", "x", (F.col("val") / 255.0).alias("val")), "pixels")
+    rows = shuffled(pixels.select("image_id", "y", "x", (F.col("val") / 255.0).alias("val")), "pixels")
     names = rows.select("image_id", "y", "x", place.alias("part"))
     offset = F.explode(F.array(F.struct(F.lit(1).alias("dy"), F.lit(0).alias("dx")), F.struct(F.lit(0).alias("dy"), F.lit(1).alias("dx"))))
     sent = rows.withColumn("o", offset).select("image_id", place.alias("a"), F.col("val").alias("other"), (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"))
     met = rows.join(sent, ["image_id", "y", "x"]).select("image_id", "a", place.alias("b"), F.abs(F.col("val") - F.col("other")).alias("weight"))
-    edges = settled(met.select("image_id", "a", "b", F.struct("weight", F.xxhash64("a", "b").alias("order"), "a", "b").alias("e")), "edges")
+    edges = shuffled(met.select("image_id", "a", "b", F.struct("weight", F.xxhash64("a", "b").alias("order"), "a", "b").alias("e")), "edges")
     allowed = lambda inner, size: F.col(inner) + scale / F.col(size)
     parts = names.select("image_id", "part", F.lit(1).cast("long").alias("size"), F.lit(0.0).alias("inner"))
     fits = F.col("e.weight") <= F.least(allowed("hub_inner", "hub_size"), allowed("to_inner", "to_size"))
     joined = rounds(edges, parts, fits, (F.col("least.weight") > allowed("inner", "size")) | (F.col("to_least.weight") > allowed("to_inner", "to_size")), lambda w, s, i, t, j: w <= min(i + scale / s, j + scale / t))
-    names = settled(renamed(names, joined), "names")
+    names = shuffled(renamed(names, joined), "names")
     own = names.select("image_id", place.alias("p"), "part")
     left = edges.join(own.select("image_id", F.col("p").alias("a"), F.col("part").alias("ra")), ["image_id", "a"]).join(own.select("image_id", F.col("p").alias("b"), F.col("part").alias("rb")), ["image_id", "b"])
     left = left.where("ra <> rb").groupBy("image_id", F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).agg(F.min("e").alias("e"))
@@ -147,6 +147,6 @@ def graph_segments(pixels: DataFrame, scale: float = 1.0, min_size: int = 20) ->
     near = left.join(small.withColumnRenamed("part", "a"), ["image_id", "a"], "left_semi").unionByName(left.join(small.withColumnRenamed("part", "b"), ["image_id", "b"], "left_semi")).distinct()
     is_small = lambda c: F.least(c, "to_size") < min_size
     joined = rounds(near, size.withColumn("inner", F.lit(0.0)), is_small("hub_size"), ~is_small("size"), lambda w, s, i, t, j: min(s, t) < min_size) if small.limit(1).count() else None
-    names = renamed(names, joined)
+    names = shuffled(renamed(names, joined), "names")
     number = names.select("image_id", "part").distinct().withColumn("label", (F.row_number().over(W.partitionBy("image_id").orderBy("part")) - 1).cast("int"))
     return names.join(number, ["image_id", "part"]).select("image_id", "y", "x", "label")
