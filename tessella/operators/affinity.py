@@ -50,7 +50,7 @@ def measured(patches: DataFrame, distance: Measure, beta: float | None = None) -
 
 
 #: Patches of an image that one task compares with all of the image's; numbers of a matrix that it holds at a time.
-BLOCK, MATRIX = 4096, 1 << 20
+BLOCK, MATRIX = 8192, 1 << 20
 
 Compare = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], Iterator[tuple[np.ndarray, ...]]]
 
@@ -115,8 +115,8 @@ def information(patches: DataFrame, beta: float | None = None, natural: bool = F
     return out if beta is None else out.withColumn("w", V.affinity(F.col("w"), beta))
 
 
-#: Patches of a cell of the neighbour index.
-CELL = 24
+#: Patches of a cell of the neighbour index, and cells that are opened at once after the first.
+CELL, STEP = 24, 8
 
 
 def cells(x: np.ndarray, size: int = CELL) -> list[np.ndarray]:
@@ -151,17 +151,17 @@ def closest(a: np.ndarray, b: np.ndarray, k: int) -> Iterator[tuple[np.ndarray,
     known = cells(b)
     low, high = (np.array([f(b[c], axis=0) for c in known]) for f in (np.min, np.max))
     size = np.array([len(c) for c in known])
-    for rows in cells(a):
+    for rows in known if len(a) == len(b) and (a == b).all() else cells(a):
         part = a[rows]
         gap = np.maximum(np.maximum(low - part.max(0), part.min(0) - high), 0)
         bound = (gap * gap).sum(1)
         order = np.argsort(bound, kind="stable")
         far = bound[order]
-        take, step = int(np.searchsorted(np.cumsum(size[order]), k)) + 1, 1
+        take, step = int(np.searchsorted(np.cumsum(size[order]), k)) + 1, STEP
         near, d, opened = np.zeros(0, np.int64), np.zeros((len(rows), 0)), 0
         while True:
             new = np.concatenate([known[c] for c in order[opened:take]])
-            near, d, opened = np.r_[near, new], np.hstack([d, squares(part, b[new])]), take
+            near, d, opened = np.concatenate([near, new]), np.concatenate([d, squares(part, b[new])], axis=1), take
             worst = np.partition(d, k - 1, axis=1)[:, k - 1]
             if opened == len(order) or far[opened] > worst.max() + 1e-9:
                 break
@@ -186,13 +186,21 @@ def nearest(patches: DataFrame, features: Column, k: int) -> DataFrame:
 
 
 def neighbour_counts(patches: DataFrame, features: Callable[[float], Column], scales: Sequence[tuple[int, float]]) -> DataFrame:
-    """w: how often i and j are neighbours of each other over all (k, distance weight) scales."""
-    edges = None
-    for k, weight in scales:
-        one = nearest(patches, features(weight), k)
-        both = one.unionByName(one.select("image_id", F.col("j").alias("i"), F.col("i").alias("j")))
-        edges = both if edges is None else edges.unionByName(both)
-    return edges.groupBy("image_id", "i", "j").agg(F.count("*").alias("w"))
+    """w: how often i and j are neighbours of each other over all (k, distance weight) scales. A block finds its neighbours of
+    all scales, and counts both directions of each edge, where it is; blocks are summed. ``features`` are as many at any weight."""
+
+    def compare(i: np.ndarray, a: np.ndarray, j: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        size, width = int(j[-1]) + 1, b.shape[1] // len(scales)
+        found = []
+        for n, (k, _) in enumerate(scales):
+            part = slice(n * width, (n + 1) * width)
+            for row, at, *_ in closest(a[:, part], b[:, part], k):
+                found += [i[row] * size + j[at], j[at] * size + i[row]]
+        code, w = np.unique(np.concatenate(found), return_counts=True)
+        yield code // size, code % size, w
+
+    rows = patches.select("image_id", "p", F.concat(*[features(weight) for _, weight in scales]).alias("k"))
+    return blocked(rows, compare, "long").groupBy("image_id", "i", "j").agg(F.sum("w").alias("w"))
 
 
 def appearance(weight: float) -> Column:
