@@ -25,6 +25,19 @@ CHUNK, TILE = 1024, 1024
 #: Length under which a vector counts as within the basis, and share of a unit square that new directions have at least.
 NOTHING, ALIKE = 1e-11, 1e-8
 
+
+
+def beside(df: DataFrame) -> DataFrame:
+    """df, a table of nodes, to be joined by a shuffle: it is never sent to the driver to be broadcast, however small it is."""
+    return df.hint("merge")
+
+
+def common(df: DataFrame, name: str) -> DataFrame:
+    """What is common to a graph (g, m), as ``name``, for a join with its rows: a few KB a graph, which are broadcast, so that the rows
+    of one graph stay in many tasks."""
+    return F.broadcast(df.withColumnRenamed("m", name))
+
+
 #: Products (g, i, u) with vectors (g, i, v), both arrays.
 Product = Callable[[DataFrame], DataFrame]
 
@@ -33,7 +46,7 @@ def edge_product(edges: DataFrame, width: int) -> Product:
     """Products of the matrices of edges (g, i, j, w) with ``width`` vectors."""
 
     def times(vectors: DataFrame) -> DataFrame:
-        sent = edges.join(vectors.withColumnRenamed("i", "j"), ["g", "j"])
+        sent = edges.join(beside(vectors.withColumnRenamed("i", "j")), ["g", "j"])
         return sent.groupBy("g", "i").agg(F.array(*[F.sum(F.col("w") * F.col("v")[c]) for c in range(width)]).alias("u"))
 
     return times
@@ -44,7 +57,7 @@ def kernel_product(features: DataFrame, gamma: float, width: int, tile: int = TI
     a group, and no pair of features is ever a row."""
     kind = dict(features.dtypes)["g"]
     count = features.groupBy("g").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
-    dealt = features.join(count, "g").select("g", "i", "x", "tiles", F.pmod(F.xxhash64("i"), "tiles").cast("int").alias("own"))
+    dealt = features.join(F.broadcast(count), "g").select("g", "i", "x", "tiles", F.pmod(F.xxhash64("i"), "tiles").cast("int").alias("own"))
     every = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
 
     def matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -61,7 +74,7 @@ def kernel_product(features: DataFrame, gamma: float, width: int, tile: int = TI
 
     def times(vectors: DataFrame) -> DataFrame:
         left = dealt.select("g", F.col("own").alias("a"), every.alias("b"), "i", "x").toDF("g", "a", "b", "i", "x")  # new names, as both sides are of the same table
-        right = dealt.join(vectors.toDF("g", "i", "v"), ["g", "i"]).select("g", every.alias("a"), F.col("own").alias("b"), "x", "v").toDF("g", "a", "b", "x", "v")
+        right = dealt.join(beside(vectors.toDF("g", "i", "v")), ["g", "i"]).select("g", every.alias("a"), F.col("own").alias("b"), "x", "v").toDF("g", "a", "b", "x", "v")
         parts = left.groupBy("g", "a", "b").cogroup(right.groupBy("g", "a", "b")).applyInArrow(multiply, f"g {kind}, i long, p array<double>")
         return parts.groupBy("g", "i").agg(F.array(*[F.sum(F.col("p")[c]) for c in range(width)]).alias("u"))
 
@@ -146,10 +159,10 @@ def largest(nodes: DataFrame, times: Callable[[int], Product], k: int, tolerance
     square = lambda x, m: x.reshape(-1, m)
     for _ in range(2):  # twice, as the first time leaves errors of the start's condition
         scale = summed(first, lambda n, q: square(q, b).T @ square(q, b), ("q",), lambda m: unit(m.reshape(b, b)))
-        first = settled(mapped(first.join(scale, "g"), lambda n, q, m: (square(q, b) @ m.reshape(b, b),), ("q", "m"), ("q",)), "start")
+        first = settled(mapped(first.join(common(scale, "m"), "g"), lambda n, q, m: (square(q, b) @ m.reshape(b, b),), ("q", "m"), ("q",)), "start")
 
     def with_products(rows: DataFrame, new: str) -> DataFrame:
-        return rows.join(packed(product(opened(rows, new, b)), "u").drop("nodes"), ["g", "chunk"], "left")
+        return rows.join(beside(packed(product(opened(rows, new, b)), "u").drop("nodes")), ["g", "chunk"], "left")
 
     rows = settled(with_products(first, "q").select("g", "chunk", "nodes", "q", F.col("u").alias("s")), "basis")
     m, newest = b, slice(0, b)
@@ -174,11 +187,11 @@ def largest(nodes: DataFrame, times: Callable[[int], Product], k: int, tolerance
 
             ritz = settled(summed(rows, inner, ("q", "s"), solve), "ritz")
             turned = lambda n, q, s, r, m=m, keep=keep: (square(q, m) @ r.reshape(m + 1, keep)[1:], square(s, m) @ r.reshape(m + 1, keep)[1:])
-            before, rows = rows, settled(mapped(rows.join(ritz.withColumnRenamed("m", "r"), "g"), turned, ("q", "s", "r"), ("q", "s")), "basis")
+            before, rows = rows, settled(mapped(rows.join(common(ritz, "r"), "g"), turned, ("q", "s", "r"), ("q", "s")), "basis")
             dropped(before)
             m, newest = keep, slice(max(keep - b, 0), keep)  # residuals all lie in the span of those of the last
             off = lambda n, q, s, r, m=m: np.nansum((square(s, m) - square(q, m) * r[:m])[:, :k] ** 2, axis=0)
-            left = summed(rows.join(ritz.withColumnRenamed("m", "r"), "g"), off, ("q", "s", "r"), np.sqrt)
+            left = summed(rows.join(common(ritz, "r"), "g"), off, ("q", "s", "r"), np.sqrt)
             if (left.agg(F.max(F.array_max("m"))).first()[0] or 0.0) <= tolerance or step == steps - 1:
                 values = ritz.select("g", F.slice("m", 1, k).alias("values"))
                 return values, opened(mapped(rows, lambda n, q, m=m: (square(q, m)[:, :k],), ("q",), ("v",)), "v", k)
@@ -201,12 +214,12 @@ def largest(nodes: DataFrame, times: Callable[[int], Product], k: int, tolerance
             q, c = square(q, m), c.reshape(m + b, b)
             return ((square(s, m)[:, newest] - q @ (h.reshape(m, b) + c[:m])) @ c[m:],)
 
-        with_h = settled(rows.join(h.withColumnRenamed("m", "h"), "g"), "projected")
+        with_h = settled(rows.join(common(h, "h"), "g"), "projected")
         c = summed(with_h, again, ("q", "s", "h"), finish)
-        new = settled(mapped(with_h.join(c.withColumnRenamed("m", "c"), "g"), grow, ("q", "s", "h", "c"), ("new",)), "new")
-        both = rows.join(with_products(new, "new").drop("nodes"), ["g", "chunk"])
-        beside = lambda n, q, s, v, u, m=m: (np.hstack([square(q, m), square(v, b)]), np.hstack([square(s, m), square(u, b)]))
-        before, rows = rows, settled(mapped(both, beside, ("q", "s", "new", "u"), ("q", "s")), "basis")
+        new = settled(mapped(with_h.join(common(c, "c"), "g"), grow, ("q", "s", "h", "c"), ("new",)), "new")
+        both = rows.join(beside(with_products(new, "new").drop("nodes")), ["g", "chunk"])
+        wider = lambda n, q, s, v, u, m=m: (np.hstack([square(q, m), square(v, b)]), np.hstack([square(s, m), square(u, b)]))
+        before, rows = rows, settled(mapped(both, wider, ("q", "s", "new", "u"), ("q", "s")), "basis")
         dropped(before, with_h, new)
         newest, m = slice(m, m + b), m + b
     raise AssertionError("steps end with a return")
@@ -216,10 +229,10 @@ def normalised_laplacian(edges: DataFrame, k: int, **how) -> tuple[DataFrame, Da
     """The k smallest eigenvalues (g, values: ascending) and eigenvectors (g, i, v) of (D - W) v = lambda D v for the graphs of
     edges (g, i, j, w), from the largest of D^-1/2 W D^-1/2; a degree of 0 counts as 1, and v' D v is 1."""
     degree = settled(edges.groupBy("g", "i").agg(F.sum("w").alias("d")).select("g", "i", F.when(F.col("d") < 1e-12, 1.0).otherwise(F.col("d")).alias("d")), "degrees")
-    scaled = edges.join(degree, ["g", "i"]).join(degree.select("g", F.col("i").alias("j"), F.col("d").alias("e")), ["g", "j"])
+    scaled = edges.join(beside(degree), ["g", "i"]).join(beside(degree.select("g", F.col("i").alias("j"), F.col("d").alias("e"))), ["g", "j"])
     scaled = settled(scaled.select("g", "i", "j", (F.col("w") / F.sqrt(F.col("d") * F.col("e"))).alias("w")), "scaled")
     values, vectors = largest(degree.select("g", "i"), lambda b: edge_product(scaled, b), k, **how)
-    own = vectors.join(degree, ["g", "i"]).select("g", "i", F.transform(F.arrays_zip("v", F.array_repeat(F.sqrt("d"), k).alias("r")), lambda x: x["v"] / x["r"]).alias("v"))
+    own = vectors.join(beside(degree), ["g", "i"]).select("g", "i", F.transform(F.arrays_zip("v", F.array_repeat(F.sqrt("d"), k).alias("r")), lambda x: x["v"] / x["r"]).alias("v"))
     return values.select("g", F.transform("values", lambda x: 1 - x).alias("values")), own
 
 
@@ -257,10 +270,10 @@ def rbf_clusters(features: DataFrame, k: int, gamma: float = 1.0, **how) -> Data
     def times(b: int) -> Product:
         kernel = kernel_product(rows, gamma, b)
         over = lambda name: F.transform(F.arrays_zip(F.col(name).alias("x"), F.array_repeat("root", b).alias("r")), lambda x: x["x"] / x["r"])
-        return lambda v: kernel(v.join(degree, ["g", "i"]).select("g", "i", over("v").alias("v"))).join(degree, ["g", "i"]).select("g", "i", over("u").alias("u"))
+        return lambda v: kernel(v.join(beside(degree), ["g", "i"]).select("g", "i", over("v").alias("v"))).join(beside(degree), ["g", "i"]).select("g", "i", over("u").alias("u"))
 
     _, vectors = largest(degree.select("g", "i"), times, k, **how)
-    scaled = settled(vectors.join(degree, ["g", "i"]).select("g", "i", F.transform(F.arrays_zip("v", F.array_repeat("root", k).alias("r")), lambda x: x["v"] / x["r"]).alias("v")), "embedding")
+    scaled = settled(vectors.join(beside(degree), ["g", "i"]).select("g", "i", F.transform(F.arrays_zip("v", F.array_repeat("root", k).alias("r")), lambda x: x["v"] / x["r"]).alias("v")), "embedding")
     chosen = pivots(scaled.select("i", "v"), k)
     u, _, w = np.linalg.svd(np.array([v for _, v in chosen]).T)
     turn = (u[:, : len(chosen)] @ w[: len(chosen)]).T.tolist()

@@ -337,7 +337,7 @@ def c7_spectral_clusters(spark, sf_dir):
     """Spectral clustering of the segments of all images under one kernel."""
     rows = segments(spark, sf_dir)
     found = E.rbf_clusters(rows.select(F.lit(0).alias("g"), "i", "x"), 5)
-    return rows.select("image_id", "segment", "i").join(found, "i").select("image_id", "segment", "cluster")
+    return rows.select("image_id", "segment", "i").join(E.beside(found), "i").select("image_id", "segment", "cluster")
 
 
 @query()
