@@ -88,6 +88,26 @@ def dense_eigenvectors(edges: DataFrame, n_vectors: int, kind: str) -> DataFrame
     return edges.groupBy("image_id").applyInPandas(solve, f"image_id {kind_of}, k int, eigenvalue double, vec array<double>")
 
 
+def residuals(edges: DataFrame, eigen: DataFrame) -> DataFrame:
+    """image_id, off: the largest entry of |(D - W) v - lambda D v| over an image's eigenpairs, where a degree of 0 counts as 1. An
+    image of up to ``DENSE`` patches is a group, with its matrix; its edges are never rows beside each of its vectors."""
+
+    def solve(image: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+        if not len(image) or not len(pairs):
+            return pd.DataFrame({"image_id": [], "off": []})
+        v = np.stack(pairs["vec"].to_numpy(), axis=1)
+        w = np.zeros((len(v), len(v)))
+        np.add.at(w, (image["i"].to_numpy(), image["j"].to_numpy()), image["w"].to_numpy())
+        d = w.sum(1)
+        d[d < 1e-12] = 1
+        off = np.abs(d[:, None] * v - w @ v - d[:, None] * v * pairs["eigenvalue"].to_numpy())
+        return pd.DataFrame({"image_id": image["image_id"].iloc[:1], "off": [off.max()]})
+
+    kind = dict(edges.dtypes)["image_id"]
+    both = edges.select("image_id", "i", "j", "w").groupBy("image_id").cogroup(eigen.select("image_id", "eigenvalue", "vec").groupBy("image_id"))
+    return both.applyInPandas(solve, f"image_id {kind}, off double")
+
+
 def signed(vec: Column) -> Column:
     """A vector turned over if more than half, but not all, of it is positive."""
     share = F.size(F.filter(vec, lambda x: x > 0)) / F.size(vec)

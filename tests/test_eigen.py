@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tessella.operators import eigen as E
 from tessella.operators import spectral as S
+from tessella.plans.catalog import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -66,3 +67,14 @@ def test_clusters_of_a_kernel(spark, monkeypatch):
     label = [r.cluster for r in E.rbf_clusters(rows, 3, 0.5).orderBy("i").collect()]
     expected = clusters(x, 3, 0.5).tolist()
     assert len(set(zip(label, expected))) == len(set(label)) == 3
+
+
+def test_residuals_take_an_image_at_a_time(spark, sf_dir, graphs, edges):
+    eigen = S.dense_eigenvectors(edges, 4, "laplacian_normalised")
+    moved = eigen.withColumn("eigenvalue", F.col("eigenvalue") + F.when(F.col("image_id") == "b", 0.25).otherwise(0.0))
+    found = {r.image_id: r.off for r in S.residuals(edges, moved).collect()}
+    pairs = [r for r in moved.collect() if r.image_id == "b"]
+    expected = max(0.25 * np.abs(graphs["b"].sum(1) * np.array(r.vec)).max() for r in pairs)
+    assert found.keys() == graphs.keys() and max(found["a"], found["c"]) < 1e-10 and abs(found["b"] - expected) < 1e-9
+    plan = QUERIES["c1_generalised_eigenproblem"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "explode(vec" not in plan  # entries of vectors are never rows, to be joined with edges
