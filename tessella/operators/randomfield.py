@@ -3,7 +3,8 @@
 Every pixel agrees with every other, the more the nearer and the more alike they are. Sums over all pairs are taken on two
 lattices of an image: rows, columns and values in units of the kernel's widths, and rows and columns alone. What pixels
 send is added to the lattice points around them (splat), spread along each axis (blur) and read back at the
-pixels (slice), so a message costs a pixel some dozen rows of a sum by lattice key, however many pixels there are. Between
+pixels (slice), so a message costs a pixel some dozen rows of a sum by lattice key, however many pixels there are. Nothing
+is spread to where no pixel of the image can read it: a lattice is as large as the image's rows, columns and values. Between
 points it is interpolated linearly, which widens a Gaussian by a third of a unit's square; what is spread is narrower by
 as much.
 """
@@ -20,6 +21,10 @@ from tessella.sources.store import dropped, shuffled
 
 #: A lattice's unit, as a share of its kernel's standard deviation, and how many deviations the kernel reaches.
 UNIT, REACH = 0.6, 3.5
+#: Pixels of a side of the squares in which an image's pixels are stored, so that a task adds up most of what a lattice point gets.
+SQUARE = 64
+#: Columns of ``spanned``.
+SPAN = [f"{c}{end}" for c in ("y", "x", "val") for end in (0, 1)]
 
 
 class Kernel(NamedTuple):
@@ -66,26 +71,48 @@ def own_share(kernel: Kernel) -> Column:
     return out
 
 
+def spanned(pixels: DataFrame) -> DataFrame:
+    """pixels with the first and last of their image's rows, columns and values (y0, y1, x0, x1, val0, val1)."""
+    finite = {c: F.nanvl(F.col(c).cast("double"), F.lit(None)) for c in ("y", "x", "val")}
+    ends = pixels.groupBy("image_id").agg(*[f(v).alias(f"{c}{i}") for c, v in finite.items() for i, f in enumerate((F.min, F.max))])
+    return pixels.join(ends.hint("merge"), "image_id").hint("merge")
+
+
+def reach(kernels: tuple[Kernel, ...]) -> list[Column]:
+    """The first and last lattice points that pixels of the image read, along each axis (a0, a1, b0, b1, c0, c1), by kind."""
+    out = []
+    for axis, c in zip("abc", ("y", "x", "val"), strict=True):
+        for end in (0, 1):
+            at = [F.lit(0) if c == "val" and k.value is None else (F.floor(F.col(f"{c}{end}") / ((k.value if c == "val" else k.space) * UNIT)) + end).cast("int") for k in kernels]
+            out.append(F.element_at(F.array(*at), F.col("kind") + 1).alias(f"{axis}{end}"))
+    return out
+
+
 def spread(cells: DataFrame, axis: str, kernels: tuple[Kernel, ...], width: int) -> DataFrame:
-    """Cells (image_id, kind, a, b, c, m) blurred along an axis; an axis that a kernel does not have stays as it is."""
+    """Cells (image_id, kind, a, b, c, m, and the first and last points of this axis and those to come) blurred along an axis, from
+    its first point to its last; an axis that a kernel does not have stays as it is."""
     t = taps()
-    steps = F.array(*[F.struct(F.lit(i).alias("step"), F.lit(t[abs(i)]).alias("tap")) for i in range(1 - len(t), len(t))])
-    still = F.array(F.struct(F.lit(0).alias("step"), F.lit(1.0).alias("tap")))
+    sent = cells.withColumn("to", F.explode(F.sequence(F.greatest(F.col(axis) - len(t) + 1, F.col(f"{axis}0")), F.least(F.col(axis) + len(t) - 1, F.col(f"{axis}1")))))
+    tap = F.element_at(F.array(*[F.lit(x) for x in t]), F.abs(F.col("to") - F.col(axis)) + 1)
     flat = [i for i, k in enumerate(kernels) if k.value is None] if axis == "c" else []
-    sent = cells.withColumn("s", F.explode(F.when(F.col("kind").isin(flat), still).otherwise(steps) if flat else steps))
-    places = [(F.col(c) + F.col("s.step")).alias(c) if c == axis else F.col(c) for c in "abc"]
-    return sent.groupBy("image_id", "kind", *places).agg(F.array(*[F.sum(F.col("m")[i] * F.col("s.tap")) for i in range(width)]).alias("m"))
+    sent = sent.withColumn("tap", F.when(F.col("kind").isin(flat), 1.0).otherwise(tap) if flat else tap)
+    places = [F.col("to").alias(c) if c == axis else F.col(c) for c in "abc"]
+    later = [f"{c}{end}" for c in "abc" if c > axis for end in (0, 1)]
+    return sent.groupBy("image_id", "kind", *places, *later).agg(F.array(*[F.sum(F.col("m")[i] * F.col("tap")) for i in range(width)]).alias("m"))
 
 
 def messages(pixels: DataFrame, kernels: tuple[Kernel, ...], width: int) -> DataFrame:
-    """image_id, y, x, got: for each pixel (image_id, y, x, val, m: array) the sum of the others' m, weighted by the kernels."""
+    """image_id, y, x, got: for each pixel (image_id, y, x, val, m: array; ``spanned`` or not) the sum of the others' m, weighted by
+    the kernels."""
+    pixels = pixels if "val1" in pixels.columns else spanned(pixels)
     near = F.explode(F.concat(*[corners(k, i) for i, k in enumerate(kernels)]))
-    at = pixels.select("image_id", "y", "x", "m", near.alias("p")).select("image_id", "y", "x", "m", "p.*")
-    cells = at.groupBy("image_id", "kind", "a", "b", "c").agg(F.array(*[F.sum(F.col("m")[i] * F.col("share")) for i in range(width)]).alias("m"))
+    at = pixels.select("*", near.alias("p")).select("image_id", "y", "x", "m", *SPAN, "p.*")
+    cells = at.groupBy("image_id", "kind", "a", "b", "c", *SPAN).agg(F.array(*[F.sum(F.col("m")[i] * F.col("share")) for i in range(width)]).alias("m"))
+    cells = cells.select("image_id", "kind", "a", "b", "c", "m", *reach(kernels))
     for axis in "abc":
         cells = spread(cells, axis, kernels, width)
     weight = F.element_at(F.array(*[F.lit(k.weight) for k in kernels]), F.col("kind") + 1)
-    read = at.drop("m").join(cells, ["image_id", "kind", "a", "b", "c"])
+    read = at.drop("m", *SPAN).join(cells, ["image_id", "kind", "a", "b", "c"])
     got = read.groupBy("image_id", "y", "x").agg(F.array(*[F.sum(weight * F.col("share") * F.col("m")[i]) for i in range(width)]).alias("all"))
     own = sum((own_share(k) for k in kernels[1:]), own_share(kernels[0]))
     return pixels.select("image_id", "y", "x", "m", own.alias("own")).join(got, ["image_id", "y", "x"]).select("image_id", "y", "x", F.transform(F.arrays_zip("all", "m"), lambda z: z["all"] - F.col("own") * z["m"]).alias("got"))
@@ -107,13 +134,18 @@ def refined(labels: DataFrame, pixels: DataFrame, n_labels: int, kernels: tuple[
     total = sum(k.weight for k in kernels)
     doubt = math.log(certain) - math.log((1 - certain) / max(n_labels - 1, 1))
     unary = F.transform(F.sequence(F.lit(0), F.lit(n_labels - 1)), lambda n: F.when(n == F.col("label"), doubt).otherwise(0.0))
-    rows = shuffled(labels.hint("merge").join(pixels, keys).select(*keys, F.col("val").cast("double").alias("val"), unary.alias("unary")), "field")
+    square = [F.floor(F.col(c) / SQUARE) for c in ("y", "x")]
+    kept = [*keys, "val", *SPAN, "unary"]
+    first = labels.hint("merge").join(pixels, keys).select(*keys, F.col("val").cast("double").alias("val"), unary.alias("unary"))
+    first = shuffled(first.repartition("image_id", *square), "field")
+    rows = spanned(first)
     norm = messages(rows.withColumn("m", F.array(F.lit(1.0))), kernels, 1)
-    rows = shuffled(rows.join(norm, keys).select(*keys, "val", "unary", F.sqrt(F.greatest(F.col("got")[0], F.lit(1e-20))).alias("root"), softmax(F.col("unary")).alias("q")), "field")
+    rows = shuffled(rows.join(norm, keys).select(*kept, F.sqrt(F.greatest(F.col("got")[0], F.lit(1e-20))).alias("root"), softmax(F.col("unary")).alias("q")).repartition("image_id", *square), "field")
+    dropped(first)
     for _ in range(iterations):
-        sent = shuffled(rows.withColumn("m", F.transform("q", lambda q: q / F.col("root"))), "sent")
+        sent = rows.withColumn("m", F.transform("q", lambda q: q / F.col("root")))
         got = messages(sent, kernels, n_labels)
         scores = F.transform(F.arrays_zip("unary", "got"), lambda z: z["unary"] + total * z["got"] / F.col("root"))
-        before, rows = rows, shuffled(sent.join(got, keys).withColumn("scores", scores).select(*keys, "val", "unary", "root", softmax(F.col("scores")).alias("q")), "field")
-        dropped(before, sent)
+        before, rows = rows, shuffled(rows.join(got, keys).withColumn("scores", scores).select(*kept, "root", softmax(F.col("scores")).alias("q")).repartition("image_id", *square), "field")
+        dropped(before)
     return rows.select(*keys, (F.array_position("q", F.array_max("q")) - 1).cast("int").alias("label"))

@@ -67,3 +67,23 @@ def test_one_label_stays(spark, images):
     rows = table(spark, images, "label").withColumn("label", R.F.lit(0))
     assert {r.label for r in R.refined(rows, table(spark, images, "val"), 1, iterations=1).collect()} == {0}
     assert R.refined(rows.limit(0), table(spark, images, "val"), 3, iterations=1).count() == 0
+
+
+def test_nothing_is_spread_beyond_what_pixels_read(spark, images):
+    rows = R.spanned(table(spark, images, "val").withColumn("m", R.F.array(R.F.lit(1.0))))
+    at = R.F.explode(R.F.concat(*[R.corners(k, i) for i, k in enumerate(KERNELS)])).alias("p")
+    cells = rows.select("image_id", *R.SPAN, at, "m").select("image_id", *R.SPAN, "p.*", "m").select("image_id", "kind", "a", "b", "c", "m", *R.reach(KERNELS))
+    ends = ["image_id", "kind", *[f(c) for c in "abc" for f in (R.F.min, R.F.max)]]
+    read = {tuple(r) for r in cells.groupBy(*ends[:2]).agg(*ends[2:]).collect()}
+    for axis in "abc":
+        cells = R.spread(cells, axis, KERNELS, 1)
+    assert {tuple(r) for r in cells.groupBy(*ends[:2]).agg(*ends[2:]).collect()} == read
+
+
+def test_what_rounds_have_shuffled_is_deleted(spark, images):
+    tracker = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    spark.sparkContext._jvm.System.gc()
+    before = tracker.shuffleStatuses().size()
+    found = R.refined(table(spark, images, "label"), table(spark, images, "val"), 4, iterations=1)
+    assert tracker.shuffleStatuses().size() <= before + 2  # of the first tables, made here
+    assert found.count() == 1200
