@@ -46,3 +46,19 @@ def test_rounds_are_one_edge_after_the_other(spark, monkeypatch, few):
         assert got == {n: plain(v, order, scale, least) for n, v in images.items()}
         assert len(set(got["disc"].values())) > 1 and set(got["flat"].values()) == {0}
     assert G.graph_segments(rows.limit(0)).count() == 0
+
+
+def test_tiles_are_one_edge_after_the_other(spark, monkeypatch):
+    monkeypatch.setattr(G, "FEW", 300)
+    monkeypatch.setattr(G, "SIDE", 4)
+    monkeypatch.setattr(G, "by_rounds", lambda *a: pytest.fail("no tile holds many edges"))
+    rng = np.random.default_rng(4)
+    images = {n: rng.integers(0, 256, (21, 18)) // k * k for n, k in (("fine", 1), ("coarse", 60))}
+    rows = spark.createDataFrame([(n, a, b, int(v[a, b])) for n, v in images.items() for a in range(21) for b in range(18)], "image_id string, y int, x int, val int").repartition(5)
+    steps = [((a, b), (a + c, b + d)) for a in range(21) for b in range(18) for c, d in ((0, 1), (1, 0))]
+    hashed = spark.createDataFrame(steps, "a struct<y: int, x: int>, b struct<y: int, x: int>").select("a", "b", G.F.xxhash64("a", "b").alias("h")).collect()
+    order = {(tuple(r.a), tuple(r.b)): r.h for r in hashed}
+    got = {n: {} for n in images}
+    for r in G.graph_segments(rows, 0.5, 9).collect():
+        got[r.image_id][r.y, r.x] = r.label
+    assert got == {n: plain(v, order, 0.5, 9) for n, v in images.items()}
